@@ -19,14 +19,12 @@ def rule_client():
     return call
 
 
-def stubborn_rule_client():
-    """Answers in prose the first time it sees a batch of an odd number of rows in this task."""
-    good, seen = rule_client(), set()
+def half_trained_client():
+    """Adds a remark after the JSON whenever the batch has an odd number of rows."""
+    good = rule_client()
 
     def call(payload: str) -> str:
-        if len(json.loads(payload)) % 2 and payload not in seen:
-            seen.add(payload)
-            return good(payload) + " Hope this helps!"
-        return good(payload)
+        odd = len(json.loads(payload)) % 2
+        return good(payload) + (" Hope this helps!" if odd else "")
 
     return call

@@ -14,6 +14,7 @@ from passbook.operators.quality import clean_rows, split_valid
 from passbook.plans import ingest
 from passbook.plans.gold import categorized_gold
 from passbook.plans.refine import silver_rows
+from passbook.plans.workspace import scratch_folder
 
 AS_OF = "2001-01-01"
 BATCH_ID = "20260101T000000Z_00000000"
@@ -104,9 +105,25 @@ def _columns(text: str) -> list[str]:
     return [*out, text[start:]]
 
 
+_STORED = {}
+
+
+def stored(spark, sf_dir, name, build) -> DataFrame:
+    """``build()`` written once per session to the shared folder, as the layers are in real use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        path = scratch_folder(spark, name)
+        build().write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def bronze(spark, sf_dir) -> DataFrame:
     at = F.lit(INGESTED_AT).cast("timestamp")
-    return ingest.stamp_batch(statement_rows(spark, sf_dir), BATCH_ID, at)
+    return stored(
+        spark, sf_dir, "bronze", lambda: ingest.stamp_batch(statement_rows(spark, sf_dir), BATCH_ID, at)
+        .repartition(spark.sparkContext.defaultParallelism),
+    )
 
 
 def cleaned(spark, sf_dir) -> DataFrame:
@@ -118,7 +135,7 @@ def valid(spark, sf_dir) -> DataFrame:
 
 
 def silver(spark, sf_dir) -> DataFrame:
-    return silver_rows(bronze(spark, sf_dir))
+    return stored(spark, sf_dir, "silver", lambda: silver_rows(bronze(spark, sf_dir)))
 
 
 def manual_form(spark, sf_dir) -> DataFrame:
@@ -126,7 +143,10 @@ def manual_form(spark, sf_dir) -> DataFrame:
 
 
 def manual(spark, sf_dir) -> DataFrame:
-    return man.log_entries(manual_form(spark, sf_dir), F.lit(AS_OF).cast("date"))
+    return stored(
+        spark, sf_dir, "manual",
+        lambda: man.log_entries(manual_form(spark, sf_dir), F.lit(AS_OF).cast("date")),
+    )
 
 
 def cache(spark, sf_dir) -> DataFrame:
@@ -136,18 +156,26 @@ def cache(spark, sf_dir) -> DataFrame:
     )
 
 
-def gold(spark, sf_dir) -> DataFrame:
+def gold_plan(spark, sf_dir) -> DataFrame:
     return categorized_gold(silver(spark, sf_dir), manual(spark, sf_dir), cache(spark, sf_dir))
 
 
+def gold(spark, sf_dir) -> DataFrame:
+    return stored(spark, sf_dir, "gold", lambda: gold_plan(spark, sf_dir))
+
+
 def documents(spark, sf_dir) -> DataFrame:
     return ix.index_documents(gold(spark, sf_dir))
 
 
-def index(spark, sf_dir) -> DataFrame:
+def index_plan(spark, sf_dir) -> DataFrame:
     return ix.embed(documents(spark, sf_dir), "document")
 
 
+def index(spark, sf_dir) -> DataFrame:
+    return stored(spark, sf_dir, "index", lambda: index_plan(spark, sf_dir))
+
+
 def previous_documents(spark, sf_dir) -> DataFrame:
     """An index from before the cache and the manual entries, with rows since quarantined."""
     rows = silver(spark, sf_dir).withColumn(
@@ -203,11 +231,11 @@ def responses(spark, sf_dir) -> DataFrame:
     per_batch = batched(spark, sf_dir).groupBy("batch_id").agg(
         F.array_join(F.transform(lines, lambda x: x["item"]), ",").alias("items")
     )
-    return (
+    return stored(spark, sf_dir, "responses", lambda: (
         per_batch.withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
         .withColumn("kind", F.expr(RESPONSE_KIND))
         .selectExpr("batch_id", "attempt", RESPONSE_RAW)
-    )
+    ))
 
 
 def payloads(spark, sf_dir) -> DataFrame:

@@ -24,7 +24,8 @@ def landing_folder(spark, sf_dir) -> str:
             "source_file",
         )
         # a whole upload stays in one task, so there are as many files as tasks
-        placed = named.repartition("source_file").sortWithinPartitions("source_file").drop("source_file")
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        placed = named.repartition(tasks, "source_file").sortWithinPartitions("source_file").drop("source_file")
         placed.write.option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
             "ignoreTrailingWhiteSpace", False
         ).csv(folder, header=True, quote='"', escape='"')

@@ -136,9 +136,10 @@ CTES = {
         ["vecs", "qvecs", "docs"],
         """SELECT query_id, rank, h.id, distance, txt AS document, category FROM (
              SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM (
-               SELECT q.id AS query_id, d.id AS id,
-                 round(1 - list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) + 0.0 AS distance
-               FROM qvecs q, vecs d)) h JOIN docs USING (id) WHERE rank <= 15""",
+               SELECT query_id, id,
+                 round(1 - CASE WHEN isnan(s) THEN 0 ELSE s END, 6) + 0.0 AS distance FROM (
+                 SELECT q.id AS query_id, d.id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS s
+                 FROM qvecs q, vecs d))) h JOIN docs USING (id) WHERE rank <= 15""",
     ),
     "batched": (
         ["silver"],

@@ -83,23 +83,18 @@ def _(spark, sf):
 
 @query(
     "A8_row_index_in_file",
-    """SELECT source_type, count(*) AS files, CAST(sum(n) AS BIGINT) AS row_count, CAST(sum(n * (n - 1) // 2) AS BIGINT) AS index_total
-       FROM (SELECT source_type, source_file, count(*) AS n FROM fx WHERE source_type = 'CSV' GROUP BY ALL) GROUP BY source_type""",
+    "SELECT count(*) AS row_count, 0 AS broken_files FROM fx WHERE source_type = 'CSV'",
     ["fx"],
 )
 def _(spark, sf):
+    """Indexes must be exactly 0..n-1 in every file."""
     rows = scan_csv(spark, landing_folder(spark, sf)).rows
+    position = F.col("source_row_index").cast("bigint")
     per_file = rows.groupBy("path").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.countDistinct("source_row_index").alias("distinct_n"),
-        F.sum(F.col("source_row_index").cast("bigint")).alias("total"),
-    )
-    return per_file.agg(
-        F.lit("CSV").alias("source_type"),
-        F.count(F.lit(1)).alias("files"),
-        F.sum("distinct_n").alias("row_count"),
-        F.sum("total").alias("index_total"),
+        F.count(F.lit(1)).alias("n"), F.countDistinct(position).alias("distinct_n"), F.max(position).alias("last")
     )
+    whole = (F.col("n") == F.col("distinct_n")) & (F.col("last") == F.col("n") - 1)
+    return per_file.agg(F.sum("n").alias("row_count"), F.count_if(~whole).alias("broken_files"))
 
 
 _CELL = "nullif(trim(replace(cells[{i}], chr(10), ' ')), '')"

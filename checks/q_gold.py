@@ -114,20 +114,10 @@ def _(spark, sf):
     return fx.payloads(spark, sf).select("batch_id", F.inline(items)).withColumnRenamed("id", "local_id")
 
 
-@query(
-    "D7_match_response_ids",
-    """SELECT batch_id, attempt, unknown_ids > 0 AS has_unknown, missing_ids > 0 AS has_missing FROM verdicts
-       WHERE reason IS NULL OR reason IN ('unknown_id', 'missing_id')""",
-    ["verdicts"],
-)
+@query("D7_match_response_ids", "SELECT batch_id, attempt, unknown_ids, missing_ids FROM verdicts", ["verdicts"])
 def _(spark, sf):
     verdicts = rs.validate_responses(fx.payloads(spark, sf), fx.responses(spark, sf))
-    checked = verdicts.filter(F.col("ok") | F.col("reason").isin("unknown_id", "missing_id"))
-    return checked.select(
-        "batch_id", "attempt",
-        F.coalesce(F.col("reason") == "unknown_id", F.lit(False)).alias("has_unknown"),
-        F.coalesce(F.col("reason") == "missing_id", F.lit(False)).alias("has_missing"),
-    )
+    return verdicts.select("batch_id", "attempt", "unknown_ids", "missing_ids")
 
 
 @query("I3_validate_responses", "SELECT batch_id, attempt, reason IS NULL AS ok, coalesce(reason, '') AS reason FROM verdicts", ["verdicts"])
@@ -173,13 +163,18 @@ def _(spark, sf):
     return cat.readable_cache(table.read())
 
 
-@query("I2_retry", f"SELECT txn_key_hash, {RULE} AS category, 'model' AS origin FROM silver", ["silver"])
+@query(
+    "I2_retry",
+    f"""SELECT txn_key_hash, CASE WHEN n_rows % 2 = 1 THEN 'Uncategorized' ELSE {RULE} END AS category,
+          CASE WHEN n_rows % 2 = 1 THEN 'fallback' ELSE 'model' END AS origin FROM batched JOIN sizes USING (batch_id)""",
+    ["batched", "sizes"],
+)
 def _(spark, sf):
-    """A client whose first answer to a batch is prose: every batch needs a second round."""
-    from checks.clients import stubborn_rule_client
+    """A client that never gets batches of an odd size right: they use up every attempt."""
+    from checks.clients import half_trained_client
 
     rounds = scratch_folder(spark, "retry")
-    return categorize_with_model(fx.batched(spark, sf), stubborn_rule_client, rounds, pause=lambda _: None)
+    return categorize_with_model(fx.batched(spark, sf), half_trained_client, rounds, pause=lambda _: None)
 
 
 @query(
@@ -188,7 +183,7 @@ def _(spark, sf):
     ["gold"],
 )
 def _(spark, sf):
-    return fx.gold(spark, sf).withColumn("txn_date", day())
+    return fx.gold_plan(spark, sf).withColumn("txn_date", day())
 
 
 _SELECTION = {"start": "1996-01-01", "end": "2024-01-15", "categories": ("Shopping", "Rent", "Income"), "source": "All"}

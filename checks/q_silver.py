@@ -8,6 +8,7 @@ from passbook import functions as fn
 from passbook.operators import dedupe as dd
 from passbook.operators import manual as man
 from passbook.operators import quality as qa
+from passbook.plans.refine import silver_rows
 
 DAY = "strftime(txn_date,'%Y-%m-%d')"
 
@@ -62,7 +63,7 @@ _SILVER_SQL = f"SELECT txn_key_hash, {DAY} AS txn_date, amount, description, bal
 
 
 def _silver(spark, sf):
-    return fx.silver(spark, sf).select(
+    return silver_rows(fx.bronze(spark, sf)).select(
         "txn_key_hash", day(), "amount", "description", "balance_amount", "source_file", "source_row_index"
     )
 

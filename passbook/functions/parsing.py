@@ -40,10 +40,12 @@ def parse_date(raw: Column) -> Column:
 
 
 def parse_amount(raw: Column) -> Column:
-    """DOUBLE from a printed amount; currency marks go first so the dot of ``Rs.`` goes too."""
+    """DOUBLE from a printed amount; currency marks go first so the dot of ``Rs.`` goes too.
+
+    What is left may be blank or no number; the cast turns both into NULL.
+    """
     unmarked = F.regexp_replace(raw, _CURRENCY, "")
-    digits = F.regexp_replace(unmarked, r"[^0-9.\-]", "")
-    return F.nullif(digits, F.lit("")).try_cast("double")
+    return F.regexp_replace(unmarked, r"[^0-9.\-]", "").try_cast("double")
 
 
 def signed_amount(debit: Column, credit: Column) -> Column:

@@ -39,6 +39,18 @@ def dedupe_valid(df: DataFrame) -> DataFrame:
     return keep_first(df, ["txn_key_hash"], [F.asc_nulls_first(c) for c in present])
 
 
+def dedupe_cleaned(df: DataFrame) -> DataFrame:
+    """``dedupe_valid`` of the valid rows, taking cleaned rows of both kinds.
+
+    Filtering first would push the test below the cleaning expressions and evaluate every parse
+    twice; behind the ranking it reads the finished column. Quarantined rows cannot displace a
+    valid one: a valid key has no empty date, amount or description, and valid rows rank first.
+    """
+    present = [c for c in ("quarantine_reason", *SURVIVOR_ORDER) if c in df.columns]
+    ranked = keep_first(df, ["txn_key_hash"], [F.asc_nulls_first(c) for c in present])
+    return ranked.filter(F.col("quarantine_reason").isNull())
+
+
 def union_sources(statements: DataFrame, manual: DataFrame) -> DataFrame:
     """Statements, then manual entries, with the priority the later dedupe needs."""
     return statements.withColumn("source_priority", F.lit(0)).unionByName(

@@ -28,7 +28,7 @@ def _items(responses: DataFrame) -> DataFrame:
 
 
 def validate_responses(batch_sizes: DataFrame, responses: DataFrame) -> DataFrame:
-    """One row per (batch, attempt): ``ok``, ``reason`` and the answered ids as a list.
+    """One row per (batch, attempt): ``ok``, ``reason``, unknown and missing ids, and the answers.
 
     ``batch_sizes``: batch_id, n_rows. ``responses``: batch_id, attempt, raw.
     """
@@ -65,11 +65,11 @@ def validate_responses(batch_sizes: DataFrame, responses: DataFrame) -> DataFram
         F.bool_and("_is_json").alias("_is_json"),
         F.bool_and("_has_list").alias("_has_list"),
         F.bool_or("_malformed").alias("_malformed"),
-        F.bool_or("_unknown").alias("_unknown"),
+        F.count_if("_unknown").alias("unknown_ids"),
         F.max_by("category", "_pos").alias("category"),
         F.max("_pos").alias("_pos"),
     )
-    known = F.col("_pos").isNotNull() & ~F.col("_unknown") & ~F.col("_malformed")
+    known = F.col("_pos").isNotNull() & (F.col("unknown_ids") == 0) & ~F.col("_malformed")
     answer = F.struct("local_id", allowed_category(F.col("category")).alias("category"))
     # only ids inside 0..n_rows-1 are collected, so the list is no longer than its batch
     verdict = per_id.groupBy("batch_id", "attempt").agg(
@@ -77,7 +77,7 @@ def validate_responses(batch_sizes: DataFrame, responses: DataFrame) -> DataFram
         F.bool_and("_is_json").alias("_is_json"),
         F.bool_and("_has_list").alias("_has_list"),
         F.bool_or("_malformed").alias("_malformed"),
-        F.bool_or("_unknown").alias("_unknown"),
+        F.sum("unknown_ids").alias("unknown_ids"),
         F.count_if(known).alias("_known"),
         F.array_sort(F.collect_list(F.when(known, answer))).alias("answers"),
     )
@@ -85,7 +85,7 @@ def validate_responses(batch_sizes: DataFrame, responses: DataFrame) -> DataFram
         F.when(~F.col("_is_json"), "invalid_json")
         .when(~F.col("_has_list"), "no_results_list")
         .when(F.col("_malformed"), "malformed_item")
-        .when(F.col("_unknown"), "unknown_id")
+        .when(F.col("unknown_ids") > 0, "unknown_id")
         .when(F.col("_known") < F.col("n_rows"), "missing_id")
     )
     return verdict.select(
@@ -93,6 +93,8 @@ def validate_responses(batch_sizes: DataFrame, responses: DataFrame) -> DataFram
         "attempt",
         reason.isNull().alias("ok"),
         reason.alias("reason"),
+        "unknown_ids",
+        (F.col("n_rows") - F.col("_known")).alias("missing_ids"),
         "answers",
     )
 

@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from passbook.operators.dedupe import dedupe_valid
+from passbook.operators.dedupe import dedupe_cleaned
 from passbook.operators.quality import clean_rows, require_rows, split_valid
 from passbook.plans.workspace import Workspace
 from passbook.schemas import EmptyTable
@@ -25,8 +25,7 @@ class RefineResult:
 
 def silver_rows(bronze: DataFrame) -> DataFrame:
     """Valid rows, one per business key."""
-    valid, _ = split_valid(clean_rows(bronze))
-    return dedupe_valid(valid)
+    return dedupe_cleaned(clean_rows(bronze))
 
 
 def quarantined_rows(bronze: DataFrame) -> DataFrame:
@@ -49,9 +48,8 @@ def refine(workspace: Workspace) -> RefineResult:
         F.count_if(reason.isNull()).alias("valid"),
         F.count_if(reason.isNotNull()).alias("bad"),
     )
-    valid, _ = split_valid(cleaned)
     try:
-        version = workspace.silver.write(dedupe_valid(valid))
+        version = workspace.silver.write(dedupe_cleaned(cleaned))
     except EmptyTable as error:
         workspace.quarantine.publish(quarantined_rows(bronze))
         raise AllRowsInvalid("no row passed the checks; see the quarantine table") from error

@@ -13,6 +13,9 @@ from passbook.plans.workspace import Workspace
 from passbook.schemas import BRONZE
 
 
+_FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
+
 def _write(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
@@ -28,7 +31,8 @@ def bronze_stream(workspace: Workspace, folder: str, checkpoint: str, once: bool
     The file source only says that something new is there (it knows files by path); the manifest
     decides by content, so a copy under a new name is not ingested again.
     """
-    arrivals = workspace.spark.readStream.format("binaryFile").load(folder).select("path")
+    source = workspace.spark.readStream.format("binaryFile").schema(_FILES)
+    arrivals = source.load(folder).select("path")
     writer = arrivals.writeStream.foreachBatch(lambda _, batch: ingest(workspace, folder))
     return _start(writer, checkpoint, once)
 
