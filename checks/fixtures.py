@@ -14,7 +14,7 @@ from passbook.operators.quality import clean_rows, split_valid
 from passbook.plans import ingest
 from passbook.plans.gold import categorized_gold
 from passbook.plans.refine import silver_rows
-from passbook.plans.workspace import scratch_folder
+from passbook.scratch import scratch_folder
 
 AS_OF = "2001-01-01"
 BATCH_ID = "20260101T000000Z_00000000"
@@ -184,7 +184,7 @@ def previous_documents(spark, sf_dir) -> DataFrame:
     stale = split_valid(cleaned(spark, sf_dir))[1].select(
         F.concat(F.col("row_hash"), F.lit("-old")).alias("id"),
         F.lit("old").alias("document"),
-        F.sha2(F.lit("old"), 256).alias("document_hash"),
+        F.lit("old").alias("document_hash"),
         F.lit(None).cast(documents(spark, sf_dir).schema["metadata"].dataType).alias("metadata"),
     )
     return ix.index_documents(rows).unionByName(stale)

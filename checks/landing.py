@@ -3,14 +3,14 @@
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from passbook.plans.workspace import scratch_folder
+from passbook.scratch import scratch_folder
 from passbook.schemas import RAW_FIELDS
 
 _WRITTEN = {}
 
 
 def landing_folder(spark, sf_dir) -> str:
-    """One file per write task; written once per session and input."""
+    """Files of at most 500 rows, so their number grows with the data; written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
         folder = scratch_folder(spark, "landing")
@@ -23,10 +23,8 @@ def landing_folder(spark, sf_dir) -> str:
             F.col("balance_raw").alias("Closing Balance"),
             "source_file",
         )
-        # a whole upload stays in one task, so there are as many files as tasks
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        placed = named.repartition(tasks, "source_file").sortWithinPartitions("source_file").drop("source_file")
-        placed.write.option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option(
+        placed = named.repartition("source_file").sortWithinPartitions("source_file").drop("source_file")
+        placed.write.option("emptyValue", "").option("maxRecordsPerFile", 500).option("ignoreLeadingWhiteSpace", False).option(
             "ignoreTrailingWhiteSpace", False
         ).csv(folder, header=True, quote='"', escape='"')
         _WRITTEN[key] = folder

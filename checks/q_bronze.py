@@ -8,7 +8,8 @@ from checks.registry import query
 from passbook import functions as fn
 from passbook.operators.dedupe import dedupe_raw
 from passbook.plans import ingest as plan
-from passbook.plans.workspace import Workspace, scratch_folder
+from passbook.plans.workspace import Workspace
+from passbook.scratch import scratch_folder
 from passbook.schemas import BRONZE, RAW_FIELDS
 from passbook.sources import files as landing
 from passbook.sources import headers as hd

@@ -15,7 +15,8 @@ from passbook.operators import reports as rp
 from passbook.operators import responses as rs
 from passbook.operators.enrichment import categorize_with_model
 from passbook.plans.dashboard import dashboard_report
-from passbook.plans.workspace import Workspace, scratch_folder
+from passbook.plans.workspace import Workspace
+from passbook.scratch import scratch_folder
 from passbook.schemas import CATEGORY_OPTIONS
 
 ALLOWED = ", ".join(f"'{c}'" for c in CATEGORY_OPTIONS)
@@ -333,7 +334,15 @@ def _(spark, sf):
     return workspace.gold.read().groupBy("source_type", "category").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-@query("K4_full_run")
+@query(
+    "K4_full_run",
+    f"""SELECT source_type, category, count(*) AS row_count FROM (
+          SELECT DISTINCT txn_key_hash, 'CSV' AS source_type, {RULE} AS category FROM cleaned
+          WHERE quarantine_reason IS NULL AND source_type = 'CSV'
+          UNION ALL SELECT txn_key_hash, source_type, coalesce(chosen, {RULE}) FROM combined WHERE source_type = 'MANUAL')
+        GROUP BY ALL""",
+    ["cleaned", "combined"],
+)
 def _(spark, sf):
     from checks.landing import landing_folder
     from passbook.plans.full_run import full_run

@@ -9,7 +9,8 @@ from passbook.operators import context as ctx
 from passbook.operators import index as ix
 from passbook.operators import search as se
 from passbook.plans import ask as plan
-from passbook.plans.workspace import Workspace, scratch_folder
+from passbook.plans.workspace import Workspace
+from passbook.scratch import scratch_folder
 
 K = 15
 
@@ -75,8 +76,7 @@ def _(spark, sf):
     ["prev", "docs"],
 )
 def _(spark, sf):
-    previous = fx.previous_documents(spark, sf).withColumn("embedding", F.array(F.lit(0.0).cast("float")))
-    return ix.sync_stats(ix.compare_index(previous, fx.documents(spark, sf)))
+    return ix.sync_stats(ix.compare_index(fx.previous_documents(spark, sf), fx.documents(spark, sf)))
 
 
 @query("E12_index_size", "SELECT count(id) AS indexed FROM docs", ["docs"])

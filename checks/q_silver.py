@@ -143,7 +143,8 @@ def _(spark, sf):
     ["manual"],
 )
 def _(spark, sf):
-    from passbook.plans.workspace import Workspace, scratch_folder
+    from passbook.plans.workspace import Workspace
+    from passbook.scratch import scratch_folder
     from passbook.sources.manual_store import append_manual
 
     table = Workspace(spark, scratch_folder(spark, "manual")).manual
@@ -206,7 +207,8 @@ def _(spark, sf):
 @query("K2_refine", f"SELECT txn_key_hash, {DAY} AS txn_date, amount, description, quarantine_reason FROM silver", ["silver"])
 def _(spark, sf):
     from passbook.plans.refine import refine
-    from passbook.plans.workspace import Workspace, scratch_folder
+    from passbook.plans.workspace import Workspace
+    from passbook.scratch import scratch_folder
 
     workspace = Workspace(spark, scratch_folder(spark, "workspace"))
     workspace.bronze.append(fx.bronze(spark, sf))

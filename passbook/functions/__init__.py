@@ -12,6 +12,7 @@ from passbook.functions.text import (
     clean_text,
     empty_to_null,
     grouped_money,
+    iso_day,
     month_bucket,
     plain_money,
     render_document,
@@ -27,6 +28,7 @@ __all__ = [
     "dot",
     "empty_to_null",
     "grouped_money",
+    "iso_day",
     "l2_normalize",
     "manual_key",
     "month_bucket",

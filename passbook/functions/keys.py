@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from passbook.functions.text import grouped_money
+from passbook.functions.text import grouped_money, iso_day
 
 
 def _sha256_of(parts) -> Column:
@@ -30,7 +30,7 @@ def txn_key_hash(
     """Business identity of a transaction, equal across overlapping uploads."""
     return _sha256_of(
         [
-            F.date_format(txn_date, "yyyy-MM-dd"),
+            iso_day(txn_date),
             grouped_money(amount),
             description,
             grouped_money(balance),
@@ -43,5 +43,6 @@ def manual_key(entry_id: Column) -> Column:
     return F.sha2(F.concat(F.lit("manual::"), entry_id), 256)
 
 
-def document_hash(document: Column) -> Column:
-    return F.sha2(document, 256)
+def document_hash(document: Column, amount: Column) -> Column:
+    """What an index row is made of: the text, and the amount beyond the printed cents."""
+    return F.sha2(F.concat_ws("||", document, amount.cast("string")), 256)

@@ -22,6 +22,7 @@ _YEAR_FIRST = r"^((?!0000)[0-9]{4})([-/])([0-9]{2})\2([0-9]{2})\z"
 _MONTH_FIRST = r"^([0-9]{2})/([0-9]{2})/((?!0000)[0-9]{4})\z"
 
 _CURRENCY = r"(?i)(rs\.?|inr|₹)"
+_NOT_NUMERIC = r"[^0-9.\-]"
 
 
 def parse_date(raw: Column) -> Column:
@@ -42,10 +43,12 @@ def parse_date(raw: Column) -> Column:
 def parse_amount(raw: Column) -> Column:
     """DOUBLE from a printed amount; currency marks go first so the dot of ``Rs.`` goes too.
 
-    What is left may be blank or no number; the cast turns both into NULL.
+    What is left may be blank or no number; the cast turns both into NULL. Amounts printed as
+    bare digits, the common case, skip both replacements.
     """
     unmarked = F.regexp_replace(raw, _CURRENCY, "")
-    return F.regexp_replace(unmarked, r"[^0-9.\-]", "").try_cast("double")
+    digits = F.regexp_replace(unmarked, _NOT_NUMERIC, "")
+    return F.when(raw.rlike(_NOT_NUMERIC), digits).otherwise(raw).try_cast("double")
 
 
 def signed_amount(debit: Column, credit: Column) -> Column:

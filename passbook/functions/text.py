@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 
 def clean_text(raw: Column) -> Column:
-    """Collapse whitespace runs, trim, blank becomes NULL."""
-    return F.nullif(F.trim(F.regexp_replace(raw, r"\s+", " ")), F.lit(""))
+    """Collapse whitespace runs, trim, blank becomes NULL. Text without runs is not rewritten."""
+    collapsed = F.when(raw.rlike(r"[\t\n\x0B\f\r]| {2}"), F.regexp_replace(raw, r"\s+", " "))
+    return F.nullif(F.trim(F.coalesce(collapsed, raw)), F.lit(""))
 
 
 def empty_to_null(raw: Column) -> Column:
@@ -29,8 +30,13 @@ def plain_money(amount: Column) -> Column:
     return F.replace(F.format_number(amount, 2), F.lit(","), F.lit(""))
 
 
+def iso_day(day: Column) -> Column:
+    """``yyyy-MM-dd`` of a DATE; the cast needs no time zone and no formatter."""
+    return day.cast("string")
+
+
 def month_bucket(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM")
+    return F.substring(iso_day(day), 1, 7)
 
 
 def render_document(
@@ -40,7 +46,7 @@ def render_document(
     direction = F.when(amount > 0, "received").otherwise("spent")
     return F.concat(
         F.lit("On "),
-        F.date_format(txn_date, "yyyy-MM-dd"),
+        iso_day(txn_date),
         F.lit(", "),
         direction,
         F.lit(" Rs "),

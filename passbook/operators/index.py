@@ -23,13 +23,16 @@ def index_documents(gold: DataFrame) -> DataFrame:
         F.col("source_type"),
     )
     metadata = F.struct(
-        F.date_format("txn_date", "yyyy-MM-dd").alias("txn_date"),
+        fn.iso_day(F.col("txn_date")).alias("txn_date"),
         F.col("category").alias("category"),
         F.col("amount").cast("double").alias("amount"),
         F.col("source_type").alias("source_type"),
     )
-    rows = gold.select(F.col("txn_key_hash").alias("id"), text.alias("document"), metadata.alias("metadata"))
-    return rows.select("id", "document", fn.document_hash(F.col("document")).alias("document_hash"), "metadata")
+    rows = gold.select(
+        F.col("txn_key_hash").alias("id"), text.alias("document"), metadata.alias("metadata")
+    )
+    digest = fn.document_hash(F.col("document"), F.col("metadata.amount"))
+    return rows.select("id", "document", digest.alias("document_hash"), "metadata")
 
 
 def hashed_embedder(dims: int = HASHED_DIMS):
@@ -73,44 +76,48 @@ def embed(df: DataFrame, text: str, load=None, out: str = "embedding") -> DataFr
 
 
 def compare_index(previous: DataFrame, documents: DataFrame) -> DataFrame:
-    """Every id of either side with its ``action``: keep, embed or drop. One full join on id.
+    """Every id of either side with its ``action``: keep, embed or drop.
 
-    A document whose hash is unchanged keeps its vector; metadata always comes from Gold.
+    One full join on id that carries hashes, not vectors. A row whose hash is unchanged is kept
+    as it is.
     """
-    old = previous.select(
-        "id",
-        F.col("document_hash").alias("_old_hash"),
-        F.col("embedding").alias("_old_embedding"),
-    )
+    old = previous.select("id", F.col("document_hash").alias("_old_hash"))
     action = (
         F.when(F.col("document_hash").isNull(), "drop")
         .when(F.col("_old_hash") == F.col("document_hash"), "keep")
         .otherwise("embed")
     )
-    return documents.join(old, "id", "full").withColumn("action", action)
+    return documents.join(old, "id", "full").withColumn("action", action).drop("_old_hash")
 
 
-def apply_sync(compared: DataFrame, load=None) -> DataFrame:
-    """The new index: kept vectors as they are, only the ``embed`` rows go through the model."""
-    kept = compared.filter("action = 'keep'").select(
-        "id", "document", "document_hash", F.col("_old_embedding").alias("embedding"), "metadata"
-    )
+def sync_figures():
+    """The aggregates of a comparison, for ``agg`` or ``observe``."""
+    return [
+        F.count_if(F.col("action") != "drop").alias("upserted"),
+        F.count_if(F.col("action") == "drop").alias("removed_stale"),
+        F.count_if(F.col("action") == "embed").alias("re_embedded"),
+    ]
+
+
+def sync_stats(compared: DataFrame) -> DataFrame:
+    return compared.agg(*sync_figures())
+
+
+def apply_changes(previous: DataFrame, changes: DataFrame, load=None) -> DataFrame:
+    """The new index from the ``embed`` and ``drop`` rows of a comparison.
+
+    Kept rows are what the changed ids leave over; few changes are broadcast by the planner and
+    the vectors stay where they are.
+    """
+    kept = previous.join(changes.select("id"), "id", "left_anti")
     fresh = embed(
-        compared.filter("action = 'embed'").select("id", "document", "document_hash", "metadata"),
+        changes.filter("action = 'embed'").select("id", "document", "document_hash", "metadata"),
         "document",
         load,
     )
     return kept.unionByName(fresh)
 
 
-def sync_stats(compared: DataFrame) -> DataFrame:
-    return compared.agg(
-        F.count_if(F.col("action") != "drop").alias("upserted"),
-        F.count_if(F.col("action") == "drop").alias("removed_stale"),
-        F.count_if(F.col("action") == "embed").alias("re_embedded"),
-    )
-
-
 def stale_ids(previous: DataFrame, documents: DataFrame) -> DataFrame:
     return previous.select("id").join(documents.select("id"), "id", "left_anti")
 

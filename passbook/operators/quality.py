@@ -30,10 +30,14 @@ def clean_rows(bronze: DataFrame) -> DataFrame:
     )
 
 
+def is_valid():
+    """Same as a NULL quarantine_reason, without building the reason text in the filter."""
+    return F.col("txn_date").isNotNull() & F.col("amount").isNotNull() & F.col("description").isNotNull()
+
+
 def split_valid(cleaned: DataFrame):
     """(valid, quarantined). Quarantined rows are never deduplicated."""
-    reason = F.col("quarantine_reason")
-    return cleaned.filter(reason.isNull()), cleaned.filter(reason.isNotNull())
+    return cleaned.filter(is_valid()), cleaned.filter(~is_valid())
 
 
 def layer_counts(cleaned: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from passbook.operators.batching import assign_batches, shard_digits
 from passbook.operators.dedupe import dedupe_keep_last, union_sources
 from passbook.operators.enrichment import CATEGORIZE_RETRIES, categorize_with_model
 from passbook.operators.manual import has_explicit_category, manual_to_gold
-from passbook.plans.workspace import Workspace, scratch_folder
+from passbook.plans.workspace import Workspace
+from passbook.scratch import scratch_folder
 from passbook.schemas import GOLD, GOLD_CONTRACT, UNSET_CATEGORY, conform
 from passbook.sources.tables import TableMissing
 

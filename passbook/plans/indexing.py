@@ -1,11 +1,11 @@
 """Keeping the search index in step with Gold."""
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, Observation
 
 from passbook.operators import index as ix
 from passbook.operators.quality import require_rows
-from passbook.plans.workspace import Workspace, scratch_folder
+from passbook.plans.workspace import Workspace
+from passbook.scratch import scratch_folder, written
 from passbook.schemas import INDEX, require_columns
 from passbook.sources.tables import TableMissing
 
@@ -18,15 +18,18 @@ def build_index(gold: DataFrame, load=None) -> DataFrame:
 
 
 def sync_index(workspace: Workspace, load=None) -> dict:
-    """Publish the index of the current Gold; only new or changed documents are embedded."""
+    """Publish the index of the current Gold; only new or changed documents are embedded, and an
+    index that is up to date is left alone."""
     if not workspace.gold.exists():
         raise TableMissing(f"{workspace.gold.path}: build gold first")
-    gold = require_rows(require_columns(workspace.gold.read(), GOLD_NEEDED), "gold")
     spark = workspace.spark
-    previous = workspace.index.read() if workspace.index.exists() else spark.createDataFrame([], INDEX)
-    # written once: the figures, the kept rows and the rows to embed all start from it
-    folder = scratch_folder(spark, "index")
-    ix.compare_index(previous, ix.index_documents(gold)).write.parquet(folder)
-    compared = spark.read.parquet(folder)
-    workspace.index.publish(ix.apply_sync(compared, load))
-    return ix.sync_stats(compared).first().asDict()
+    gold = require_rows(require_columns(workspace.gold.read(), GOLD_NEEDED), "gold")
+    known = workspace.index.exists()
+    previous = workspace.index.read() if known else spark.createDataFrame([], INDEX)
+    figures = Observation()
+    compared = ix.compare_index(previous, ix.index_documents(gold)).observe(figures, *ix.sync_figures())
+    changes = written(compared.filter("action <> 'keep'"), scratch_folder(spark, "index"), "changes")
+    counts = figures.get
+    if counts["re_embedded"] or counts["removed_stale"] or not known:
+        workspace.index.publish(ix.apply_changes(previous, changes, load))
+    return counts

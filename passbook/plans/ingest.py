@@ -11,6 +11,7 @@ from passbook import functions as fn
 from passbook.operators.dedupe import dedupe_raw
 from passbook.plans.workspace import Workspace
 from passbook.schemas import RAW_ROW, conform
+from passbook.scratch import scratch_folder, written
 from passbook.sources import files as landing
 from passbook.sources.csv_files import scan_csv
 from passbook.sources.table_cells import normalize_table_rows
@@ -70,7 +71,8 @@ def ingest(
     spark = workspace.spark
     batch_id = batch_id or new_batch_id()
     files = landing.fingerprint_files(spark, folder)
-    fresh = landing.skip_ingested(files, workspace.manifest.read())
+    scratch = scratch_folder(spark, "ingest")
+    fresh = written(landing.skip_ingested(files, workspace.manifest.read()), scratch, "fresh")
 
     parts, contributed, rejected = [], [], []
     source, filter_rows = _csv_sources(spark, folder, fresh)
@@ -108,5 +110,5 @@ def ingest(
         return None
     workspace.bronze.append(bronze_rows(raw, batch_id))
     workspace.manifest.append(entries)
-    written = workspace.bronze.read().filter(F.col("batch_id") == batch_id).count()
-    return IngestResult(batch_id, written, new_files)
+    rows = workspace.bronze.read().filter(F.col("batch_id") == batch_id).count()
+    return IngestResult(batch_id, rows, new_files)

@@ -1,7 +1,5 @@
-"""Where the tables of one installation live, and the folder for run-time scratch tables."""
+"""Where the tables of one installation live."""
 
-import tempfile
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -10,18 +8,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 from passbook import schemas
 from passbook.sources.tables import AppendTable, VersionedTable
 
-CHECKPOINT_SETTING = "spark.checkpoint.dir"
-
-
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder on the shared file system the cluster names for checkpoints.
-
-    Only where no such folder is set (a laptop, a test) is a local temporary folder used.
-    """
-    base = spark.conf.get(CHECKPOINT_SETTING, None) or tempfile.mkdtemp(prefix="passbook-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @dataclass
 class Workspace:
     spark: SparkSession

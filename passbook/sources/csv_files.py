@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from passbook.schemas import RAW_FIELDS
+from passbook.scratch import scratch_folder, written
 from passbook.sources.files import file_name
 from passbook.sources.headers import column_positions, missing_required
 
@@ -32,7 +33,7 @@ class CsvScan:
 
 
 def _bare(line: Column) -> Column:
-    return F.regexp_replace(line, _QUOTED_FIELD, "$1")
+    return F.when(line.contains('"'), F.regexp_replace(line, _QUOTED_FIELD, "$1")).otherwise(line)
 
 
 def _field_count(line: Column) -> Column:
@@ -152,9 +153,9 @@ def _quoted_rows(spark, source, usable, width):
 
 
 def scan_csv(spark: SparkSession, source) -> CsvScan:
-    """``source``: a folder or a list of paths. Nothing but one width and two flags is collected."""
+    """``source``: a folder or a list of paths. Only one width and one count are collected."""
     lines = _lines(spark, source)
-    blocks = _profile(lines)
+    blocks = written(_profile(lines), scratch_folder(spark, "csv"), "splits")
     described = _described(blocks).withColumn("header_fields", _field_count(F.col("header")))
     shape = described.agg(
         F.max("header_fields").alias("width"), F.count_if(~F.col("plain")).alias("quoted")
