@@ -41,11 +41,17 @@ def _field_count(line: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
-def _cells(line: Column, width: int) -> Column:
-    """A CSV line as an array of ``width`` strings, NULL where it is short."""
+def _with_cells(df: DataFrame, line: Column, width: int, out: str) -> DataFrame:
+    """Add ``out``: the fields of a CSV line. Lines without a quote are simply split."""
     schema = ", ".join(f"c{i} string" for i in range(width))
-    fields = F.from_csv(line, schema, CSV_OPTIONS)
-    return F.array(*[fields[f"c{i}"] for i in range(width)])
+    quoted = F.when(line.contains('"'), F.from_csv(line, schema, CSV_OPTIONS))
+    parsed = F.array(*[F.col(f"_fields.c{i}") for i in range(width)])
+    # _fields is a column of its own, so a quoted line is parsed once and not once per field
+    return (
+        df.withColumn("_fields", quoted)
+        .withColumn(out, F.when(F.col("_fields").isNull(), F.split(line, ",")).otherwise(parsed))
+        .drop("_fields")
+    )
 
 
 def _lines(spark: SparkSession, source) -> DataFrame:
@@ -119,8 +125,8 @@ def _plain_rows(lines, blocks, usable, width):
     numbered = lines.join(starts, ["path", "block"]).withColumn(
         "_row", F.col("_id") + F.col("_shift") - 1
     )
-    cells = _cells(_decoded(F.col("value"), F.col("utf8")), width)
-    return _finish(numbered.filter("_row >= 0"), cells, F.col("_row"))
+    text = numbered.filter("_row >= 0").withColumn("_line", _decoded(F.col("value"), F.col("utf8")))
+    return _finish(_with_cells(text, F.col("_line"), width, "_cells"), F.col("_cells"), F.col("_row"))
 
 
 def _quoted_rows(spark, source, usable, width):
@@ -154,23 +160,24 @@ def _quoted_rows(spark, source, usable, width):
 
 def scan_csv(spark: SparkSession, source) -> CsvScan:
     """``source``: a folder or a list of paths. Only one width and one count are collected."""
+    folder = scratch_folder(spark, "csv")
     lines = _lines(spark, source)
-    blocks = written(_profile(lines), scratch_folder(spark, "csv"), "splits")
+    blocks = written(_profile(lines), folder, "splits")
     described = _described(blocks).withColumn("header_fields", _field_count(F.col("header")))
     shape = described.agg(
         F.max("header_fields").alias("width"), F.count_if(~F.col("plain")).alias("quoted")
     ).first()
     width = shape["width"] or 1
-    described = described.withColumn("_names", _cells(F.col("header"), width)).withColumn(
-        "positions", column_positions(F.col("_names"))
+    named = _with_cells(described, F.col("header"), width, "names").withColumn(
+        "positions", column_positions(F.col("names"))
     )
+    missing = F.concat_ws(",", missing_required("positions"))
     reason = (
-        F.when(F.size(missing_required("positions")) > 0,
-               F.concat(F.lit("missing_required:"), F.concat_ws(",", missing_required("positions"))))
+        F.when(missing != "", F.concat(F.lit("missing_required:"), missing))
         .when(F.col("rows") <= 0, "no_rows")
         .when(F.col("plain") & (F.col("fields") > F.col("header_fields")), "row_wider_than_header")
     )
-    judged = described.withColumn("reason", reason)
+    judged = written(named.withColumn("reason", reason), folder, "files")
     usable = judged.filter(F.col("reason").isNull())
 
     rows = _plain_rows(lines, blocks, usable, width)
@@ -187,10 +194,10 @@ def scan_csv(spark: SparkSession, source) -> CsvScan:
         rejected = rejected.unionByName(
             per_file.filter(F.col("reason").isNotNull()).select("path", "reason")
         )
+    claimed = F.array(*[f"positions.{n}" for n in RAW_FIELDS])
     ignored = (
-        described.select("path", F.col("header_fields"), F.posexplode("_names").alias("pos", "header"), "positions")
-        .filter(F.col("pos") < F.col("header_fields"))
-        .filter(~F.coalesce(F.array_contains(F.array(*[f"positions.{n}" for n in RAW_FIELDS]), F.col("pos")), F.lit(False)))
+        judged.select("path", claimed.alias("claimed"), F.posexplode("names").alias("pos", "header"))
+        .filter(~F.exists("claimed", lambda p: p.eqNullSafe(F.col("pos"))))
         .select("path", "header")
     )
     return CsvScan(rows, accepted, rejected, ignored)

@@ -21,7 +21,11 @@ def _binary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, file_name, suffix, bytes, modified of every file; contents are not read."""
+    """path, file_name, suffix, bytes, modified of every file; contents are not read.
+
+    Spark lists no files of 0 bytes. They hold no rows, so ingestion misses nothing; a form that
+    knows the size of an upload gets its ``empty_file`` from ``admission``.
+    """
     return _binary(spark, folder).select(
         "path",
         file_name(F.col("path")).alias("file_name"),
