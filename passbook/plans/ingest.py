@@ -51,10 +51,13 @@ class IngestResult:
     files: int
 
 
-def _csv_sources(spark, folder, fresh: DataFrame):
-    """What to scan, and whether the rows still have to be limited to the fresh files."""
-    paths = [r["path"] for r in fresh.filter("suffix = 'csv'").select("path").limit(MAX_NAMED_FILES + 1).collect()]
-    return (folder, True) if len(paths) > MAX_NAMED_FILES else (paths, False)
+def _scan_fresh(spark, folder, fresh: DataFrame):
+    """The CSV files among ``fresh``, by name while they are few, otherwise by scanning the folder."""
+    csv = fresh.filter("suffix = 'csv'")
+    paths = [r["path"] for r in csv.select("path").limit(MAX_NAMED_FILES + 1).collect()]
+    if not paths:
+        return None
+    return scan_csv(spark, folder, csv) if len(paths) > MAX_NAMED_FILES else scan_csv(spark, paths)
 
 
 def ingest(
@@ -74,21 +77,12 @@ def ingest(
     scratch = scratch_folder(spark, "ingest")
     fresh = written(landing.skip_ingested(files, workspace.manifest.read()), scratch, "fresh")
 
-    parts, contributed, rejected = [], [], []
-    source, filter_rows = _csv_sources(spark, folder, fresh)
-    if source:
-        scan = scan_csv(spark, source)
-        rows, accepted, refused = scan.rows, scan.accepted, scan.rejected
-        if filter_rows:
-            names = fresh.select("file_name")
-            rows = rows.join(names.withColumnRenamed("file_name", "source_file"), "source_file", "left_semi")
-            accepted, refused = (
-                d.withColumn("file_name", landing.file_name(F.col("path"))).join(names, "file_name", "left_semi")
-                for d in (accepted, refused)
-            )
-        parts.append(rows.select(RAW_ROW.names[:-1]))
-        contributed.append(accepted.select(landing.file_name(F.col("path")).alias("file_name")))
-        rejected.append(refused.select("path", "reason"))
+    parts, contributed = [], []
+    scan = _scan_fresh(spark, folder, fresh)
+    if scan is not None:
+        parts.append(scan.rows.select(RAW_ROW.names[:-1]))
+        contributed.append(scan.accepted.select(landing.file_name(F.col("path")).alias("file_name")))
+        workspace.rejected_files.append(scan.rejected.withColumn("batch_id", F.lit(batch_id)))
     if table_rows is not None:
         fresh_names = fresh.filter("suffix = 'pdf'").select(F.col("file_name").alias("source_file"))
         cells = normalize_table_rows(table_rows).join(fresh_names, "source_file", "left_semi")
@@ -99,9 +93,6 @@ def ingest(
 
     raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     names = contributed[0] if len(contributed) == 1 else contributed[0].unionByName(contributed[1])
-    for refused in rejected:
-        workspace.rejected_files.append(refused.withColumn("batch_id", F.lit(batch_id)))
-    # fixed before the write: afterwards the same files would count as ingested
     entries = fresh.join(names, "file_name", "left_semi").select(
         "file_hash", "file_name", F.lit(batch_id).alias("batch_id"), F.current_timestamp().alias("processed_at")
     )

@@ -158,11 +158,19 @@ def _quoted_rows(spark, source, usable, width):
     return _finish(numbered, F.col("cells"), F.col("_row")), per_file
 
 
-def scan_csv(spark: SparkSession, source) -> CsvScan:
-    """``source``: a folder or a list of paths. Only one width and one count are collected."""
+def scan_csv(spark: SparkSession, source, only: DataFrame | None = None) -> CsvScan:
+    """``source``: a folder or a list of paths; ``only``: the file names of it to use.
+
+    Only one width and one count are collected.
+    """
     folder = scratch_folder(spark, "csv")
     lines = _lines(spark, source)
-    blocks = written(_profile(lines), folder, "splits")
+    profile = _profile(lines)
+    if only is not None:  # files are left out per split, never per row
+        profile = profile.withColumn("file_name", file_name(F.col("path"))).join(
+            only.select("file_name"), "file_name", "left_semi"
+        )
+    blocks = written(profile, folder, "splits")
     described = _described(blocks).withColumn("header_fields", _field_count(F.col("header")))
     shape = described.agg(
         F.max("header_fields").alias("width"), F.count_if(~F.col("plain")).alias("quoted")

@@ -150,3 +150,35 @@ def test_ingest_of_extracted_cells(spark, tmp_path, tmp_path_factory):
         ("02-02-2026", "x", None, None, None, "2", "1", "PDF"),
     }
     assert ingest(ws, str(tmp_path), table_rows=cells) is None
+
+
+def test_many_files_are_scanned_by_folder(spark, folder, tmp_path_factory, monkeypatch):
+    from passbook.plans import ingest as plan
+
+    monkeypatch.setattr(plan, "MAX_NAMED_FILES", 1)
+    ws = Workspace(spark, str(tmp_path_factory.mktemp("ws")))
+    assert ingest(ws, str(folder)).rows == 9
+    (folder / "new.csv").write_text(HEADER + "03-02-2026,fresh,1,,2\n")
+    (folder / "newer.csv").write_text(HEADER + "03-02-2026,fresher,1,,2\n")
+    assert ingest(ws, str(folder)).rows == 2
+
+
+def test_large_files_are_hashed_by_line(spark, tmp_path):
+    text = HEADER + "".join(f"01-02-2026,item {i},{i},,\n" for i in range(500))
+    (tmp_path / "a.csv").write_text(text)
+    (tmp_path / "b.csv").write_text(text)
+    (tmp_path / "c.csv").write_text(text.replace("item 7,", "item 8,"))
+    (tmp_path / "small.csv").write_text(HEADER)
+
+    def hashes(split):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        files = landing.fingerprint_files(spark, str(tmp_path), whole_file_bytes=1000)
+        return {r["file_name"]: r["file_hash"] for r in files.collect()}
+
+    try:
+        got = hashes("1024")
+        assert got["a.csv"] == got["b.csv"] != got["c.csv"]
+        assert got == hashes("128m")
+        assert got["small.csv"] == hashlib.sha256(HEADER.encode()).hexdigest()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
