@@ -18,12 +18,17 @@ def running_balance(
 ) -> DataFrame:
     """``moves``: account, d, seq, amount. ``opening``: account, opening (missing counts as 0).
 
+    A move without an account, day or sequence number has no place in a balance and is left out.
+
     ``seq`` is unique inside an account and day, so a chunk (account, day, seq range) never
     holds more than ``seq_per_chunk`` rows.
     """
     chunk = ["account", "d", "seq_range"]
-    parts = moves.withColumn("seq_range", F.floor(F.col("seq") / seq_per_chunk)).withColumn(
-        "amount", F.col("amount").cast(MONEY)
+    # the null tests are those both uses of the rows need, so that they share one shuffle
+    parts = (
+        moves.withColumn("seq_range", F.expr(f"seq div {int(seq_per_chunk)}"))
+        .withColumn("amount", F.col("amount").cast(MONEY))
+        .filter("account IS NOT NULL AND d IS NOT NULL AND seq_range IS NOT NULL")
     )
     in_chunk = Window.partitionBy(*chunk).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
     local = parts.withColumn("_sum", F.sum("amount").over(in_chunk).cast(MONEY)).withColumn(

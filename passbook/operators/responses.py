@@ -21,6 +21,7 @@ def _items(responses: DataFrame) -> DataFrame:
     return parsed.select(
         "batch_id",
         "attempt",
+        "n_rows",
         F.col("_doc").isNotNull().alias("_is_json"),
         F.col("_results").isNotNull().alias("_has_list"),
         F.posexplode_outer("_results").alias("_pos", "_item"),
@@ -32,7 +33,7 @@ def validate_responses(batch_sizes: DataFrame, responses: DataFrame) -> DataFram
 
     ``batch_sizes``: batch_id, n_rows. ``responses``: batch_id, attempt, raw.
     """
-    items = _items(responses).join(batch_sizes.select("batch_id", "n_rows"), "batch_id")
+    items = _items(responses.join(batch_sizes.select("batch_id", "n_rows"), "batch_id"))
     id_value = F.try_variant_get("_item", "$.id", "variant")
     category_value = F.try_variant_get("_item", "$.category", "variant")
     id_kind = F.schema_of_variant(id_value)
