@@ -1,6 +1,7 @@
 """Index rows: rendering, embedding, and keeping an index in step with Gold."""
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,16 +44,23 @@ def hashed_embedder(dims: int = HASHED_DIMS):
     """
 
     def load():
+        token = re.compile(r"[a-z0-9]+|\n")
+
         def embed(texts: pd.Series) -> np.ndarray:
-            tokens = texts.fillna("").str.lower().str.findall("[a-z0-9]+")
-            row = np.repeat(np.arange(len(tokens)), tokens.str.len())
-            codes, distinct = pd.factorize(np.array([t for ts in tokens for t in ts], dtype=object))
+            if texts.empty:
+                return np.zeros((0, dims))
+            # one pass over the whole batch; a line break ends a text, its own become spaces
+            lowered = texts.fillna("").str.lower().str.replace("\n", " ", regex=False)
+            found = token.findall("\n".join([*lowered, ""]))
+            codes, distinct = pd.factorize(np.array(found, dtype=object))
+            ends = codes == np.flatnonzero(distinct == "\n")[0]
+            row = np.cumsum(ends)[~ends]
             digests = [hashlib.md5(t.encode()).hexdigest() for t in distinct]
             bucket = np.array([int(h[:8], 16) % dims for h in digests], dtype=np.int64)
             sign = np.array([1.0 if int(h[8], 16) % 2 == 0 else -1.0 for h in digests])
-            counts = np.zeros((len(tokens), dims))
-            if len(codes):
-                np.add.at(counts, (row, bucket[codes]), sign[codes])
+            seen = codes[~ends]
+            counts = np.bincount(row * dims + bucket[seen], sign[seen], minlength=len(texts) * dims)
+            counts = counts.reshape(len(texts), dims).astype(np.float64)
             norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
             return np.divide(counts, norms, out=np.zeros_like(counts), where=norms > 0)
 

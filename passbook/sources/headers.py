@@ -48,8 +48,7 @@ def missing_required(positions: str) -> Column:
 def map_headers(headers: DataFrame) -> DataFrame:
     """``file, pos, header`` rows -> the claimed canonical column, NULL when ignored.
 
-    The smallest position claims a column; with the file's own positions as the second key part a
-    group holds the few spellings of one column in one file.
+    In a file, the smallest position claims a column and later spellings of it are ignored.
     """
     named = headers.withColumn("_name", canonical_name(F.col("header")))
     claims = (
