@@ -2,9 +2,11 @@
 
 from passbook.llm.bpe import op10_byte_bpe
 from passbook.llm.quality import op4_quality
+from passbook.llm.simhash import op7_simhash
 
 QUERIES = {
     "op4_quality": op4_quality,
+    "op7_simhash": op7_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
