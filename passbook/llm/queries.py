@@ -1,10 +1,12 @@
 """The queries of this subpackage, by name, and their SQL where SQL can say it."""
 
 from passbook.llm.bpe import op10_byte_bpe
+from passbook.llm.decontaminate import op3_decontaminate
 from passbook.llm.quality import op4_quality
 from passbook.llm.simhash import op7_simhash
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
     "op7_simhash": op7_simhash,
     "op10_byte_bpe": op10_byte_bpe,
