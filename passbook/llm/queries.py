@@ -2,10 +2,12 @@
 
 from passbook.llm.bpe import op10_byte_bpe
 from passbook.llm.decontaminate import op3_decontaminate
+from passbook.llm.pii import op2_pii
 from passbook.llm.quality import op4_quality
 from passbook.llm.simhash import op7_simhash
 
 QUERIES = {
+    "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
     "op7_simhash": op7_simhash,
