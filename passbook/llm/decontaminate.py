@@ -24,6 +24,7 @@ repeated document rows give repeated rows; repeated items count as separate item
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -313,20 +314,22 @@ def _arrow_type(benchmark: DataFrame):
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item; all columns kept, in one pass."""
-    import pandas as pd
-
     kept = docs
     for block in benchmark_blocks(benchmark):
-        index = Index(block)
+        kept = kept.where(~_holds(Index(block))("text"))
+    return kept
 
-        @F.pandas_udf("boolean")
-        def leaked(texts: pd.Series, index=index) -> pd.Series:
-            values = ["" if t is None else t for t in texts]
-            flags = [bool(hits) for a, b in text_slices(values, 8_000_000) for hits in find_items(index, values[a:b])]
-            return pd.Series(flags, dtype=bool)
 
-        kept = kept.where(~leaked("text"))
-    return kept
+def _holds(index: Index):
+    """Column function: does a text hold an item of ``index``."""
+
+    @F.pandas_udf("boolean")
+    def leaked(texts: pd.Series) -> pd.Series:
+        values = ["" if t is None else t for t in texts]
+        flags = [bool(hits) for a, b in text_slices(values, 8_000_000) for hits in find_items(index, values[a:b])]
+        return pd.Series(flags, dtype=bool)
+
+    return leaked
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
