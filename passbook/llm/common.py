@@ -61,17 +61,17 @@ def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list]],
     return docs.mapInArrow(run, f"doc_id {kind}, {fields}")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, per_class: int) -> DataFrame:
-    """At most ``per_class`` labelled training documents of each class (doc_id, text, y), chosen by hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Column, most: int, by_class: bool = True) -> DataFrame:
+    """At most ``most`` labelled training documents (of each class, or of all) as (doc_id, text, y), by hash of the id.
 
     ``train`` is a condition on ``doc_id``. Labels other than 0 and 1 are ignored; of repeated labels
-    the largest counts. The chosen ids are at most ``2 * per_class`` rows, which bounds the broadcast.
+    the largest counts. The chosen ids are at most ``2 * most`` rows, which bounds the broadcast.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & train)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+    for side in (F.col("y") == 0, F.col("y") == 1) if by_class else (F.lit(True),):
+        part = known.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionAll(part)
     return whole_texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
 

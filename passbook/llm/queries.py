@@ -5,8 +5,10 @@ from passbook.llm.decontaminate import op3_decontaminate
 from passbook.llm.pii import op2_pii
 from passbook.llm.quality import op4_quality
 from passbook.llm.simhash import op7_simhash
+from passbook.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
