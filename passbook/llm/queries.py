@@ -1,6 +1,7 @@
 """The queries of this subpackage, by name, and their SQL where SQL can say it."""
 
 from passbook.llm.bpe import op10_byte_bpe
+from passbook.llm.chat import OP5_SQL, op5_chat
 from passbook.llm.decontaminate import op3_decontaminate
 from passbook.llm.pii import op2_pii
 from passbook.llm.quality import op4_quality
@@ -12,8 +13,9 @@ QUERIES = {
     "op2_pii": op2_pii,
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
+    "op5_chat": op5_chat,
     "op7_simhash": op7_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_chat": OP5_SQL}
