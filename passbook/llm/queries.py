@@ -7,6 +7,7 @@ from passbook.llm.pii import op2_pii
 from passbook.llm.quality import op4_quality
 from passbook.llm.simhash import op7_simhash
 from passbook.llm.toxicity import op1_toxicity
+from passbook.llm.urls import op6_urls
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
+    "op6_urls": op6_urls,
     "op7_simhash": op7_simhash,
     "op10_byte_bpe": op10_byte_bpe,
 }
