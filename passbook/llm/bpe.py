@@ -14,7 +14,7 @@ import hashlib
 import heapq
 import unicodedata
 from collections.abc import Callable
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -200,27 +200,51 @@ def _merge_long(data: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
 
 
 class PieceCache:
-    """Ids of pieces; holds two generations, so memory is bounded and frequent pieces stay."""
-
-    def __init__(self, encode: Callable[[list[str]], list[tuple[int, ...]]], limit: int = 400_000, longest: int = 64):
-        self.encode, self.limit, self.longest = encode, limit, longest
-        self.new: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
-
-    def ids(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        new = self.new
-        found = list(map(new.get, pieces))
-        missing = {p for p, x in zip(pieces, found, strict=True) if x is None}
-        if missing:
-            old = self.old
-            here = {p: old[p] for p in missing if p in old}
-            unknown = [p for p in missing if p not in here]
-            here.update(zip(unknown, self.encode(unknown), strict=True))
-            found = [here[p] if x is None else x for p, x in zip(pieces, found, strict=True)]
-            if len(new) + len(here) > self.limit:
-                self.old, self.new = new, {}
-            self.new.update((p, x) for p, x in here.items() if len(p) <= self.longest)
-        return found
+    """Ids of pieces: a number for each piece, and all pieces' ids in one array.
+
+    When over ``limit`` pieces are held, those met only once since the last time go, so memory is
+    bounded and frequent pieces stay.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[tuple[int, ...]]], limit: int = 600_000):
+        self.encode, self.limit = encode, limit
+        self._reset({}, np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int64))
+
+    def _reset(self, slots: dict[str, int], ids: np.ndarray, bounds: np.ndarray, hits: np.ndarray) -> None:
+        self.slots, self.store, self.bounds, self.hits = slots, ids, bounds, hits
+
+    def _add(self, pieces: list[str]) -> None:
+        made = self.encode(pieces)
+        first = len(self.bounds) - 1
+        self.slots.update(zip(pieces, range(first, first + len(pieces)), strict=True))
+        sizes = np.fromiter(map(len, made), dtype=np.int64, count=len(made))
+        fresh = np.fromiter(chain.from_iterable(made), dtype=np.uint32, count=int(sizes.sum()))
+        bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self._reset(self.slots, np.concatenate([self.store, fresh]), bounds, np.concatenate([self.hits, np.zeros(len(made), np.int64)]))
+
+    def _shrink(self) -> None:
+        keep = self.hits > 1
+        number = np.cumsum(keep) - 1
+        kept, at = keep.tolist(), number.tolist()
+        slots = {p: at[i] for p, i in self.slots.items() if kept[i]}
+        sizes = np.diff(self.bounds)
+        self._reset(slots, self.store[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[keep])]), self.hits[keep] // 2)
+
+    def flat(self, split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts in one array, and where each text's ids end."""
+        pieces = list(chain.from_iterable(split))
+        if len(self.slots) > self.limit or len(self.store) > 8 * self.limit:
+            self._shrink()
+        at = np.fromiter(map(self.slots.get, pieces, repeat(-1)), dtype=np.int64, count=len(pieces))
+        open_at = np.flatnonzero(at < 0).tolist()
+        if open_at:
+            self._add(list(dict.fromkeys(pieces[i] for i in open_at)))
+            at[open_at] = [self.slots[pieces[i]] for i in open_at]
+        self.hits += np.bincount(at, minlength=len(self.hits))
+        sizes = np.diff(self.bounds)[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.store[np.repeat(self.bounds[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return ids, ends[np.cumsum(np.fromiter(map(len, split), dtype=np.int64, count=len(split)))]
 
 
 class ByteBPE:
@@ -238,12 +262,11 @@ class ByteBPE:
         self.cache = PieceCache(lambda pieces: [merge_pairs(p.encode("utf-8", "replace"), self.ranks) for p in pieces])
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        split = split_texts(texts, self.classes)
-        found = self.cache.ids(list(chain.from_iterable(split)))
-        out, at = [], 0
-        for pieces in split:
-            out.append(list(chain.from_iterable(found[at : at + len(pieces)])))
-            at += len(pieces)
+        ids, ends = self.cache.flat(split_texts(texts, self.classes))
+        flat, at, out = ids.tolist(), 0, []
+        for end in ends.tolist():
+            out.append(flat[at:end])
+            at = end
         return out
 
     def encode_with_offsets(self, text: str) -> tuple[list[int], np.ndarray]:

@@ -6,6 +6,7 @@ from passbook.llm.decontaminate import op3_decontaminate
 from passbook.llm.pii import op2_pii
 from passbook.llm.quality import op4_quality
 from passbook.llm.simhash import op7_simhash
+from passbook.llm.token_blocks import op8_token_blocks
 from passbook.llm.toxicity import op1_toxicity
 from passbook.llm.urls import op6_urls
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_chat": op5_chat,
     "op6_urls": op6_urls,
     "op7_simhash": op7_simhash,
+    "op8_token_blocks": op8_token_blocks,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
