@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, and their SQL where SQL can say it."""
 
+from passbook.llm.ann import op9_ann
 from passbook.llm.bpe import op10_byte_bpe
 from passbook.llm.chat import OP5_SQL, op5_chat
 from passbook.llm.decontaminate import op3_decontaminate
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_urls": op6_urls,
     "op7_simhash": op7_simhash,
     "op8_token_blocks": op8_token_blocks,
+    "op9_ann": op9_ann,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
