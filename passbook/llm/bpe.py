@@ -17,6 +17,7 @@ from collections.abc import Callable
 from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from passbook.llm.common import map_texts
@@ -299,7 +300,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
         def run(texts):
             ids = bpe.encode(texts)
-            return [ids, [bpe.decode(x) for x in ids]]
+            return [pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.binary())]
 
         return run
 

@@ -83,7 +83,8 @@ class ByteCNN:
     def scores(self, texts: list[bytes]) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
-        return sigmoid(self.logits(texts).astype(np.float64))
+        # Sums of 32-bit numbers depend in their last bits on what is multiplied with them.
+        return np.round(sigmoid(self.logits(texts).astype(np.float64)), 5)
 
     def gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray):
         p = self.p

@@ -171,7 +171,7 @@ class Boosted:
         return np.array([value[n] for n in at.tolist()]) if len(at) else np.empty(0)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        f, bins = np.full(len(x), self.base), self._bins(x)
+        f, bins = np.full(len(x), self.base), self._bins(x) if self.trees else None
         for tree in self.trees:
             f += self._leaf_values(tree, bins)
         return sigmoid(f)
@@ -195,7 +195,7 @@ class Judge:
                 n, k = (n0 + n1, k0 + k1) if half is None else (n1, k1) if half[i] == 0 else (n0, k0)
                 row.append((k + PRIOR_ROWS * self.share[name]) / (n + PRIOR_ROWS))
             out.append(row)
-        return np.array(out, dtype=float).reshape(len(out), -1)
+        return np.array(out, dtype=float) if out else np.zeros((0, 0))
 
 
 def train(split: DataFrame, rules=RULES, sample: int = SAMPLE) -> Judge:
