@@ -13,7 +13,7 @@ def _category(item):
 
 
 def rule_client():
-    def call(payload: str) -> str:
+    def call(payload: str, system: str) -> str:
         return json.dumps({"results": [{"id": i["id"], "category": _category(i)} for i in json.loads(payload)]})
 
     return call
@@ -23,8 +23,8 @@ def half_trained_client():
     """Adds a remark after the JSON whenever the batch has an odd number of rows."""
     good = rule_client()
 
-    def call(payload: str) -> str:
+    def call(payload: str, system: str) -> str:
         odd = len(json.loads(payload)) % 2
-        return good(payload) + (" Hope this helps!" if odd else "")
+        return good(payload, system) + (" Hope this helps!" if odd else "")
 
     return call

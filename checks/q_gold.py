@@ -216,7 +216,7 @@ def _(spark, sf):
 
 
 def _cents(expression):
-    return f"CAST(coalesce(sum(CAST({expression} AS DECIMAL(18,2))), 0) AS DOUBLE)"
+    return f"CAST(coalesce(sum(CAST({expression} AS DECIMAL(38,10))), 0) AS DOUBLE)"
 
 
 _KPI_SQL = f"""SELECT {_cents('CASE WHEN amount > 0 THEN amount END')} AS income,

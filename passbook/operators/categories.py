@@ -74,9 +74,19 @@ def cache_stats(looked_up: DataFrame) -> DataFrame:
 
 def cache_entries(results: DataFrame, origin: Column) -> DataFrame:
     """Results as cache rows. Fallbacks are cached as well, so they are not asked again."""
-    return results.select("txn_key_hash", "category", origin.alias("origin"))
-
-
-def readable_cache(cache: DataFrame, retry_fallbacks: bool = False) -> DataFrame:
-    """The part of the cache that counts as an answer."""
-    return cache.filter(F.col("origin") != "fallback") if retry_fallbacks else cache
+    return results.select("txn_key_hash", "category", origin.alias("origin"), F.current_timestamp().alias("decided_at"))
+
+
+def readable_cache(cache: DataFrame, retry_fallbacks: bool = False, with_model: bool = False) -> DataFrame:
+    """The decisions that count as answers: the last one of each key, one row per key.
+
+    ``retry_fallbacks`` leaves out what a model failed to answer; ``with_model`` leaves out what the
+    rules left unset, so that a model plugged in later is asked.
+    """
+    last = F.max_by(F.struct("category", "origin"), F.struct("decided_at", "origin", "category"))
+    answers = cache.groupBy("txn_key_hash").agg(last.alias("_last")).select("txn_key_hash", "_last.*")
+    if retry_fallbacks:
+        answers = answers.filter(F.col("origin") != "fallback")
+    if with_model:
+        answers = answers.filter((F.col("origin") != "rule") | (F.col("category") != UNSET_CATEGORY))
+    return answers

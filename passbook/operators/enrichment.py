@@ -1,6 +1,7 @@
 """Calling an external model from tasks, with every attempt kept as a row.
 
-A client is any ``load() -> call(text) -> text``; ``load`` runs once per task. It raises
+A client is any ``load() -> call(text, system) -> text``, ``system`` being the instructions that go
+with the text; ``load`` runs once per task. It raises
 ``Transient`` for what may pass on a later attempt and ``Refused`` for what will not.
 """
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from passbook.operators.batching import request_payloads
 from passbook.operators.responses import first_valid_attempt, validate_responses, with_fallback
+from passbook.schemas import CATEGORY_OPTIONS
 
 
 class Transient(Exception):
@@ -41,6 +43,15 @@ class RetryPolicy:
 CATEGORIZE_RETRIES = RetryPolicy(attempts=4)
 ANSWER_RETRIES = RetryPolicy(attempts=3)
 
+# The instructions that go with every categorising request.
+CATEGORIZE_SYSTEM = (
+    "You sort bank transactions into categories. The message is a JSON list of transactions with id, description and "
+    'amount. Reply with one JSON object {"results": [{"id": 0, "category": "..."}]} and nothing else: every id exactly '
+    f"once, each category one of: {', '.join(CATEGORY_OPTIONS)}."
+)
+# Fixed value: what is shown when a call fails.
+FAILED_ANSWER = "Sorry, I couldn't generate an answer right now ({}). Please try again."
+
 _RESPONSE = "batch_id string, raw string, error string, final boolean"
 
 
@@ -56,7 +67,7 @@ def call_batches(payloads: DataFrame, load: Callable, attempt: int, tasks: int |
             out = []
             for batch_id, payload in zip(page["batch_id"], page["payload"]):
                 try:
-                    out.append((batch_id, call(payload), None, False))
+                    out.append((batch_id, call(payload, CATEGORIZE_SYSTEM), None, False))
                 except Transient as error:
                     out.append((batch_id, None, str(error), False))
                 except Refused as error:
@@ -107,7 +118,7 @@ def categorize_with_model(
 def echo_client():
     """The offline default: repeats the evidence lines of the prompt."""
 
-    def call(prompt: str) -> str:
+    def call(prompt: str, system: str) -> str:
         lines = [line for line in prompt.split("\n") if line.startswith("- ")]
         return "\n".join(lines)
 
@@ -124,10 +135,10 @@ def answer_prompts(
     """query_id, answer. A failed call becomes a sentence in its row; a RuntimeError (a client
     that is not configured) stops the job."""
 
-    def one(call, prompt):
+    def one(call, prompt, system):
         for attempt in range(1, policy.attempts + 1):
             try:
-                return call(prompt)
+                return call(prompt, system)
             except RuntimeError:
                 raise
             except Transient as error:
@@ -137,18 +148,18 @@ def answer_prompts(
             except Exception as error:  # one question must not stop the others
                 failure = error
                 break
-        return f"Sorry, I couldn't generate an answer right now ({failure}). Please try again."
+        return FAILED_ANSWER.format(failure)
 
     def ask(pages):
         call = load()
         for page in pages:
             answers = [
-                message if message is not None else one(call, prompt)
-                for message, prompt in zip(page["message"], page["prompt"])
+                message if message is not None else one(call, prompt, system)
+                for message, prompt, system in zip(page["message"], page["prompt"], page["system"])
             ]
             yield pd.DataFrame({"query_id": page["query_id"], "answer": answers})
 
     kind = prompts.schema["query_id"].dataType.simpleString()
-    source = prompts.select("query_id", "prompt", "message")
+    source = prompts.select("query_id", "prompt", "system", "message")
     source = source.repartition(tasks) if tasks else source
     return source.mapInPandas(ask, f"query_id {kind}, answer string")

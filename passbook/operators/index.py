@@ -86,8 +86,8 @@ def embed(df: DataFrame, text: str, load=None, out: str = "embedding") -> DataFr
 def compare_index(previous: DataFrame, documents: DataFrame) -> DataFrame:
     """Every id of either side with its ``action``: keep, embed or drop.
 
-    One full join on id that carries hashes, not vectors. A row whose hash is unchanged is kept
-    as it is.
+    One full join of ids and hashes; texts and vectors stay where they are. A row whose hash is
+    unchanged is kept as it is.
     """
     old = previous.select("id", F.col("document_hash").alias("_old_hash"))
     action = (
@@ -95,7 +95,12 @@ def compare_index(previous: DataFrame, documents: DataFrame) -> DataFrame:
         .when(F.col("_old_hash") == F.col("document_hash"), "keep")
         .otherwise("embed")
     )
-    return documents.join(old, "id", "full").withColumn("action", action).drop("_old_hash")
+    return documents.select("id", "document_hash").join(old, "id", "full").withColumn("action", action).drop("_old_hash")
+
+
+def with_documents(changes: DataFrame, documents: DataFrame) -> DataFrame:
+    """Changes with the document and metadata of their ids; few changes are broadcast by the planner."""
+    return changes.join(documents.select("id", "document", "metadata"), "id", "left")
 
 
 def sync_figures():

@@ -6,12 +6,18 @@ from pyspark.sql import functions as F
 from passbook import functions as fn
 from passbook.schemas import MANUAL_SOURCE
 
-MONEY = "decimal(18,2)"
+MONEY = "decimal(38,10)"
 
 
 def exact_sum(amount: Column) -> Column:
-    """Sum of cents: the result does not depend on the order partitions arrive in."""
-    return F.coalesce(F.sum(amount.cast(MONEY)), F.lit(0).cast(MONEY)).cast("double")
+    """Sum to ten decimals, so the result does not depend on the order partitions arrive in.
+
+    Where an amount or the sum does not fit (1e28 and more), the sum is one of doubles.
+    """
+    exact = F.try_sum(amount.try_cast(MONEY))
+    fits = F.count_if(amount.isNotNull() & amount.try_cast(MONEY).isNull()) == 0
+    plain = F.coalesce(F.sum(amount.cast("double")), F.lit(0.0))
+    return F.when(fits & exact.isNotNull(), exact.cast("double")).otherwise(plain)
 
 
 def filter_date_range(df: DataFrame, start=None, end=None) -> DataFrame:

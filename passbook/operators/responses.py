@@ -12,9 +12,12 @@ from passbook.schemas import UNSET_CATEGORY
 
 
 def _items(responses: DataFrame) -> DataFrame:
-    # try_parse_json accepts text after the object; a JSON object ends in its brace
-    closed = F.col("raw").rlike(r"\}\s*\z")
-    doc = F.when(closed, F.try_parse_json("raw"))
+    # try_parse_json ignores what follows the first value. Inside a list and inside an object the
+    # text must be one value: whatever follows it would have to close both.
+    listed = F.try_parse_json(F.concat(F.lit("["), "raw", F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), "raw", F.lit("}")))
+    one = (F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1) & named.isNotNull()
+    doc = F.when(one & F.schema_of_variant(F.try_variant_get(listed, "$[0]", "variant")).startswith("OBJECT"), F.try_parse_json("raw"))
     parsed = responses.withColumn("_doc", doc).withColumn(
         "_results", F.try_variant_get("_doc", "$.results", "array<variant>")
     )

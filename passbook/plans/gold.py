@@ -91,7 +91,7 @@ def build_gold(
     """
     if not workspace.silver.exists():
         raise TableMissing(f"{workspace.silver.path}: refine first")
-    cache = cat.readable_cache(workspace.cache.read(), retry_fallbacks)
+    cache = cat.readable_cache(workspace.cache.read(), retry_fallbacks, with_model=load is not None)
     resolved = resolve(combined_rows(workspace.silver.read(), workspace.manual.read()), cache)
     if load is None:
         done = apply_rules(resolved)

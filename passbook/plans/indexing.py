@@ -6,7 +6,7 @@ from passbook.operators import index as ix
 from passbook.operators.quality import require_rows
 from passbook.plans.workspace import Workspace
 from passbook.scratch import scratch_folder, written
-from passbook.schemas import INDEX, require_columns
+from passbook.schemas import INDEX, require_columns, require_names
 from passbook.sources.tables import TableMissing
 
 GOLD_NEEDED = ("txn_key_hash", "txn_date", "description", "amount", "category", "source_type")
@@ -23,13 +23,14 @@ def sync_index(workspace: Workspace, load=None) -> dict:
     if not workspace.gold.exists():
         raise TableMissing(f"{workspace.gold.path}: build gold first")
     spark = workspace.spark
-    gold = require_rows(require_columns(workspace.gold.read(), GOLD_NEEDED), "gold")
+    require_names(workspace.gold.stored_columns(), GOLD_NEEDED)
+    gold = require_rows(workspace.gold.read(), "gold")
     known = workspace.index.exists()
     previous = workspace.index.read() if known else spark.createDataFrame([], INDEX)
-    figures = Observation()
-    compared = ix.compare_index(previous, ix.index_documents(gold)).observe(figures, *ix.sync_figures())
+    figures, documents = Observation(), ix.index_documents(gold)
+    compared = ix.compare_index(previous, documents).observe(figures, *ix.sync_figures())
     changes = written(compared.filter("action <> 'keep'"), scratch_folder(spark, "index"), "changes")
     counts = figures.get
     if counts["re_embedded"] or counts["removed_stale"] or not known:
-        workspace.index.publish(ix.apply_changes(previous, changes, load))
+        workspace.index.publish(ix.apply_changes(previous, ix.with_documents(changes, documents), load))
     return counts

@@ -16,8 +16,8 @@ from passbook.sources import files as landing
 from passbook.sources.csv_files import scan_csv
 from passbook.sources.table_cells import normalize_table_rows
 
-# up to this many new files are named to the scan; beyond it the folder is scanned and filtered
-MAX_NAMED_FILES = 10_000
+# about this many new files are named to one scan; more are taken in several rounds
+NAMED_FILES = 10_000
 
 
 def new_batch_id() -> str:
@@ -51,55 +51,64 @@ class IngestResult:
     files: int
 
 
-def _scan_fresh(spark, folder, fresh: DataFrame):
-    """The CSV files among ``fresh``, by name while they are few, otherwise by scanning the folder."""
-    csv = fresh.filter("suffix = 'csv'")
-    paths = [r["path"] for r in csv.select("path").limit(MAX_NAMED_FILES + 1).collect()]
-    if not paths:
-        return None
-    return scan_csv(spark, folder, csv) if len(paths) > MAX_NAMED_FILES else scan_csv(spark, paths)
-
-
 def ingest(
     workspace: Workspace,
     folder: str,
     table_rows: DataFrame | None = None,
     batch_id: str | None = None,
+    files: DataFrame | None = None,
 ) -> IngestResult | None:
     """Append the rows of every file not seen before; None when there is nothing new.
 
     ``table_rows`` holds the cells extracted from paged statements of the same folder, by
-    ``source_file``. A file that fails or has no rows is reported and tried again next time.
+    ``source_file``. ``files`` gives the fingerprints of the files to look at instead of all of
+    ``folder``. A file that fails or has no rows is reported and tried again next time. A run that
+    is repeated with the same ``batch_id`` replaces what it wrote.
     """
     spark = workspace.spark
     batch_id = batch_id or new_batch_id()
-    files = landing.fingerprint_files(spark, folder)
+    if files is None:
+        files = landing.fingerprint_files(spark, folder)
+        large = landing.oversized_files(spark, folder)
+        workspace.rejected_files.append(large.withColumn("batch_id", F.lit(batch_id)))
     scratch = scratch_folder(spark, "ingest")
     fresh = written(landing.skip_ingested(files, workspace.manifest.read()), scratch, "fresh")
+    rounds = max(1, -(-fresh.count() // NAMED_FILES))
+    dealt = fresh.withColumn("_round", F.pmod(F.xxhash64("file_hash"), F.lit(rounds)))
+    new_files = 0
+    for turn in range(rounds):
+        part = dealt.filter(F.col("_round") == turn).drop("_round")
+        new_files += _ingest_files(workspace, part, table_rows, batch_id if rounds == 1 else f"{batch_id}_{turn}")
+    if not new_files:
+        return None
+    rows = workspace.bronze.read().filter(F.col("batch_id").startswith(batch_id)).count()
+    return IngestResult(batch_id, rows, new_files)
+
 
+def _ingest_files(workspace: Workspace, fresh: DataFrame, table_rows: DataFrame | None, batch_id: str) -> int:
+    """The number of files that gave rows."""
+    spark = workspace.spark
     parts, contributed = [], []
-    scan = _scan_fresh(spark, folder, fresh)
-    if scan is not None:
+    paths = [landing.literal_path(r["path"]) for r in fresh.filter("suffix = 'csv'").select("path").collect()]
+    if paths:
+        scan = scan_csv(spark, paths)
         parts.append(scan.rows.select(RAW_ROW.names[:-1]))
-        contributed.append(scan.accepted.select(landing.file_name(F.col("path")).alias("file_name")))
+        contributed.append(scan.accepted.select("path"))
         workspace.rejected_files.append(scan.rejected.withColumn("batch_id", F.lit(batch_id)))
     if table_rows is not None:
-        fresh_names = fresh.filter("suffix = 'pdf'").select(F.col("file_name").alias("source_file"))
-        cells = normalize_table_rows(table_rows).join(fresh_names, "source_file", "left_semi")
+        paged = fresh.filter("suffix = 'pdf'").select(F.col("file_name").alias("source_file"), "path")
+        cells = normalize_table_rows(table_rows).join(paged.select("source_file"), "source_file", "left_semi")
         parts.append(cells.select(RAW_ROW.names[:-1]))
-        contributed.append(cells.select(F.col("source_file").alias("file_name")).distinct())
+        contributed.append(paged.join(cells.select("source_file"), "source_file", "left_semi").select("path"))
     if not parts:
-        return None
-
+        return 0
     raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     names = contributed[0] if len(contributed) == 1 else contributed[0].unionByName(contributed[1])
-    entries = fresh.join(names, "file_name", "left_semi").select(
+    entries = fresh.join(names, "path", "left_semi").select(
         "file_hash", "file_name", F.lit(batch_id).alias("batch_id"), F.current_timestamp().alias("processed_at")
     )
     new_files = entries.count()
-    if not new_files:
-        return None
-    workspace.bronze.append(bronze_rows(raw, batch_id))
-    workspace.manifest.append(entries)
-    rows = workspace.bronze.read().filter(F.col("batch_id") == batch_id).count()
-    return IngestResult(batch_id, rows, new_files)
+    if new_files:
+        workspace.bronze.append(bronze_rows(raw, batch_id), replace=True)
+        workspace.manifest.append(entries)
+    return new_files

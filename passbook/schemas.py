@@ -81,7 +81,7 @@ MANUAL = T.StructType(
     ]
 )
 
-CACHE = T.StructType(_strings(["txn_key_hash", "category", "origin"]))
+CACHE = T.StructType(_strings(["txn_key_hash", "category", "origin"]) + [T.StructField("decided_at", T.TimestampType())])
 
 MANIFEST = T.StructType(
     _strings(["file_hash", "file_name", "batch_id"])
@@ -116,10 +116,14 @@ class EmptyTable(ValueError):
     """A table that must hold rows is empty."""
 
 
-def require_columns(df, names):
-    missing = [n for n in names if n not in df.columns]
+def require_names(have, names):
+    missing = [n for n in names if n not in have]
     if missing:
         raise MissingColumns(f"missing column(s): {', '.join(missing)}")
+
+
+def require_columns(df, names):
+    require_names(df.columns, names)
     return df
 
 

@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster names no shared folder for run-time tables."""
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder on the shared file system the cluster names for checkpoints.
 
-    Only where no such folder is set (a laptop, a test) is a local temporary folder used.
+    Without that setting a session on one machine (master ``local``) uses a temporary folder of that
+    machine; on a cluster it is an error, as executors would each write to their own disk.
     """
-    base = spark.conf.get(CHECKPOINT_SETTING, None) or tempfile.mkdtemp(prefix="passbook-")
+    base = spark.conf.get(CHECKPOINT_SETTING, None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise NoSharedFolder(f"set {CHECKPOINT_SETTING} to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="passbook-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from passbook.schemas import RAW_FIELDS
 from passbook.scratch import scratch_folder, written
-from passbook.sources.files import file_name
+from passbook.sources.files import file_name, literal_path, plain_path
 from passbook.sources.headers import column_positions, missing_required
 
 CSV_GLOB = "*.[cC][sS][vV]"
@@ -60,7 +60,7 @@ def _lines(spark: SparkSession, source) -> DataFrame:
     return (
         scan.select(
             "value",
-            F.col("_metadata.file_path").alias("path"),
+            plain_path(F.col("_metadata.file_path")).alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
         )
         .filter(F.trim("value") != "")
@@ -129,22 +129,29 @@ def _plain_rows(lines, blocks, usable, width):
     return _finish(_with_cells(text, F.col("_line"), width, "_cells"), F.col("_cells"), F.col("_row"))
 
 
-def _quoted_rows(spark, source, usable, width):
-    """Rows of files with line breaks inside quotes, plus the files whose rows are too wide."""
+def _quoted_rows(spark, usable, width):
+    """Rows of files with line breaks inside quotes, plus the files whose rows are too wide.
+
+    Only these files are read again, each by its name; there are at most as many as were scanned.
+    """
     schema = ", ".join(f"c{i} string" for i in range(width + 1))
     parts = []
     for utf8 in (True, False):
+        named = usable.filter(~F.col("plain") & (F.col("utf8") == utf8)).select("path").collect()
+        source = [literal_path(r["path"]) for r in named]
+        if not source:
+            continue
         reader = spark.read.schema(schema).option("pathGlobFilter", CSV_GLOB).option("multiLine", True)
         scan = reader.csv(source, encoding="UTF-8" if utf8 else LATIN1, **CSV_OPTIONS)
         parts.append(
             scan.select(
                 F.array(*[f"c{i}" for i in range(width + 1)]).alias("cells"),
-                F.col("_metadata.file_path").alias("path"),
+                plain_path(F.col("_metadata.file_path")).alias("path"),
             )
             .withColumn("_id", F.monotonically_increasing_id())
             .join(usable.filter(~F.col("plain") & (F.col("utf8") == utf8)), "path")
         )
-    rows = parts[0].unionByName(parts[1])
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     wide = F.exists(
         F.slice("cells", F.col("header_fields") + 1, width + 1), lambda c: c.isNotNull()
     )
@@ -158,24 +165,18 @@ def _quoted_rows(spark, source, usable, width):
     return _finish(numbered, F.col("cells"), F.col("_row")), per_file
 
 
-def scan_csv(spark: SparkSession, source, only: DataFrame | None = None) -> CsvScan:
-    """``source``: a folder or a list of paths; ``only``: the file names of it to use.
+def scan_csv(spark: SparkSession, source) -> CsvScan:
+    """``source``: a folder or a list of paths (plain names go through ``literal_path``).
 
-    Only one width and one count are collected.
+    The numbered lines are stored once: profile and rows come from the same lines, however the
+    files are split later. Collected are one width, one count, and the names of the files with line
+    breaks inside quotes.
     """
     folder = scratch_folder(spark, "csv")
-    lines = _lines(spark, source)
-    profile = _profile(lines)
-    if only is not None:  # files are left out per split, never per row
-        profile = profile.withColumn("file_name", file_name(F.col("path"))).join(
-            only.select("file_name"), "file_name", "left_semi"
-        )
-    blocks = written(profile, folder, "splits")
+    lines = written(_lines(spark, source), folder, "lines")
+    blocks = written(_profile(lines), folder, "splits")
     described = _described(blocks).withColumn("header_fields", _field_count(F.col("header")))
-    shape = described.agg(
-        F.max("header_fields").alias("width"), F.count_if(~F.col("plain")).alias("quoted")
-    ).first()
-    width = shape["width"] or 1
+    width = described.agg(F.max("header_fields")).first()[0] or 1
     named = _with_cells(described, F.col("header"), width, "names").withColumn(
         "positions", column_positions(F.col("names"))
     )
@@ -187,12 +188,14 @@ def scan_csv(spark: SparkSession, source, only: DataFrame | None = None) -> CsvS
     )
     judged = written(named.withColumn("reason", reason), folder, "files")
     usable = judged.filter(F.col("reason").isNull())
+    quoted_files = usable.filter(~F.col("plain")).count()
 
     rows = _plain_rows(lines, blocks, usable, width)
     accepted = usable.filter("plain").select("path", "rows")
     rejected = judged.filter(F.col("reason").isNotNull()).select("path", "reason")
-    if shape["quoted"]:
-        quoted, per_file = _quoted_rows(spark, source, usable, width)
+    if quoted_files:
+        quoted, per_file = _quoted_rows(spark, usable, width)
+        per_file = written(per_file, folder, "quoted")
         rows = rows.unionByName(quoted)
         why = F.when(F.col("_wide"), "row_wider_than_header").when(F.col("rows") <= 0, "no_rows")
         per_file = per_file.withColumn("reason", why)

@@ -1,11 +1,28 @@
-"""The landing folder as a table of files."""
+"""The landing folder as a table of files.
+
+A file is known by its decoded full path everywhere; ``_metadata.file_path`` is URL-encoded and goes
+through ``plain_path``.
+"""
+
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATEMENT_SUFFIXES = ("pdf", "csv")
 MAX_UPLOAD_BYTES = 20 * 1024 * 1024
-WHOLE_FILE_BYTES = 512 * 1024 * 1024
+#: Spark reads a file's bytes as one row, which holds less than 2 GB; uploads are far smaller.
+MAX_FILE_BYTES = 2**31 - 1
+
+
+def plain_path(encoded: Column) -> Column:
+    """The path that an encoded ``file_path`` stands for; a plus sign is itself."""
+    return F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
+
+
+def literal_path(path: str) -> str:
+    """A path to hand to a reader, with the characters of patterns taken literally."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 def file_name(path: Column) -> Column:
@@ -41,43 +58,22 @@ def discover_files(spark: SparkSession, folder: str) -> DataFrame:
     return list_files(spark, folder).filter(F.col("suffix").isin(*STATEMENT_SUFFIXES)).orderBy("path")
 
 
-def fingerprint_files(
-    spark: SparkSession, folder: str, whole_file_bytes: int = WHOLE_FILE_BYTES
-) -> DataFrame:
-    """path, file_name, suffix, file_hash of every statement file.
+def fingerprints(files: DataFrame) -> DataFrame:
+    """path, file_name, suffix, file_hash (sha256 of the bytes) of the statement files among ``files``."""
+    statements = files.withColumn("suffix", suffix(F.col("path"))).filter(F.col("suffix").isin(*STATEMENT_SUFFIXES))
+    digest = F.sha2("content", 256).alias("file_hash")
+    return statements.select("path", file_name(F.col("path")).alias("file_name"), "suffix", digest)
 
-    The hash is the sha256 of the bytes. A file above ``whole_file_bytes`` does not fit one row;
-    its lines are hashed where they are read and summed, which many tasks do for one file.
-    """
-    files = _binary(spark, folder).withColumn("suffix", suffix(F.col("path"))).filter(
-        F.col("suffix").isin(*STATEMENT_SUFFIXES)
-    )
-    hashed = files.filter(F.col("length") <= whole_file_bytes).select(
-        "path", "suffix", F.sha2("content", 256).alias("file_hash")
-    )
-    large = files.filter(F.col("length") > whole_file_bytes).select("path", "suffix", "length")
-    # at most total size / whole_file_bytes paths
-    paths = [r["path"] for r in large.select("path").collect()]
-    if paths:
-        hashed = hashed.unionByName(
-            large.join(_line_sums(spark, paths), "path").select(
-                "path", "suffix", F.sha2(F.concat_ws("|", "length", "lines", "left", "right"), 256).alias("file_hash")
-            )
-        )
-    return hashed.select("path", file_name(F.col("path")).alias("file_name"), "suffix", "file_hash")
-
-
-def _line_sums(spark: SparkSession, paths) -> DataFrame:
-    """Order-free digest of each file's lines; only numbers are aggregated."""
-    digest = F.sha2("value", 256)
-
-    def part(start):
-        return F.sum(F.conv(F.substring(digest, start, 15), 16, 10).cast("decimal(38,0)"))
-
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
-    return lines.groupBy("path").agg(
-        F.count(F.lit(1)).alias("lines"), part(1).alias("left"), part(16).alias("right")
-    )
+
+def fingerprint_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprints of every statement file of a folder, one rule for all sizes."""
+    return fingerprints(_binary(spark, folder).filter(F.col("length") <= MAX_FILE_BYTES))
+
+
+def oversized_files(spark: SparkSession, folder: str) -> DataFrame:
+    """path, reason of the statement files that cannot be read as one row; they are reported, not ingested."""
+    files = _binary(spark, folder).filter(F.col("length") > MAX_FILE_BYTES)
+    return files.filter(suffix(F.col("path")).isin(*STATEMENT_SUFFIXES)).select("path", F.lit("too_large").alias("reason"))
 
 
 def skip_ingested(files: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -39,8 +39,11 @@ class AppendTable:
         df = _read(self.spark, self.path, self.schema)
         return self.spark.createDataFrame([], self.schema) if df is None else df.select(self.schema.names)
 
-    def append(self, df: DataFrame) -> None:
+    def append(self, df: DataFrame, replace: bool = False) -> None:
+        """``replace``: the partitions that ``df`` has rows of are replaced, so a repeated run adds nothing."""
         writer = conform(df, self.schema).write.mode("append")
+        if replace and self.partition_by:
+            writer = conform(df, self.schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(self.path)
 
 
@@ -67,6 +70,13 @@ class VersionedTable:
     def exists(self) -> bool:
         return self.latest() is not None
 
+    def stored_columns(self) -> list[str]:
+        """The columns the files really hold; ``read`` fills absent ones with NULL."""
+        version = self.latest()
+        if version is None:
+            raise TableMissing(self.path)
+        return self.spark.read.parquet(f"{self.path}/data/{version}").columns
+
     def write(self, df: DataFrame, allow_empty: bool = False) -> str:
         """Write one version without showing it to readers."""
         version = uuid.uuid4().hex

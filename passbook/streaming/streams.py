@@ -5,13 +5,15 @@ restart after a lost driver neither loses nor repeats rows.
 """
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from passbook.operators.quality import clean_rows, split_valid
 from passbook.plans.ingest import ingest
 from passbook.plans.workspace import Workspace
 from passbook.schemas import BRONZE
-
+from passbook.scratch import scratch_folder, written
+from passbook.sources import files as landing
 
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -25,16 +27,22 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def bronze_stream(workspace: Workspace, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Run ``ingest`` whenever files arrive.
+def bronze_stream(workspace: Workspace, folder: str, checkpoint: str, once: bool = True, max_files: int = 10_000) -> StreamingQuery:
+    """Ingest the files of each micro-batch; earlier files are not read again.
 
-    The file source only says that something new is there (it knows files by path); the manifest
-    decides by content, so a copy under a new name is not ingested again.
+    The file source knows files by path; the manifest decides by content, so a copy under a new name
+    is not ingested again. The batch id follows from the files' hashes, so a replayed micro-batch
+    replaces what it wrote before it was stopped.
     """
-    source = workspace.spark.readStream.format("binaryFile").schema(_FILES)
-    arrivals = source.load(folder).select("path")
-    writer = arrivals.writeStream.foreachBatch(lambda _, batch: ingest(workspace, folder))
-    return _start(writer, checkpoint, once)
+    source = workspace.spark.readStream.format("binaryFile").schema(_FILES).option("maxFilesPerTrigger", max_files)
+
+    def arrived(files: DataFrame, batch: int) -> None:
+        prints = written(landing.fingerprints(files), scratch_folder(workspace.spark, "stream"), "files")
+        digest = prints.agg(F.hex(F.bit_xor(F.xxhash64("file_hash"))), F.count("*")).first()
+        if digest[1]:
+            ingest(workspace, folder, batch_id=f"stream_{digest[0]}_{digest[1]}", files=prints)
+
+    return _start(source.load(folder).writeStream.foreachBatch(arrived), checkpoint, once)
 
 
 def bronze_source(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -46,7 +54,8 @@ def silver_stream(bronze: DataFrame, valid_path: str, quarantine_path: str, chec
     """Cleaning is stateless, so it is the batch function; two sinks per micro-batch."""
 
     def both(rows: DataFrame, batch: int) -> None:
-        valid, bad = split_valid(rows)
+        # cleaned once: both sinks read what was stored
+        valid, bad = split_valid(written(rows, scratch_folder(rows.sparkSession, "silver"), "cleaned"))
         _write(valid, valid_path, batch)
         _write(bad, quarantine_path, batch)
 

@@ -152,10 +152,10 @@ def test_ingest_of_extracted_cells(spark, tmp_path, tmp_path_factory):
     assert ingest(ws, str(tmp_path), table_rows=cells) is None
 
 
-def test_many_files_are_scanned_by_folder(spark, folder, tmp_path_factory, monkeypatch):
+def test_many_files_are_taken_in_rounds(spark, folder, tmp_path_factory, monkeypatch):
     from passbook.plans import ingest as plan
 
-    monkeypatch.setattr(plan, "MAX_NAMED_FILES", 1)
+    monkeypatch.setattr(plan, "NAMED_FILES", 2)
     ws = Workspace(spark, str(tmp_path_factory.mktemp("ws")))
     assert ingest(ws, str(folder)).rows == 9
     (folder / "new.csv").write_text(HEADER + "03-02-2026,fresh,1,,2\n")
@@ -163,22 +163,46 @@ def test_many_files_are_scanned_by_folder(spark, folder, tmp_path_factory, monke
     assert ingest(ws, str(folder)).rows == 2
 
 
-def test_large_files_are_hashed_by_line(spark, tmp_path):
-    text = HEADER + "".join(f"01-02-2026,item {i},{i},,\n" for i in range(500))
-    (tmp_path / "a.csv").write_text(text)
-    (tmp_path / "b.csv").write_text(text)
-    (tmp_path / "c.csv").write_text(text.replace("item 7,", "item 8,"))
-    (tmp_path / "small.csv").write_text(HEADER)
+NAMES = ["June statement.csv", "a+b.csv", "100%25.csv", "x#1.csv", "stmt[1].csv", "{a,b}?*.csv", "été.csv"]
 
-    def hashes(split):
-        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
-        files = landing.fingerprint_files(spark, str(tmp_path), whole_file_bytes=1000)
-        return {r["file_name"]: r["file_hash"] for r in files.collect()}
 
+def test_odd_file_names_are_ingested_once(spark, tmp_path, tmp_path_factory):
+    ws = Workspace(spark, str(tmp_path_factory.mktemp("ws")))
+    for turn, name in enumerate(NAMES):
+        (tmp_path / name).write_text(HEADER + f'03-02-2026,"item\n{turn}",1,,2\n' if turn % 2 else HEADER + f"03-02-2026,item {turn},1,,2\n")
+        result = ingest(ws, str(tmp_path))
+        assert (result.files, result.rows) == (1, 1)
+    assert ingest(ws, str(tmp_path)) is None
+    assert sorted(r["source_file"] for r in ws.bronze.read().collect()) == sorted(NAMES)
+    assert sorted(r["file_name"] for r in ws.manifest.read().collect()) == sorted(NAMES)
+
+
+def test_order_of_lines_is_part_of_the_identity(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "1,a,1,,\n2,b,2,,\n")
+    (tmp_path / "b.csv").write_text(HEADER + "2,b,2,,\n1,a,1,,\n")
+    assert len({r["file_hash"] for r in landing.fingerprint_files(spark, str(tmp_path)).collect()}) == 2
+
+
+def test_rows_do_not_depend_on_later_splits(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(HEADER + "".join(f"01-02-2026,item {i},{i},,\n" for i in range(3000)))
     try:
-        got = hashes("1024")
-        assert got["a.csv"] == got["b.csv"] != got["c.csv"]
-        assert got == hashes("128m")
-        assert got["small.csv"] == hashlib.sha256(HEADER.encode()).hexdigest()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        scan = scan_csv(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+        rows = scan.rows.select("description_raw", "source_row_index").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 3000 and all(r["description_raw"] == f"item {r['source_row_index']}" for r in rows)
+
+
+def test_a_repeated_batch_replaces_its_rows(spark, folder, tmp_path_factory):
+    ws = Workspace(spark, str(tmp_path_factory.mktemp("ws")))
+    prints = landing.fingerprint_files(spark, str(folder))
+    first = ingest(ws, str(folder), batch_id="b", files=prints)
+    lost = Workspace(spark, ws.base)
+    entries = lost.manifest.read().limit(0)
+    import shutil
+
+    shutil.move(f"{ws.base}/manifest", str(tmp_path_factory.mktemp("old") / "manifest"))  # as if stopped before the manifest
+    assert entries is not None and ingest(ws, str(folder), batch_id="b", files=prints).rows == first.rows
+    assert ws.bronze.read().count() == first.rows

@@ -191,7 +191,7 @@ def counting_client(folder, fail_first=(), refuse=False):
 
         good = rule_client()
 
-        def call(payload):
+        def call(payload, system):
             path = os.path.join(folder, hashlib.md5(payload.encode()).hexdigest())
             seen = os.path.getsize(path) if os.path.exists(path) else 0
             with open(path, "a") as f:
@@ -202,7 +202,7 @@ def counting_client(folder, fail_first=(), refuse=False):
                 if fail_first[seen] == "transient":
                     raise enrichment.Transient("busy")
                 return fail_first[seen]
-            return good(payload)
+            return good(payload, system)
 
         return call
 
@@ -316,7 +316,7 @@ def test_ask(spark):
     questions = spark.createDataFrame([("q1", " Uber cab "), ("q2", "  "), ("q3", None)], "query_id string, question string")
 
     def picky():
-        def call(prompt):
+        def call(prompt, system):
             raise ValueError("down")
 
         return call
@@ -332,7 +332,7 @@ def test_ask(spark):
 
 def test_missing_configuration_stops_the_job(spark):
     def unconfigured():
-        def call(prompt):
+        def call(prompt, system):
             raise RuntimeError("no key")
 
         return call
