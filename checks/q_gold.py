@@ -216,7 +216,8 @@ def _(spark, sf):
 
 
 def _cents(expression):
-    return f"CAST(coalesce(sum(CAST({expression} AS DECIMAL(38,10))), 0) AS DOUBLE)"
+    # through text, as DuckDB's cast of a wide decimal is off in the last digits
+    return f"CAST(CAST(coalesce(sum(CAST({expression} AS DECIMAL(38,10))), 0) AS VARCHAR) AS DOUBLE)"
 
 
 _KPI_SQL = f"""SELECT {_cents('CASE WHEN amount > 0 THEN amount END')} AS income,
