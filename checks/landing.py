@@ -29,3 +29,31 @@ def landing_folder(spark, sf_dir) -> str:
         ).csv(folder, header=True, quote='"', escape='"')
         _WRITTEN[key] = folder
     return _WRITTEN[key]
+
+
+_KINDS = {}
+
+
+def landing_kinds(spark, sf_dir) -> str:
+    """One CSV file of each kind: a good one, one in Latin-1, one with line breaks inside quotes, two
+    without the needed headers, one without rows."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _KINDS:
+        folder = scratch_folder(spark, "landing-kinds")
+        events = fx.table(spark, sf_dir, "events")
+        part = lambda n, text: events.filter(F.col("event_id") % 7 == n).select(
+            F.col("event_id").cast("string").alias("Txn Date"), text.alias("Narration"), F.col("value").cast("string").alias("Withdrawal")
+        )
+        kind = F.col("event_type")
+
+        def put(df, **options):
+            df.coalesce(1).write.mode("append").options(**{"header": True, "quote": '"', "escape": '"', **options}).csv(folder)
+
+        put(part(0, kind))
+        put(part(1, F.concat(F.lit("café "), kind)), encoding="ISO-8859-1")
+        put(part(2, F.concat(kind, F.lit("\nline two"))))
+        put(part(3, kind).withColumnsRenamed({"Txn Date": "When", "Narration": "What"}))
+        put(part(4, kind).limit(0))
+        put(part(5, kind).withColumnsRenamed({"Txn Date": "Day", "Narration": "Text"}))
+        _KINDS[key] = folder
+    return _KINDS[key]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
-from checks.landing import landing_folder
+from checks.landing import landing_folder, landing_kinds
 from checks.registry import query
 from passbook import functions as fn
 from passbook.operators.dedupe import dedupe_raw
@@ -20,14 +20,24 @@ from passbook.sources.tables import AppendTable, VersionedTable
 RAW = ", ".join(RAW_FIELDS)
 
 
-@query("A1_discover_files")
+@query("A1_discover_files", "SELECT 'csv' AS suffix, 6 AS files, TRUE AS all_hold_bytes")
 def _(spark, sf):
-    return landing.discover_files(spark, landing_folder(spark, sf)).select("file_name", "suffix", "bytes")
+    files = landing.discover_files(spark, landing_kinds(spark, sf))
+    return files.groupBy("suffix").agg(F.count(F.lit(1)).alias("files"), F.bool_and(F.col("bytes") > 0).alias("all_hold_bytes"))
 
 
-@query("A2_file_fingerprint")
+@query("A2_file_fingerprint", "SELECT 6 AS files, 6 AS hashes, TRUE AS of_the_bytes")
 def _(spark, sf):
-    return landing.fingerprint_files(spark, landing_folder(spark, sf)).select("file_name", "file_hash")
+    """Each hash against one of the bytes as text, which is possible for files that are UTF-8."""
+    folder = landing_kinds(spark, sf)
+    prints = landing.fingerprint_files(spark, folder)
+    whole = spark.read.text(folder, wholetext=True).select(
+        landing.plain_path(F.col("_metadata.file_path")).alias("path"), F.sha2("value", 256).alias("again")
+    )
+    joined = prints.join(whole, "path")
+    return joined.agg(
+        F.count(F.lit(1)).alias("files"), F.countDistinct("file_hash").alias("hashes"), F.bool_and(F.col("file_hash") == F.col("again")).alias("of_the_bytes")
+    )
 
 
 def _files(spark, sf):
@@ -82,12 +92,10 @@ def _(spark, sf):
     return hd.fill_and_blank(rows).select(*RAW_FIELDS, "source_row_index")
 
 
-@query(
-    "A8_row_index_in_file",
-    "SELECT count(*) AS row_count, 0 AS broken_files FROM fx WHERE source_type = 'CSV'",
-    ["fx"],
-)
-def _(spark, sf):
+_INDEX_SQL = "SELECT count(*) AS row_count, 0 AS broken_files FROM fx WHERE source_type = 'CSV'"
+
+
+def _row_index(spark, sf):
     """Indexes must be exactly 0..n-1 in every file."""
     rows = scan_csv(spark, landing_folder(spark, sf)).rows
     position = F.col("source_row_index").cast("bigint")
@@ -98,6 +106,10 @@ def _(spark, sf):
     return per_file.agg(F.sum("n").alias("row_count"), F.count_if(~whole).alias("broken_files"))
 
 
+query("A8_row_index_in_file", _INDEX_SQL, ["fx"])(_row_index)
+query("F4_row_index_in_file", _INDEX_SQL, ["fx"])(_row_index)
+
+
 _CELL = "nullif(trim(replace(cells[{i}], chr(10), ' ')), '')"
 _TOKENS = "['date','description','debit','credit','balance']"
 
@@ -137,9 +149,13 @@ def _(spark, sf):
     return plan.tag_source(rows).select("source_file", "source_type", "source_page", "source_row_index")
 
 
-@query("A11_isolate_bad_files")
+@query(
+    "A11_isolate_bad_files",
+    """SELECT 'accepted' AS outcome, 3 AS files UNION ALL SELECT 'no_rows', 1
+       UNION ALL SELECT 'missing_required:transaction_date_raw,description_raw', 2""",
+)
 def _(spark, sf):
-    scan = scan_csv(spark, landing_folder(spark, sf))
+    scan = scan_csv(spark, landing_kinds(spark, sf))
     good = scan.accepted.select("path", F.lit("accepted").alias("outcome"))
     bad = scan.rejected.select("path", F.col("reason").alias("outcome"))
     return good.unionByName(bad).groupBy("outcome").agg(F.count(F.lit(1)).alias("files"))
@@ -234,10 +250,12 @@ def _(spark, sf):
     return table.read().select("row_hash", "quarantine_reason")
 
 
-@query("A20_admit_files")
+@query("A20_admit_files", "SELECT 'admitted' AS outcome, 6 AS files UNION ALL SELECT 'too_large', 6")
 def _(spark, sf):
-    files = landing.list_files(spark, landing_folder(spark, sf))
-    return landing.admission(files).select("file_name", "bytes", "reason")
+    """The same files under the usual limit and under one of a byte."""
+    files = landing.list_files(spark, landing_kinds(spark, sf))
+    judged = landing.admission(files).unionByName(landing.admission(files, 1))
+    return judged.groupBy(F.coalesce("reason", F.lit("admitted")).alias("outcome")).agg(F.count(F.lit(1)).alias("files"))
 
 
 @query(
@@ -254,16 +272,24 @@ def _(spark, sf):
 
 
 def _preview(spark, sf):
-    return preview(scan_csv(spark, landing_folder(spark, sf)).rows.select(*RAW_FIELDS))
+    """Five rows, all of them rows of the scan."""
+    rows = scan_csv(spark, landing_folder(spark, sf)).rows.select(*RAW_FIELDS)
+    shown = preview(rows)
+    return shown.agg(F.count(F.lit(1)).alias("shown")).crossJoin(shown.exceptAll(rows).agg(F.count(F.lit(1)).alias("unknown")))
 
 
-query("A22_preview")(_preview)
-query("G4_preview5")(_preview)
+query("A22_preview", "SELECT 5 AS shown, 0 AS unknown")(_preview)
+query("G4_preview5", "SELECT 5 AS shown, 0 AS unknown")(_preview)
 
 
-@query("A23_list_staged")
+@query("A23_list_staged", "SELECT 6 AS files, TRUE AS in_order, TRUE AS one_decimal")
 def _(spark, sf):
-    return landing.list_staged(landing.list_files(spark, landing_folder(spark, sf)))
+    staged = landing.list_staged(landing.list_files(spark, landing_kinds(spark, sf)))
+    names = F.collect_list("file_name")
+    tenths = F.col("size_kb") * 10
+    return staged.agg(
+        F.count(F.lit(1)).alias("files"), (names == F.array_sort(names)).alias("in_order"), F.bool_and(F.abs(tenths - F.round(tenths)) < 1e-6).alias("one_decimal")
+    )
 
 
 @query(

@@ -26,7 +26,7 @@ ALLOWED = ", ".join(f"'{c}'" for c in CATEGORY_OPTIONS)
 def _(spark, sf):
     table = Workspace(spark, scratch_folder(spark, "cache")).cache
     table.append(fx.cache(spark, sf))
-    return table.read()
+    return cat.readable_cache(table.read())
 
 
 @query(
@@ -216,8 +216,8 @@ def _(spark, sf):
 
 
 def _cents(expression):
-    # through text, as DuckDB's cast of a wide decimal is off in the last digits
-    return f"CAST(CAST(coalesce(sum(CAST({expression} AS DECIMAL(38,10))), 0) AS VARCHAR) AS DOUBLE)"
+    # through text, as DuckDB's casts between doubles and wide decimals are off in the last digits
+    return f"CAST(CAST(coalesce(sum(CAST(CAST({expression} AS VARCHAR) AS DECIMAL(38,10))), 0) AS VARCHAR) AS DOUBLE)"
 
 
 _KPI_SQL = f"""SELECT {_cents('CASE WHEN amount > 0 THEN amount END')} AS income,
@@ -284,6 +284,8 @@ _PICKED = f"(SELECT * FROM gold WHERE {_RANGE_SQL} AND category IN ('Shopping',
     "K6_dashboard_report",
     f"""SELECT 'kpi' AS panel, 'income' AS label, income AS value FROM ({_KPI_SQL.format(src=_PICKED)})
     UNION ALL SELECT 'kpi', 'expense', expense FROM ({_KPI_SQL.format(src=_PICKED)})
+    UNION ALL SELECT 'kpi', 'net', net FROM ({_KPI_SQL.format(src=_PICKED)})
+    UNION ALL SELECT 'listing', concat_ws('|', strftime(txn_date, '%Y-%m-%d'), description, category, source_type), amount FROM {_PICKED}
     UNION ALL SELECT 'kpi', 'transactions', CAST(transactions AS DOUBLE) FROM ({_KPI_SQL.format(src=_PICKED)})
     UNION ALL SELECT 'spend_by_category', category, spend FROM ({_SPEND_SQL.format(src=_PICKED)})
     UNION ALL SELECT 'net_by_month', month, net FROM ({_MONTH_SQL.format(src=_PICKED)})""",
@@ -294,13 +296,15 @@ def _(spark, sf):
     kpi = panels["kpi"].select(
         F.lit("kpi").alias("panel"),
         F.explode(F.create_map(
-            F.lit("income"), F.col("income"), F.lit("expense"), F.col("expense"),
+            F.lit("income"), F.col("income"), F.lit("expense"), F.col("expense"), F.lit("net"), F.col("net"),
             F.lit("transactions"), F.col("transactions").cast("double"),
         )).alias("label", "value"),
     )
     spend = panels["spend_by_category"].select(F.lit("spend_by_category").alias("panel"), F.col("category").alias("label"), F.col("spend").alias("value"))
     months = panels["net_by_month"].select(F.lit("net_by_month").alias("panel"), F.col("month").alias("label"), F.col("net").alias("value"))
-    return kpi.unionByName(spend).unionByName(months)
+    label = F.concat_ws("|", "date", "description", "category", "source")
+    listed = panels["listing"].select(F.lit("listing").alias("panel"), label.alias("label"), F.col("amount").alias("value"))
+    return kpi.unionByName(spend).unionByName(months).unionByName(listed)
 
 
 @query(

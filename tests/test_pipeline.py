@@ -389,3 +389,61 @@ def test_streams_equal_batch(spark, tmp_path):
 
 def test_scratch_folder_is_the_shared_one(spark):
     assert scratch_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_retried_fallbacks_leave_one_decision_per_key(spark, filled, tmp_path):
+    refine(filled)
+    (tmp_path / "calls").mkdir()
+    build_gold(filled, counting_client(str(tmp_path / "calls"), refuse=True), policy=enrichment.RetryPolicy(attempts=1))
+    for retry in (True, False):
+        build_gold(filled, retry_fallbacks=retry)
+        rows = filled.gold.read()
+        assert rows.count() == rows.select("txn_key_hash").distinct().count()
+    known = categories.readable_cache(filled.cache.read())
+    assert known.count() == known.select("txn_key_hash").distinct().count() and known.filter("origin = 'fallback'").isEmpty()
+    # what the rules left unset is asked when there is a model, and only then
+    unset = known.filter("category = 'Uncategorized'").count()
+    asked = categories.readable_cache(filled.cache.read(), with_model=True).count()
+    assert unset > 0 and asked == known.count() - unset
+
+
+@pytest.mark.parametrize("raw", ['{"results":[]} {"note":1}', '{"results":[]},{"a":1}', '{"results":[]}}', '[{"results":[]}]', '{"results":[]}] [{"x":1}', '{"results":[]}} {"a":{}'])
+def test_a_response_is_one_object(spark, raw):
+    sizes = spark.createDataFrame([("b", 0)], "batch_id string, n_rows bigint")
+    answer = spark.createDataFrame([("b", 1, raw), ("b", 2, ' {"results":[]}\n')], "batch_id string, attempt int, raw string")
+    got = {r["attempt"]: r["reason"] for r in responses.validate_responses(sizes, answer).collect()}
+    assert got[1] == "invalid_json" and got[2] != "invalid_json"
+
+
+def test_models_get_their_instructions(spark):
+    def repeats():
+        return lambda prompt, system: system
+
+    prompts = context.build_prompts(
+        spark.createDataFrame([("q", "where?")], "query_id string, question string"), spark.createDataFrame([("q", "- x")], "query_id string, context string")
+    )
+    assert enrichment.answer_prompts(prompts, repeats).first()["answer"] == context.SYSTEM_TEXT
+    payloads = spark.createDataFrame([("b", "[]")], "batch_id string, payload string")
+    told = enrichment.call_batches(payloads, repeats, 1).first()["raw"]
+    assert all(c in told for c in CATEGORY_OPTIONS)
+
+
+def test_sums_keep_their_digits(spark):
+    from passbook.operators import reports
+
+    small = spark.range(1000).select(F.lit(0.004).alias("amount"))
+    assert reports.kpi(small).first()["net"] == 4.0
+    large = spark.createDataFrame([(1e20,), (-1e20,), (0.125,), (None,)], "amount double")
+    assert reports.kpi(large).first()["net"] == 0.125
+    huge = spark.createDataFrame([(1e30,), (1.0,)], "amount double")
+    assert reports.kpi(huge).first()["net"] == 1e30
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from passbook.scratch import NoSharedFolder
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(NoSharedFolder):
+        scratch_folder(cluster, "x")
