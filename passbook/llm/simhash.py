@@ -132,8 +132,10 @@ LANES = WIDE_BLOCKS * WIDE_BITS // 64
 WIDE_SHARE = 0.168
 #: Most of the first 128 bits a pair may differ in to be verified: 2.6 standard deviations over the mean.
 FIRST_LOOK = 31
-#: Members of a block's bucket compared pair by pair; larger buckets are split by further blocks.
-WIDE_PAIRED = 100
+#: Most members of a bucket that meet in one task; a larger bucket is cut into blocks that meet two by two.
+WIDE_TILE = 1024
+#: Rows of small buckets that share a task's group.
+WIDE_BIN = 5000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 
@@ -161,7 +163,7 @@ def wide_keys(prints: list[bytes]) -> np.ndarray:
 
 
 def _wide_entries(nodes: DataFrame) -> DataFrame:
-    """A row (id, t, key, next, last, p, q) for each block: further blocks, and the first 128 bits."""
+    """A row (id, key, p, q) for each block: its number and value, and the first 128 bits."""
 
     def run(batches):
         for batch in batches:
@@ -169,53 +171,83 @@ def _wide_entries(nodes: DataFrame) -> DataFrame:
             for a in range(0, len(prints), 2000):
                 part = prints[a : a + 2000]
                 keys, n = wide_keys(part), len(part)
+                keys = np.arange(WIDE_BLOCKS) << WIDE_BITS | keys
                 first = np.frombuffer(b"".join(x[:16] for x in part), dtype=">i8").astype(np.int64).reshape(n, 2)
-                t = np.broadcast_to(np.arange(WIDE_BLOCKS), (n, WIDE_BLOCKS))
-                long = [t << WIDE_BITS | keys, np.roll(keys, -1, axis=1), np.roll(keys, -2, axis=1)]
-                columns = [pa.array(np.ascontiguousarray(x).ravel()) for x in long]
                 wide = [pa.array(np.repeat(first[:, i], WIDE_BLOCKS)) for i in range(2)]
                 at = pa.array(np.repeat(np.arange(a, a + n), WIDE_BLOCKS))
-                yield pa.RecordBatch.from_arrays([ids.take(at), *columns, *wide], ["id", "key", "next", "last", "p", "q"])
+                yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(keys.ravel()), *wide], ["id", "key", "p", "q"])
 
     kind = nodes.schema["id"].dataType.simpleString()
-    return nodes.select("id", "fp").mapInArrow(run, f"id {kind}, key bigint, next bigint, last bigint, p bigint, q bigint")
-
-
-def _wide_pairs(entries: DataFrame, by: list[str], paired: int) -> DataFrame:
-    """Pairs of a bucket (``by``) of at most ``paired`` rows; of larger ones, each with the bucket's least."""
-    sizes = entries.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("id", "p", "q")).alias("hub")).where("n > 1")
-    few = entries.join(sizes.where(F.col("n") <= paired).select(*by), by).alias("x")
-    other = few.alias("y")
-    same = F.col("x.id") < F.col("y.id")
-    for c in by:
-        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
-    bits = lambda a, b, c, d: F.bit_count(a.bitwiseXOR(b)) + F.bit_count(c.bitwiseXOR(d))
-    close = bits(F.col("x.p"), F.col("y.p"), F.col("x.q"), F.col("y.q")) <= FIRST_LOOK
-    pairs = few.join(other, same & close).select(F.col("y.id").alias("a"), F.col("x.id").alias("b"))
-    many = entries.join(sizes.where(F.col("n") > paired), by)
-    close = bits(F.col("p"), F.col("hub.p"), F.col("q"), F.col("hub.q")) <= FIRST_LOOK
-    stars = many.where((F.col("id") != F.col("hub.id")) & close).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
-    return pairs.unionAll(stars)
-
-
-def wide_links(nodes: DataFrame, folder: str, paired: int = WIDE_PAIRED) -> DataFrame:
-    """Verified edges (a, b) between nodes (id, fp)."""
+    return nodes.select("id", "fp").mapInArrow(run, f"id {kind}, key bigint, p bigint, q bigint")
+
+
+def spanning_edges(prints: list[bytes], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges between near fingerprints, one of ``left`` and one of ``right``, that connect what such pairs connect."""
+    lanes = np.frombuffer(b"".join(prints), dtype=np.uint64).reshape(len(prints), LANES)
+    if len(prints) <= 64:
+        apart = np.bitwise_count(lanes[:, None, :] ^ lanes[None, :, :]).sum(axis=2, dtype=np.int64)
+    else:
+        bits = np.unpackbits(lanes.view(np.uint8), axis=1).astype(np.float32)
+        ones = bits.sum(1)
+        apart = np.rint(ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)).astype(np.int64)
+    close = (apart <= int(WIDE_SHARE * 64 * LANES)) & ((left[:, None] & right[None, :]) | (right[:, None] & left[None, :]))
+    seen, out = np.zeros(len(prints), dtype=bool), []
+    for root in range(len(prints)):
+        if seen[root]:
+            continue
+        seen[root], queue = True, [root]
+        while queue:
+            i = queue.pop()
+            found = np.flatnonzero(close[i] & ~seen)
+            seen[found] = True
+            out += [(i, int(j)) for j in found]
+            queue += found.tolist()
+    return out
+
+
+def wide_links(nodes: DataFrame, folder: str, tile: int = WIDE_TILE) -> DataFrame:
+    """Edges (a, b) that connect all nodes (id, fp) which share a block and differ in few bits.
+
+    Block buckets are first thinned to rows with a partner that looks near on 128 bits, by a semi join,
+    which makes no pairs. What is left meets in groups of bounded size: there all pairs of a bucket are
+    verified on the whole fingerprint, and only edges of a spanning forest are returned. A bucket of any
+    size is covered, cut into blocks that meet two by two; nothing is left out.
+    """
     entries = _wide_entries(nodes)
-    crowded = entries.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > paired).select("key")
-    crowded = written(crowded, folder, "crowded")
-    deep = written(entries.join(crowded, "key"), folder, "deep")
-    level2 = deep.groupBy("key", "next").agg(F.count("*").alias("n")).where(F.col("n") > paired).select("key", "next")
-    found = _wide_pairs(entries, ["key"], paired).unionAll(_wide_pairs(deep, ["key", "next"], paired))
-    found = found.unionAll(_wide_pairs(deep.join(level2, ["key", "next"]), ["key", "next", "last"], paired))
-    found = found.distinct()
-    side = nodes.select(F.col("id").alias("i"), F.col("fp"))
-    found = found.join(side.select(F.col("i").alias("a"), F.col("fp").alias("fa")), "a")
-    found = found.join(side.select(F.col("i").alias("b"), F.col("fp").alias("fb")), "b")
-    apart = F.lit(0)
-    for lane in range(LANES):
-        piece = [F.conv(F.hex(F.substring(c, 8 * lane + 1, 8)), 16, -10).cast("bigint") for c in ("fa", "fb")]
-        apart = apart + F.bit_count(piece[0].bitwiseXOR(piece[1]))
-    return found.where(apart <= int(WIDE_SHARE * 64 * LANES)).select("a", "b")
+    x, y = entries.alias("x"), entries.alias("y")
+    bits = F.bit_count(F.col("x.p").bitwiseXOR(F.col("y.p"))) + F.bit_count(F.col("x.q").bitwiseXOR(F.col("y.q")))
+    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (bits <= FIRST_LOOK)
+    met = written(x.join(y, near, "left_semi").select("id", "key"), folder, "met")
+    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
+    bins = max(1, -(-met.count() // WIDE_BIN))
+    placed = met.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Small buckets share a bin; a tile of a large one is a group by itself.
+    placed = placed.select(
+        "id", "key", "block",
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(-1 - F.col("key")).alias("place"),
+        F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
+    ).join(nodes.select("id", "fp"), "id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        keys = table.column("key").to_numpy()
+        order = np.argsort(keys, kind="stable")
+        cuts = np.flatnonzero(np.diff(keys[order])) + 1
+        block, prints = table.column("block").to_numpy(), table.column("fp").to_pylist()
+        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
+        a, b = [], []
+        for rows in np.split(order, cuts):
+            if len(rows) > 1:
+                part = [prints[i] for i in rows]
+                for i, j in spanning_edges(part, block[rows] == lo, block[rows] == hi):
+                    a.append(rows[i])
+                    b.append(rows[j])
+        ids = table.column("id")
+        return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
+
+    kind = nodes.schema["id"].dataType.simpleString()
+    return placed.groupBy("place", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
