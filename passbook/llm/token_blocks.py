@@ -30,7 +30,7 @@ from passbook.scratch import scratch_folder
 
 BLOCK = 128
 COVERED = 115  # of the 128 ids of a block, those that the bit width must hold
-SEGMENT_IDS = 1 << 16
+SEGMENT_IDS = 1 << 18
 END_ID = 2
 WORD_BITS = 64
 
@@ -62,9 +62,16 @@ def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     return out.T
 
 
-def _widths(values: np.ndarray) -> np.ndarray:
-    """Bits needed by each number (0 for 0)."""
-    return np.ceil(np.log2(values.astype(np.float64) + 1)).astype(np.uint8)
+def _widths(v: np.ndarray) -> np.ndarray:
+    """For each row the least bit width that holds ``COVERED`` of its numbers."""
+    width = np.full(len(v), int(v.max(initial=0)).bit_length(), dtype=np.uint8)
+    rows = np.arange(len(v))
+    for w in range(int(width[0]) - 1 if len(v) else -1, -1, -1):
+        rows = rows[(v[rows] >> np.uint32(w) != 0).sum(axis=1) <= BLOCK - COVERED]
+        if not len(rows):
+            break
+        width[rows] = w
+    return width
 
 
 def encode_block_run(ids: np.ndarray) -> bytes:
@@ -77,11 +84,12 @@ def encode_block_run(ids: np.ndarray) -> bytes:
     v = padded.reshape(blocks, BLOCK)
     least = v.min(axis=1) if blocks else np.empty(0, np.uint32)
     v = v - least[:, None]
-    width = _widths(np.partition(v, COVERED - 1, axis=1)[:, COVERED - 1]) if blocks else np.empty(0, np.uint8)
-    over = v >= (np.uint64(1) << width.astype(np.uint64))[:, None]
+    width = _widths(v)
+    over = v > ((np.uint64(1) << width.astype(np.uint64)) - np.uint64(1)).astype(np.uint32)[:, None]
     rows, places = np.nonzero(over)
     values = v[rows, places]
-    low = np.where(over, 0, v)
+    low = v.copy()
+    low[rows, places] = 0
     starts = np.concatenate([[0], np.cumsum(2 * width.astype(np.int64))])
     words = np.zeros(starts[-1], dtype="<u8")
     for w in np.unique(width):
@@ -163,6 +171,10 @@ class LibraryEncoder:
             not made.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
             and split.get("use_regex", True) and (made.get("model") or {}).get("type") == "BPE"
         )
+        vocabulary = self.library.get_vocab()
+        self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        for token, number in vocabulary.items():
+            self.token_bytes[number] = len(token)
         self.special = [t["content"] for t in made.get("added_tokens") or ()]
         self.classes = Classes(self._class_of)
         self.cache = PieceCache(self._encode)
@@ -176,10 +188,12 @@ class LibraryEncoder:
 
     def _encode(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """Ids of each piece; all go to the library as one sequence that is already split."""
-        made = self.library.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        of = np.array(made.word_ids, dtype=np.int64)
-        cuts = np.searchsorted(of, np.arange(len(pieces) + 1)).tolist()
+        made = self.library.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0]
+        # A token of a byte-level vocabulary has a letter for each byte, so bytes tell where a piece ends.
         ids = made.ids
+        reached = np.cumsum(self.token_bytes[ids])
+        ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])
+        cuts = [0, *(np.searchsorted(reached, ends) + 1).tolist()]
         return [tuple(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
