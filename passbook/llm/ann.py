@@ -49,8 +49,8 @@ def _matrix(column) -> np.ndarray:
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """For each row the k rows of largest inner product, itself left out."""
     out = []
-    for a in range(0, len(x), 1024):
-        scores = x[a : a + 1024] @ x.T
+    for a in range(0, len(x), 256):
+        scores = x[a : a + 256] @ x.T
         scores[np.arange(len(scores)), np.arange(a, a + len(scores))] = -np.inf
         out.append(np.argpartition(-scores, k - 1, axis=1)[:, :k])
     return np.concatenate(out)
@@ -157,7 +157,7 @@ def learn(x: np.ndarray, recall: float = RECALL) -> Router:
     np.add.at(spread, (np.arange(len(x)), label), 0.5)
     router.fit(x, spread / spread.sum(1, keepdims=True))
     home = router.part_of(x)
-    best = np.argpartition(-(tested @ x.T), k - 1, axis=1)[:, :k]
+    best = np.concatenate([np.argpartition(-(tested[a : a + 128] @ x.T), k - 1, axis=1)[:, :k] for a in range(0, held, 128)])
     place = np.argsort(np.argsort(-router.logits(tested), axis=1), axis=1)
     needed = np.take_along_axis(place, home[best], 1)
     found = [(needed < m).mean() for m in range(1, parts + 1)]
@@ -204,8 +204,8 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) ->
     if sizes is None:
         return none
     rows = rows.where(F.size("embedding") == sizes["dim"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    router = learn(np.array([r["embedding"] for r in sample]), recall)
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
+    router = learn(_matrix(sample.column("embedding")), recall)
 
     def place(batches):
         for batch in batches:
