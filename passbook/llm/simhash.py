@@ -5,8 +5,8 @@ that differ in at most two bits: split into four blocks, such a pair agrees in t
 equal fingerprints are merged first and the rest are joined on the six pairs of blocks and verified.
 Groups are the connected components.
 
-``drop_near_copies`` does the same with wide fingerprints of five-word shingles, whose Hamming distance
-measures the similarity of the shingle sets well enough for a threshold of 0.8.
+``drop_near_copies`` groups documents whose sets of five-word shingles have a similarity (Jaccard) of 0.8
+or more: bands of least hashes (MinHash) name the candidates, whose whole sets are then compared exactly.
 
 Defined results: null text is empty text; texts without words have the fingerprint zero and are linked
 like any other; rows that share an id are one document; a null id takes part in no group (its
@@ -122,112 +122,114 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ---- wide fingerprints: near copies by similarity of five-word shingles
+# ---- near copies by similarity of five-word shingles
 
 WIDE_WORDS = 5
-WIDE_BLOCKS, WIDE_BITS = 64, 18  # blocks, and bits of each
-LANES = WIDE_BLOCKS * WIDE_BITS // 64
-#: Share of differing bits allowed; sets of equal size with similarity 0.8 differ in acos(8/9)/pi = 0.151;
-#: the rest is for the spread of the estimate and for sets of unequal size.
-WIDE_SHARE = 0.168
-#: Most of the first 128 bits a pair may differ in to be verified: 2.6 standard deviations over the mean.
-FIRST_LOOK = 31
-#: Most members of a bucket that meet in one task; a larger bucket is cut into blocks that meet two by two.
-WIDE_TILE = 1024
-#: Rows of small buckets that share a task's group.
-WIDE_BIN = 5000
-_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
-
-
-def wide_fingerprint(text: str) -> bytes:
-    """Signs of the sums of pseudo-random bit vectors over the set of shingles, as bytes."""
-    h = np.unique(shingle_hashes(text, WIDE_WORDS))
-    if not len(h):
-        return bytes(LANES * 8)
-    lanes = h[:, None] + np.arange(1, LANES + 1, dtype=np.uint64)[None, :] * _MIX[0]
-    lanes = (lanes ^ (lanes >> np.uint64(30))) * _MIX[1]
-    lanes = (lanes ^ (lanes >> np.uint64(27))) * _MIX[2]
-    lanes ^= lanes >> np.uint64(31)
-    return np.packbits(bit_counts(lanes.view(np.uint8).reshape(len(h), -1)) * 2 > len(h)).tobytes()
+#: Least similarity of near copies: shingles in common over shingles of either, as a fraction.
+SHARED, OF = 4, 5
+#: Keys of a document, and least hashes mixed into each. A pair of similarity s shares a key with
+#: probability 1 - (1 - s^6)^32 whatever the size of the sets: 0.99994 at 0.8, 0.9999995 at 0.85.
+BANDS, ROWS = 32, 6
+#: Most members of a bucket that meet in one task, and most shingles of them; a larger bucket is cut into
+#: blocks that meet two by two.
+WIDE_TILE, TILE_SHINGLES = 1024, 250_000
+#: Shingles of small buckets that share a task's group.
+BIN_SHINGLES = 500_000
+#: Ids of candidates that go to the documents, which are then not shuffled; more are joined as Spark sees fit.
+BROADCAST_IDS = 2_000_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_TIMES, _PLUS = np.random.default_rng(SEED).integers(0, 1 << 64, size=(2, BANDS * ROWS), dtype=np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str) -> np.ndarray:
+    return np.unique(shingle_hashes(text, WIDE_WORDS))
+
+
+def wide_keys(shingles: np.ndarray) -> np.ndarray:
+    """A number for each band: its place and the least of the set under each of its hash functions."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for a in range(0, len(shingles), 256):
+        np.minimum(least, (shingles[a : a + 256, None] * _TIMES + _PLUS).min(axis=0), out=least)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    for column in least.reshape(BANDS, ROWS).T:
+        key = (key ^ column) * _MIX
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
 
 
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
-    return map_texts(docs, lambda: lambda texts: [pa.array([wide_fingerprint(t) for t in texts], pa.binary())], "fp binary")
-
+    """doc_id and fp: the sorted hashes of the set of shingles, as bytes."""
+    return map_texts(docs, lambda: lambda texts: [pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], "fp binary")
 
-def wide_keys(prints: list[bytes]) -> np.ndarray:
-    """The blocks of each fingerprint as numbers."""
-    bits = np.unpackbits(np.frombuffer(b"".join(prints), np.uint8).reshape(-1, LANES * 8), axis=1)
-    weights = (1 << np.arange(WIDE_BITS - 1, -1, -1)).astype(np.int64)
-    return bits.reshape(len(bits), WIDE_BLOCKS, WIDE_BITS) @ weights
 
+def _marks(sets: list[np.ndarray]) -> list:
+    return [pa.array([len(x) for x in sets], pa.int64()), pa.array([wide_keys(x) for x in sets], pa.list_(pa.int64()))]
 
-def _wide_entries(nodes: DataFrame) -> DataFrame:
-    """A row (id, key, p, q) for each block: its number and value, and the first 128 bits."""
 
-    def run(batches):
-        for batch in batches:
-            ids, prints = batch.column(0), batch.column(1).to_pylist()
-            for a in range(0, len(prints), 2000):
-                part = prints[a : a + 2000]
-                keys, n = wide_keys(part), len(part)
-                keys = np.arange(WIDE_BLOCKS) << WIDE_BITS | keys
-                first = np.frombuffer(b"".join(x[:16] for x in part), dtype=">i8").astype(np.int64).reshape(n, 2)
-                wide = [pa.array(np.repeat(first[:, i], WIDE_BLOCKS)) for i in range(2)]
-                at = pa.array(np.repeat(np.arange(a, a + n), WIDE_BLOCKS))
-                yield pa.RecordBatch.from_arrays([ids.take(at), pa.array(keys.ravel()), *wide], ["id", "key", "p", "q"])
-
-    kind = nodes.schema["id"].dataType.simpleString()
-    return nodes.select("id", "fp").mapInArrow(run, f"id {kind}, key bigint, p bigint, q bigint")
-
-
-def spanning_edges(prints: list[bytes], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges between near fingerprints, one of ``left`` and one of ``right``, that connect what such pairs connect."""
-    lanes = np.frombuffer(b"".join(prints), dtype=np.uint64).reshape(len(prints), LANES)
-    if len(prints) <= 64:
-        apart = np.bitwise_count(lanes[:, None, :] ^ lanes[None, :, :]).sum(axis=2, dtype=np.int64)
-    else:
-        bits = np.unpackbits(lanes.view(np.uint8), axis=1).astype(np.float32)
-        ones = bits.sum(1)
-        apart = np.rint(ones[:, None] + ones[None, :] - 2 * (bits @ bits.T)).astype(np.int64)
-    close = (apart <= int(WIDE_SHARE * 64 * LANES)) & ((left[:, None] & right[None, :]) | (right[:, None] & left[None, :]))
-    seen, out = np.zeros(len(prints), dtype=bool), []
-    for root in range(len(prints)):
+def spanning_edges(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Edges between near sets, one of ``left`` and one of ``right``, that connect what such pairs connect."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    own = [codes[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    seen, mark, out = np.zeros(len(sets), dtype=bool), np.zeros(len(values), dtype=bool), []
+    alive, flow, cuts = np.arange(len(sets)), codes, ends  # the sets not yet reached, laid end to end
+    for root in range(len(sets)):
         if seen[root]:
             continue
         seen[root], queue = True, [root]
         while queue:
             i = queue.pop()
-            found = np.flatnonzero(close[i] & ~seen)
+            open_ = ~seen[alive]
+            if 2 * open_.sum() < len(alive):
+                alive = alive[open_]
+                flow = np.concatenate([own[k] for k in alive]) if len(alive) else codes[:0]
+                cuts = np.concatenate([[0], np.cumsum(sizes[alive])])
+                open_ = np.ones(len(alive), dtype=bool)
+            if not open_.any():
+                continue
+            mark[own[i]] = True
+            common = np.concatenate([[0], np.cumsum(mark[flow])])
+            mark[own[i]] = False
+            common = common[cuts[1:]] - common[cuts[:-1]]
+            near = common * (OF + SHARED) >= SHARED * (sizes[i] + sizes[alive])
+            sides = (left[i] & right[alive]) | (right[i] & left[alive])
+            found = alive[near & sides & open_]
             seen[found] = True
-            out += [(i, int(j)) for j in found]
+            out += [(i, int(k)) for k in found]
             queue += found.tolist()
     return out
 
 
-def wide_links(nodes: DataFrame, folder: str, tile: int = WIDE_TILE) -> DataFrame:
-    """Edges (a, b) that connect all nodes (id, fp) which share a block and differ in few bits.
+def wide_candidates(nodes: DataFrame, folder: str, tile: int = WIDE_TILE) -> DataFrame:
+    """(id, size, key, blocks) for nodes (id, size, keys): the buckets with company, and into how many blocks each is cut.
 
-    Block buckets are first thinned to rows with a partner that looks near on 128 bits, by a semi join,
-    which makes no pairs. What is left meets in groups of bounded size: there all pairs of a bucket are
-    verified on the whole fingerprint, and only edges of a spanning forest are returned. A bucket of any
-    size is covered, cut into blocks that meet two by two; nothing is left out.
+    Of buckets that hold the same members one is kept, as the others would make the same pairs.
     """
-    entries = _wide_entries(nodes)
-    x, y = entries.alias("x"), entries.alias("y")
-    bits = F.bit_count(F.col("x.p").bitwiseXOR(F.col("y.p"))) + F.bit_count(F.col("x.q").bitwiseXOR(F.col("y.q")))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.id") != F.col("y.id")) & (bits <= FIRST_LOOK)
-    met = written(x.join(y, near, "left_semi").select("id", "key"), folder, "met")
-    sizes = met.groupBy("key").agg(F.ceil(F.count("*") / tile).cast("int").alias("blocks"))
-    bins = max(1, -(-met.count() // WIDE_BIN))
-    placed = met.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    entries = nodes.select("id", "size", F.explode("keys").alias("key")).where("id is not null")
+    seals = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"seal{k}") for k in range(2)]
+    full = entries.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("total"), *seals).where("n > 1")
+    full = full.groupBy("n", "total", "seal0", "seal1").agg(F.min("key").alias("key"))
+    blocks = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("total") / TILE_SHINGLES)).cast("int")
+    return written(entries.join(full.select("key", blocks.alias("blocks")), "key").select("id", "size", "key", "blocks"), folder, "met")
+
+
+def verified_links(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all near members of the buckets ``met``, by the whole ``sets`` (id, fp).
+
+    The members meet in groups of bounded size: there all pairs of a bucket are compared exactly, and only
+    edges of a spanning forest are returned. A bucket of any size is covered; nothing is left out.
+    """
+    bins = max(1, -(-(met.agg(F.sum("size")).first()[0] or 0) // BIN_SHINGLES))
+    placed = met.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # Small buckets share a bin; a tile of a large one is a group by itself.
     placed = placed.select(
         "id", "key", "block",
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).otherwise(-1 - F.col("key")).alias("place"),
+        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).alias("bin"),
+        F.when(F.col("blocks") > 1, F.col("key")).alias("large"),
         F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-    ).join(nodes.select("id", "fp"), "id")
+    ).join(sets.select("id", "fp"), "id")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -239,25 +241,60 @@ def wide_links(nodes: DataFrame, folder: str, tile: int = WIDE_TILE) -> DataFram
         a, b = [], []
         for rows in np.split(order, cuts):
             if len(rows) > 1:
-                part = [prints[i] for i in rows]
+                part = [np.frombuffer(prints[i], dtype=np.uint64) for i in rows]
                 for i, j in spanning_edges(part, block[rows] == lo, block[rows] == hi):
                     a.append(rows[i])
                     b.append(rows[j])
         ids = table.column("id")
         return pa.table({"a": ids.take(pa.array(a, pa.int64())), "b": ids.take(pa.array(b, pa.int64()))})
 
+    kind = met.schema["id"].dataType.simpleString()
+    return placed.groupBy("bin", "large", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
+def wide_links(nodes: DataFrame, folder: str, tile: int = WIDE_TILE) -> DataFrame:
+    """Edges (a, b) that connect all nodes (id, fp) which share a key and are near copies."""
     kind = nodes.schema["id"].dataType.simpleString()
-    return placed.groupBy("place", "lo", "hi").applyInArrow(compare, f"a {kind}, b {kind}")
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_marks(sets)], ["id", "size", "keys"])
+
+    marked = nodes.select("id", "fp").mapInArrow(run, f"id {kind}, size bigint, keys array<bigint>")
+    return verified_links(wide_candidates(marked, folder, tile), nodes)
+
+
+def wide_marks(docs: DataFrame) -> DataFrame:
+    """doc_id, a digest of the set of shingles, its size and its keys."""
+
+    def make():
+        def marks(texts):
+            sets = [shingle_set(t) for t in texts]
+            return [pa.array([xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets], pa.binary()), *_marks(sets)]
+
+        return marks
+
+    return map_texts(docs, make, "digest binary, size bigint, keys array<bigint>")
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of every row with an id: the least id of its group."""
+    """(doc_id, component_id) of every row with an id: the least id of its group.
+
+    Equal sets are merged first. Only documents with a candidate are read again for their whole sets.
+    """
     folder = scratch_folder(docs.sparkSession, "near-copies")
-    prints = written(wide_fingerprints(docs.where("doc_id is not null")), folder, "prints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("id")), folder, "nodes")
-    labels = components(wide_links(nodes, folder))
-    known = nodes.join(labels, nodes["id"] == labels["node"], "left").select("fp", F.coalesce("label", "id").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", "component_id")
+    prints = written(wide_marks(docs.where("doc_id is not null")), folder, "prints")
+    nodes = prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = written(nodes, folder, "nodes")
+    met = wide_candidates(nodes, folder)
+    ids = written(met.select(F.col("id").alias("doc_id")).distinct(), folder, "ids")
+    again = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    # Dealt by id, as the join that follows needs it, so that the sets are shuffled once.
+    sets = wide_fingerprints(again).select(F.col("doc_id").alias("id"), "fp").repartition("id").distinct()
+    labels = components(verified_links(met, sets))
+    known = nodes.join(labels, nodes["id"] == labels["node"], "left").select("digest", F.coalesce("label", "id").alias("component_id"))
+    return prints.join(known, "digest").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

@@ -148,6 +148,37 @@ def test_near_copies_by_five_word_shingles(spark):
     assert {i: label.get(i, i) for i in want} == want
 
 
+def _pair(n_shared, n_left, n_right, word):
+    """Two texts of distinct words, the second a cut or a changed end of the first, by shingles shared and own."""
+    head = [word() for _ in range(n_shared + 4)]
+    return " ".join(head + [word() for _ in range(n_left)]), " ".join(head + [word() for _ in range(n_right)])
+
+
+def test_near_copies_at_the_threshold(spark):
+    """Pairs at exactly 0.80 are found whatever their length, and pairs below are not."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    shapes = [((4, 1, 0), True), ((8, 1, 1), True), ((80, 10, 10), True), ((800, 100, 100), True), ((19, 6, 0), False), ((76, 12, 12), False)]
+    rows, want = [], {}
+    for shape, near in shapes:
+        for _ in range(60):
+            a = len(rows)
+            rows += [(a + k, text) for k, text in enumerate(_pair(*shape, word))]
+            want |= {a: a, a + 1: a if near else a + 1}
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
+
+
+def test_share_of_pairs_with_a_common_key():
+    rng = np.random.default_rng(4)
+    for shared, own in ((8, 1), (80, 10)):
+        met = 0
+        for _ in range(2000):
+            h = rng.integers(0, 1 << 64, size=shared + 2 * own, dtype=np.uint64)
+            met += bool((simhash.wide_keys(h[: shared + own]) == simhash.wide_keys(np.delete(h, np.s_[shared : shared + own]))).any())
+        assert met >= 1995
+
+
 # ---- decontamination
 
 def _least_edits(item, text):
