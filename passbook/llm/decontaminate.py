@@ -6,8 +6,9 @@ pseudo-random bit of (step, word); sequences at a small edit distance fall back
 outputs have a small Hamming distance. Sampling positions of the outputs of several walks gives the
 keys of an LSH index of the items. Windows as long as an item (lengths rounded down to a ladder) at
 every word of a text are looked up there; what they meet is verified by exact edit distance between
-the whole item and the text from that word on. The number of tables follows from the recall asked
-for, simulated on the items at the largest distance allowed.
+the whole item and the text from that word on. The number of tables of each window length follows from
+the recall asked for, simulated on items of that length at the largest distance allowed; where no
+number of tables suffices, every window that can match is verified.
 
 Before that, windows are left out that cannot match: an item within d edits keeps at least n - d of its
 words and n - 1 - 2d of its word pairs, and its best alignment can begin at one of its first d + 1
@@ -35,6 +36,8 @@ SHARE = 0.2  # edits allowed per word of an item: similarity of 0.8 or more
 RECALL = 0.97
 BLOCK_ITEMS = 20_000
 WALKS, SAMPLED = 8, 3
+MOST_TABLES = 40  # per walk; a window length that needs more meets all its items
+SIMULATED, TRIALS = 12, 12  # items of a window length, and edited copies of each, to set its tables by
 _BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -104,10 +107,11 @@ class Index:
         for i, x in enumerate(self.items):
             if len(x):
                 self.by_length.setdefault(ladder(len(x)), []).append(i)
-        self.per_walk = self._tables_needed(recall)
-        self.places = {n: self._places(n) for n in self.by_length}
+        self.per_walk = {n: self._tables_needed(n, recall) for n in self.by_length}
+        self.places = {n: self._places(n) for n, k in self.per_walk.items() if k}
         self.keys, self.order = {}, {}
-        for n, ids in self.by_length.items():
+        for n in self.places:
+            ids = self.by_length[n]
             keys = self.window_keys(np.array([self.items[i][:n] for i in ids]), n)
             self.order[n] = np.argsort(keys, axis=1, kind="stable")
             self.keys[n] = np.take_along_axis(keys, self.order[n], 1)
@@ -125,15 +129,17 @@ class Index:
                 holds[k, self.items[i]] = True
             self.begins[n], self.holds[n] = begins, holds
 
-    def _tables_needed(self, recall: float) -> int:
-        """Tables per walk such that items edited as much as allowed are found with probability ``recall``."""
-        rng = np.random.default_rng(3)
-        agree = []
-        for x in self.items[:: max(1, len(self.items) // 60)]:
-            n = ladder(len(x)) if len(x) else 0
-            if n < 5:
-                continue
-            for _ in range(3):
+    def _tables_needed(self, n: int, recall: float) -> int | None:
+        """Tables per walk such that each item of this window length, edited as much as allowed, is found with
+        probability ``recall``; None if more than ``MOST_TABLES`` would be needed."""
+        ids = sorted(self.by_length[n], key=lambda i: (len(self.items[i]), i))
+        ids = [ids[k] for k in np.unique(np.linspace(0, len(ids) - 1, SIMULATED).astype(int))]
+        if not any(edits_allowed(len(self.items[i])) for i in ids):
+            return 1
+        rng = np.random.default_rng([n, 3])
+        edited = []
+        for x in (self.items[i] for i in ids):
+            for _ in range(TRIALS):
                 y = list(x)
                 for _ in range(edits_allowed(len(x))):
                     at, kind = int(rng.integers(0, len(y))), int(rng.integers(0, 3))
@@ -143,19 +149,21 @@ class Index:
                         del y[at]
                     else:
                         y.insert(at, 0)
-                pair = np.array([x[:n], y[:n]], dtype=np.int32)
-                same = [walk(pair, n, s) for s in range(WALKS)]
-                agree.append([(o[:, 0] == o[:, 1]).mean() ** SAMPLED for o in same])
-        if not agree:
-            return 1
-        miss = np.log1p(-np.minimum(np.array(agree), 1 - 1e-9)).sum(axis=1)
-        k = 1
-        while k < 40 and (1 - np.exp(k * miss)).mean() < recall:
-            k += 1
-        return k
+                edited.append(y[:n])
+        rows = np.array([self.items[i][:n] for i in ids] + edited, dtype=np.int32)
+        whole = np.repeat(np.arange(len(ids)), TRIALS)
+        miss = np.zeros(len(edited))
+        for s in range(WALKS):
+            seen = walk(rows, n, s)
+            same = (seen[:, whole] == seen[:, len(ids) :]).mean(axis=0) ** SAMPLED
+            miss += np.log1p(-np.minimum(same, 1 - 1e-9))
+        for k in range(1, MOST_TABLES + 1):
+            if (1 - np.exp(k * miss)).reshape(len(ids), TRIALS).mean(axis=1).min() >= recall:
+                return k
+        return None
 
     def _places(self, n: int) -> np.ndarray:
-        return np.random.default_rng([n, 9]).integers(0, 3 * n, size=(WALKS, self.per_walk, SAMPLED))
+        return np.random.default_rng([n, 9]).integers(0, 3 * n, size=(WALKS, self.per_walk[n], SAMPLED))
 
     def window_keys(self, rows: np.ndarray, n: int) -> np.ndarray:
         """(tables, rows): the sampled symbols of each table, mixed to one number."""
@@ -171,7 +179,9 @@ class Index:
         return np.array(out)
 
     def met(self, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (row, item of this length) that share a key of some table."""
+        """Pairs (row, item of this length) that share a key of some table; all pairs where tables don't suffice."""
+        if n not in self.places:
+            return np.divmod(np.arange(len(rows) * len(self.by_length[n])), len(self.by_length[n]))
         keys, known = self.window_keys(rows, n), self.keys[n]
         found = []
         for a, b, order in zip(keys, known, self.order[n], strict=True):
@@ -232,8 +242,9 @@ def find_items(index: Index, texts: list[str]) -> list[list[tuple[int, int, int]
         unique, first, inverse = np.unique(windows.view([("", windows.dtype)] * span).ravel(), return_index=True, return_inverse=True)
         rows = windows[first]
         hits: dict[int, list[tuple[int, int]]] = {}
-        for a in range(0, len(rows), 20_000):
-            part = rows[a : a + 20_000]
+        step = 20_000 if n in index.places else max(1, 2_000_000 // len(index.by_length[n]))
+        for a in range(0, len(rows), step):
+            part = rows[a : a + step]
             r, c = index.met(np.ascontiguousarray(part[:, :n]), n)
             able = index.begins[n][c, part[r, 0]]
             r, c = r[able], c[able]

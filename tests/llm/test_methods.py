@@ -192,6 +192,25 @@ def _least_edits(item, text):
     return min(row)
 
 
+def test_long_items_among_short_ones_are_found():
+    """Edited as much as allowed, the few long items are found as often as the many short ones."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.sample(words, 15))) for i in range(300)]
+    items += [(300 + i, " ".join(rng.sample(words, n))) for i, n in enumerate([200] * 15 + [400] * 15)]
+    docs = []
+    for _, text in items[300:]:
+        copy = text.split()
+        for k in rng.sample(range(len(copy)), decontaminate.edits_allowed(len(copy))):
+            copy[k] = "changed"
+        docs.append(" ".join(rng.sample(words, 20) + copy + rng.sample(words, 20)))
+    index = decontaminate.Index(items)
+    found = sum(300 + d in {index.ids[h[0]] for h in hits} for d, hits in enumerate(decontaminate.find_items(index, docs)))
+    assert found >= 28
+    index = decontaminate.Index(items[:40] + items[300:305], recall=1.0)  # no tables reach it: all windows are verified
+    assert 200 not in index.places and all(300 + d in {index.ids[h[0]] for h in hits} for d, hits in enumerate(decontaminate.find_items(index, docs[:5])))
+
+
 def test_leaks_equal_brute_force():
     rng = random.Random(6)
     words = [f"w{i}" for i in range(60)]
