@@ -6,7 +6,7 @@ rules decide. Features are lengths, depth, shares of digits and other characters
 parameters and labels, and, as suffix statistics, the smoothed share of blocked URLs among labelled
 ones with the same last label of the host, the same last two labels and the same first path segment.
 These statistics count every labelled URL of the table (for training, those of the half a URL is not
-in, so that it can't learn from itself); the trees see a bounded sample.
+in, so that it can't learn from itself) and are joined to the URLs; the trees see a bounded sample.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and goes to the trees;
 repeated rows get repeated verdicts; without labelled URLs of both verdicts, the verdict of the more
@@ -26,7 +26,6 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 SAMPLE = 20_000  # bound of the labelled URLs the trees are trained on
 TREES, DEPTH, BINS, RATE, LEAST = 40, 4, 32, 0.2, 8
 PRIOR_ROWS = 20.0  # how many rows the overall share weighs in a suffix statistic
-MAX_SUFFIXES = 50_000  # most values of one statistic that are kept, by number of URLs
 
 
 def host_of(url: Column) -> Column:
@@ -73,19 +72,30 @@ def half_of() -> Column:
     return F.pmod(F.xxhash64("url", "page_id"), F.lit(2)).cast("int")
 
 
-def suffix_counts(labelled: DataFrame) -> dict[str, dict[str, tuple[int, int, int, int]]]:
-    """For each statistic the values with their numbers of labelled and of blocked URLs in either half.
-
-    Counted over all labelled URLs; at most ``MAX_SUFFIXES`` values of each, the most frequent, are kept.
-    """
+def suffix_counts(labelled: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """For each statistic a table of all its values (v) with their labelled (n) and blocked (k) URLs in either half."""
     out = {}
     for name, value in suffixes().items():
-        sides = [f(F.when(F.col("half") == h, x)).alias(f"{c}{h}") for h in (0, 1) for c, f, x in (("n", F.count, F.lit(1)), ("k", F.sum, F.col("y")))]
-        rows = labelled.groupBy(value.alias("v")).agg(*sides).orderBy(F.desc(F.col("n0") + F.col("n1")), "v").limit(MAX_SUFFIXES)
-        out[name] = {r.v: (r.n0, r.k0 or 0, r.n1, r.k1 or 0) for r in rows.collect()}
+        sides = [F.coalesce(f(F.when(F.col("half") == h, x)), F.lit(0)).alias(f"{c}{h}") for h in (0, 1) for c, f, x in (("n", F.count, F.lit(1)), ("k", F.sum, F.col("y")))]
+        out[name] = written(labelled.groupBy(value.alias("v")).agg(*sides), folder, f"counts-{name}")
     return out
 
 
+def with_statistics(rows: DataFrame, counts: dict[str, DataFrame], share: float, halves: bool = False) -> DataFrame:
+    """``rows`` with a column s_name of each statistic; with ``halves``, from the half a URL is not in."""
+    columns = rows.columns
+    for name, value in suffixes().items():
+        rows = rows.withColumn("v", value).join(counts[name], "v", "left")
+        n, k = (
+            F.when(F.col("half") == 0, F.col(f"{c}1")).otherwise(F.col(f"{c}0")) if halves else F.col(f"{c}0") + F.col(f"{c}1")
+            for c in "nk"
+        )
+        smoothed = (F.coalesce(k, F.lit(0)) + F.lit(PRIOR_ROWS * share)) / (F.coalesce(n, F.lit(0)) + F.lit(PRIOR_ROWS))
+        columns = [*columns, f"s_{name}"]
+        rows = rows.withColumn(f"s_{name}", smoothed).select(*columns)
+    return rows
+
+
 def _entropy(text: str) -> float:
     if not text:
         return 0.0
@@ -180,35 +190,26 @@ class Boosted:
 class Judge:
     """Suffix statistics and trees; the probability that a URL should be blocked."""
 
-    def __init__(self, counts, trees: Boosted):
-        self.counts, self.trees = counts, trees
-        totals = {name: np.sum(list(v.values()) or [(0, 0, 0, 0)], axis=0) for name, v in counts.items()}
-        self.share = {name: float((t[1] + t[3]) / max(1, t[0] + t[2])) for name, t in totals.items()}
-
-    def features(self, urls, hosts, paths, values, half=None):
-        """Rows of features; with ``half``, statistics of a URL come from the half it is not in."""
-        out = []
-        for i, (u, h, p) in enumerate(zip(urls, hosts, paths, strict=True)):
-            row = lexical_features(u, h, p)
-            for name, value in zip(self.counts, values[i], strict=True):
-                n0, k0, n1, k1 = self.counts[name].get(value, (0, 0, 0, 0))
-                n, k = (n0 + n1, k0 + k1) if half is None else (n1, k1) if half[i] == 0 else (n0, k0)
-                row.append((k + PRIOR_ROWS * self.share[name]) / (n + PRIOR_ROWS))
-            out.append(row)
-        return np.array(out, dtype=float) if out else np.zeros((0, 0))
-
-
-def train(split: DataFrame, rules=RULES, sample: int = SAMPLE) -> Judge:
+    def __init__(self, counts: dict[str, DataFrame], share: float):
+        self.counts, self.share, self.trees = counts, share, Boosted()
+
+
+def features(urls, hosts, paths, statistics) -> np.ndarray:
+    out = [[*lexical_features(u, h, p), *s] for u, h, p, s in zip(urls, hosts, paths, statistics, strict=True)]
+    return np.array(out, dtype=float) if out else np.zeros((0, 0))
+
+
+def train(split: DataFrame, folder: str, rules=RULES, sample: int = SAMPLE) -> Judge:
     """Fitted to the URLs that ``rules`` decide; the trees to at most ``sample`` of them, chosen by hash."""
     y = (verdict_of(F.col("rule"), rules) == "block").cast("int")
     labelled = split.where("rule is not null").select("page_id", "url", "host", "path", y.alias("y"), half_of().alias("half"))
-    counts = suffix_counts(labelled)
-    rows = labelled.orderBy(F.xxhash64("url", "page_id")).limit(sample).select("url", "host", "path", "y", "half", *(v.alias(f"s_{k}") for k, v in suffixes().items())).collect()
+    n, k = labelled.agg(F.count("*"), F.sum("y")).first()
+    judge = Judge(suffix_counts(labelled, folder), float((k or 0) / max(1, n)))
+    chosen = written(labelled.orderBy(F.xxhash64("url", "page_id")).limit(sample).select("url", "host", "path", "y", "half"), folder, "sample")
+    rows = with_statistics(chosen, judge.counts, judge.share, halves=True).collect()
     rows.sort()
-    judge = Judge(counts, Boosted())
     target = np.array([r.y for r in rows], dtype=float)
-    x = judge.features([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], [tuple(r)[5:] for r in rows], [r.half for r in rows])
-    judge.trees.fit(x, target)
+    judge.trees.fit(features([r.url for r in rows], [r.host for r in rows], [r.path for r in rows], [tuple(r)[5:] for r in rows]), target)
     return judge
 
 
@@ -216,17 +217,19 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict of every row; p_block is the trees' probability where no rule fits."""
     folder = scratch_folder(pages.sparkSession, "urls")
     split = written(split_urls(pages.select("page_id", "url"), rules), folder, "split")
-    judge = train(split, rules)
+    judge = train(split, folder, rules)
+    trees = judge.trees
 
     @F.pandas_udf("double")
     def p_block(url: pd.Series, host: pd.Series, path: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
         if not len(url):
             return pd.Series(np.empty(0))
-        return pd.Series(judge.trees.scores(judge.features(url, host, path, list(zip(a, b, c, strict=True)))))
+        return pd.Series(trees.scores(features(url, host, path, zip(a, b, c, strict=True))))
 
     # The two halves are disjoint, so that the trees see only URLs without a rule.
     ruled = split.where("rule is not null").withColumn("p_block", F.lit(None).cast("double")).withColumn("verdict", verdict_of(F.col("rule"), rules))
-    rest = split.where("rule is null").withColumn("p_block", p_block("url", "host", "path", *suffixes().values()))
+    rest = with_statistics(split.where("rule is null"), judge.counts, judge.share)
+    rest = rest.withColumn("p_block", p_block("url", "host", "path", *(f"s_{name}" for name in suffixes())))
     rest = rest.withColumn("verdict", F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
     columns = ["page_id", "host", "path", "rule", "verdict", "p_block"]
     return ruled.select(*columns).unionAll(rest.select(*columns))

@@ -368,6 +368,20 @@ def test_folding_and_exceptions():
     assert lexicon.strength("idiot " + "word " * 5000) < lexicon.strength("idiot")
 
 
+def test_url_statistics_cover_every_site(spark):
+    """Only the site tells blocked from allowed here, for more sites than a driver would keep."""
+    rules = (("net/e", "block"), ("net/f", "allow"))
+    sites = 52_000
+    kind = F.when(F.col("i") % 2 == 1, "e").otherwise("f")
+    known = spark.range(sites * 4).withColumn("i", F.col("id") % sites).withColumn("c", kind)
+    asked = spark.range(10_000_000, 10_000_000 + 100).withColumn("i", sites - 1 - F.col("id") % 100).withColumn("c", F.lit("z"))
+    url = F.format_string("http://s%05d.net/%s%08d", "i", "c", "id")
+    found = urls.judge_urls(known.unionAll(asked).select(F.col("id").alias("page_id"), url.alias("url")), rules)
+    got = found.where("rule is null").select("host", "verdict").collect()
+    right = sum((r.verdict == "block") == (int(r.host[1:6]) % 2 == 1) for r in got)
+    assert len(got) == 100 and right >= 95
+
+
 def test_boosted_trees_learn_an_interaction():
     rng = np.random.default_rng(5)
     x = rng.random((1500, 4))
