@@ -36,6 +36,7 @@ HELD_WORDS = 250_000  # distinct words a task counts before it hands the counts
 BLOCK_WORDS, BLOCKS = 20_000, 4_096
 FAR = 9  # any number of edits above one
 LAST = "\U0010ffff"
+LISTED, SAME = 0, 1  # a row of a list; a word that looks for others of its length; one more: of a letter more
 #: In Latin-1 bytes; other characters end a run like any separator, and only A-Z are lower-cased.
 RUN = re.compile(rb"[a-z\xc0-\xff]{%d,}" % LEAST_LETTERS)
 
@@ -199,19 +200,20 @@ def _one_side(words: DataFrame, count: int, back: bool, folder: str) -> DataFram
 
     def send(batches):
         for batch in batches:
-            to, keys, rows = [], [], []
+            to, kinds, keys, rows = [], [], [], []
             for i, word in enumerate(batch.column(0).to_pylist()):
                 for key, longer, fixed in asked_keys(word, half(word)):
                     for block in reach(key, longer, fixed, bounds):
                         to.append(block)
+                        kinds.append(SAME + longer)
                         keys.append(key)
                         rows.append(i)
             n = batch.column(1).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([True] * len(to), pa.bool_()), pa.array(keys, pa.string()), n], names)
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(kinds, pa.int32()), pa.array(keys, pa.string()), n], names)
 
     names = ["block", "asks", "key", "n"]
-    asked = spelled.mapInArrow(send, "block int, asks boolean, key string, n bigint")
-    both = placed.select("block", F.lit(False).alias("asks"), "key", "n").unionAll(asked)
+    asked = spelled.mapInArrow(send, "block int, asks int, key string, n bigint")
+    both = placed.select("block", F.lit(LISTED).alias("asks"), "key", "n").unionAll(asked)
     met = both.repartition("block").sortWithinPartitions("block", "asks", "key")
 
     def scan(batches):
@@ -221,15 +223,14 @@ def _one_side(words: DataFrame, count: int, back: bool, folder: str) -> DataFram
             for b, asks, key, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != block:
                     block, listed, counts, known = b, [], [], None
-                if not asks:
+                if asks == LISTED:
                     listed.append(key)
                     counts.append(n)
                     continue
                 known = known or SortedList(listed)
                 word = key[code:]
-                longer = key[:code] != length_code(len(word))
                 first = len(word) // 2
-                for at in known.near(key, longer, code + half(word)):
+                for at in known.near(key, asks != SAME, code + half(word)):
                     other = listed[at][code:]
                     if not back:
                         found.append((word, n, other, counts[at]))
