@@ -13,47 +13,53 @@ def landing_folder(spark, sf_dir) -> str:
     """Files of at most 500 rows, so their number grows with the data; written once per session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _WRITTEN:
-        folder = scratch_folder(spark, "landing")
-        rows = fx.statement_rows(spark, sf_dir).filter("source_type = 'CSV'")
-        named = rows.select(
-            F.col("transaction_date_raw").alias("Txn Date"),
-            F.col("description_raw").alias("Narration"),
-            F.col("debit_raw").alias("Withdrawal"),
-            F.col("credit_raw").alias("Deposit"),
-            F.col("balance_raw").alias("Closing Balance"),
-            "source_file",
-        )
-        placed = named.repartition("source_file").sortWithinPartitions("source_file").drop("source_file")
-        placed.write.option("emptyValue", "").option("maxRecordsPerFile", 500).option("ignoreLeadingWhiteSpace", False).option(
-            "ignoreTrailingWhiteSpace", False
-        ).csv(folder, header=True, quote='"', escape='"')
-        _WRITTEN[key] = folder
+        _WRITTEN[key] = scratch_folder(spark, "landing")
+        write_landing(spark, sf_dir, _WRITTEN[key])
     return _WRITTEN[key]
 
 
+def write_landing(spark, sf_dir, folder) -> None:
+    rows = fx.statement_rows(spark, sf_dir).filter("source_type = 'CSV'")
+    named = rows.select(
+        F.col("transaction_date_raw").alias("Txn Date"),
+        F.col("description_raw").alias("Narration"),
+        F.col("debit_raw").alias("Withdrawal"),
+        F.col("credit_raw").alias("Deposit"),
+        F.col("balance_raw").alias("Closing Balance"),
+        "source_file",
+    )
+    placed = named.repartition("source_file").sortWithinPartitions("source_file").drop("source_file")
+    placed.write.mode("append").option("emptyValue", "").option("maxRecordsPerFile", 500).option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(folder, header=True, quote='"', escape='"')
+
+
 _KINDS = {}
 
 
 def landing_kinds(spark, sf_dir) -> str:
-    """One CSV file of each kind: a good one, one in Latin-1, one with line breaks inside quotes, two
-    without the needed headers, one without rows."""
+    """Files of every kind in one folder: those of ``landing_folder``, and all events as plain files, in
+    Latin-1, with line breaks inside quotes, without the needed headers (twice), and as text; one file
+    has no rows."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KINDS:
         folder = scratch_folder(spark, "landing-kinds")
         events = fx.table(spark, sf_dir, "events")
-        part = lambda n, text: events.filter(F.col("event_id") % 7 == n).select(
+        as_rows = lambda text: events.select(
             F.col("event_id").cast("string").alias("Txn Date"), text.alias("Narration"), F.col("value").cast("string").alias("Withdrawal")
         )
         kind = F.col("event_type")
 
         def put(df, **options):
-            df.coalesce(1).write.mode("append").options(**{"header": True, "quote": '"', "escape": '"', **options}).csv(folder)
-
-        put(part(0, kind))
-        put(part(1, F.concat(F.lit("café "), kind)), encoding="ISO-8859-1")
-        put(part(2, F.concat(kind, F.lit("\nline two"))))
-        put(part(3, kind).withColumnsRenamed({"Txn Date": "When", "Narration": "What"}))
-        put(part(4, kind).limit(0))
-        put(part(5, kind).withColumnsRenamed({"Txn Date": "Day", "Narration": "Text"}))
+            df.write.mode("append").options(**{"header": True, "quote": '"', "escape": '"', **options}).csv(folder)
+
+        write_landing(spark, sf_dir, folder)
+        put(as_rows(kind))
+        put(as_rows(F.concat(F.lit("café "), kind)), encoding="ISO-8859-1")
+        put(as_rows(F.concat(kind, F.lit("\nline two"))))
+        put(as_rows(kind).withColumnsRenamed({"Txn Date": "When", "Narration": "What"}))
+        put(as_rows(kind).withColumnsRenamed({"Txn Date": "Day", "Narration": "Text"}))
+        put(as_rows(kind).limit(0))
+        events.select(kind).write.mode("append").text(folder)
         _KINDS[key] = folder
     return _KINDS[key]

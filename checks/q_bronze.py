@@ -20,23 +20,38 @@ from passbook.sources.tables import AppendTable, VersionedTable
 RAW = ", ".join(RAW_FIELDS)
 
 
-@query("A1_discover_files", "SELECT 'csv' AS suffix, 6 AS files, TRUE AS all_hold_bytes")
+_ROWS_SQL = "SELECT (SELECT count(*) FROM fx WHERE source_type = 'CSV') AS statements, (SELECT count(*) FROM events) AS events"
+
+
+@query(
+    "A1_discover_files",
+    f"""SELECT 'csv' AS suffix, TRUE AS enough_files, TRUE AS all_hold_bytes, TRUE AS in_order FROM ({_ROWS_SQL})""",
+    ["fx"],
+)
 def _(spark, sf):
+    """All statement files of a folder that holds other files as well; a landing file has at most 500 rows."""
     files = landing.discover_files(spark, landing_kinds(spark, sf))
-    return files.groupBy("suffix").agg(F.count(F.lit(1)).alias("files"), F.bool_and(F.col("bytes") > 0).alias("all_hold_bytes"))
+    statements = fx.statement_rows(spark, sf).filter("source_type = 'CSV'").agg(F.count(F.lit(1)).alias("n"))
+    found = files.groupBy("suffix").agg(
+        F.count(F.lit(1)).alias("files"), F.bool_and(F.col("bytes") > 0).alias("all_hold_bytes"), F.collect_list("path").alias("paths")
+    )
+    enough = F.col("files") * 500 >= F.col("n")
+    return found.crossJoin(statements).select("suffix", enough.alias("enough_files"), "all_hold_bytes", (F.col("paths") == F.array_sort("paths")).alias("in_order"))
 
 
-@query("A2_file_fingerprint", "SELECT 6 AS files, 6 AS hashes, TRUE AS of_the_bytes")
+@query("A2_file_fingerprint", "SELECT 0 AS unlike_the_text, 0 AS without_hash, TRUE AS same_bytes_same_hash")
 def _(spark, sf):
-    """Each hash against one of the bytes as text, which is possible for files that are UTF-8."""
+    """Each hash against one of the bytes as text, for the files that are UTF-8; every statement file has one."""
     folder = landing_kinds(spark, sf)
     prints = landing.fingerprint_files(spark, folder)
-    whole = spark.read.text(folder, wholetext=True).select(
-        landing.plain_path(F.col("_metadata.file_path")).alias("path"), F.sha2("value", 256).alias("again")
+    whole = spark.read.text(folder, wholetext=True, pathGlobFilter="*.csv").select(
+        landing.plain_path(F.col("_metadata.file_path")).alias("path"), "value", F.sha2("value", 256).alias("again")
     )
-    joined = prints.join(whole, "path")
+    joined = whole.join(prints, "path", "left")
     return joined.agg(
-        F.count(F.lit(1)).alias("files"), F.countDistinct("file_hash").alias("hashes"), F.bool_and(F.col("file_hash") == F.col("again")).alias("of_the_bytes")
+        F.count_if(F.is_valid_utf8("value") & (F.col("file_hash") != F.col("again"))).alias("unlike_the_text"),
+        F.count_if(F.col("file_hash").isNull()).alias("without_hash"),
+        (F.countDistinct("file_hash") == F.countDistinct("again")).alias("same_bytes_same_hash"),
     )
 
 
@@ -151,14 +166,17 @@ def _(spark, sf):
 
 @query(
     "A11_isolate_bad_files",
-    """SELECT 'accepted' AS outcome, 3 AS files UNION ALL SELECT 'no_rows', 1
-       UNION ALL SELECT 'missing_required:transaction_date_raw,description_raw', 2""",
+    f"""SELECT 'accepted' AS outcome, statements + 3 * events AS row_count FROM ({_ROWS_SQL}) UNION ALL SELECT 'no_rows', 0
+       UNION ALL SELECT 'missing_required:transaction_date_raw,description_raw', 0""",
+    ["fx"],
 )
 def _(spark, sf):
+    """Rows by outcome: bad files stay out and take nothing with them."""
     scan = scan_csv(spark, landing_kinds(spark, sf))
-    good = scan.accepted.select("path", F.lit("accepted").alias("outcome"))
-    bad = scan.rejected.select("path", F.col("reason").alias("outcome"))
-    return good.unionByName(bad).groupBy("outcome").agg(F.count(F.lit(1)).alias("files"))
+    held = scan.rows.groupBy("path").agg(F.count(F.lit(1)).alias("held"))
+    good = scan.accepted.join(held, "path", "left").select(F.lit("accepted").alias("outcome"), F.when(F.col("rows") == F.col("held"), F.col("rows")).alias("n"))
+    bad = scan.rejected.join(held, "path", "left").select(F.col("reason").alias("outcome"), F.coalesce("held", F.lit(0)).alias("n"))
+    return good.unionByName(bad).groupBy("outcome").agg(F.sum("n").alias("row_count"))
 
 
 @query("A12_enforce_raw_schema", f"SELECT {RAW}, source_page, source_row_index, source_file, source_type FROM fx", ["fx"])
@@ -250,12 +268,17 @@ def _(spark, sf):
     return table.read().select("row_hash", "quarantine_reason")
 
 
-@query("A20_admit_files", "SELECT 'admitted' AS outcome, 6 AS files UNION ALL SELECT 'too_large', 6")
+@query(
+    "A20_admit_files",
+    """SELECT 'usual' AS "limit", 'admitted' AS outcome, 'csv' AS suffix UNION ALL SELECT 'usual', 'unsupported_type', 'txt'
+       UNION ALL SELECT 'a byte', 'too_large', 'csv' UNION ALL SELECT 'a byte', 'unsupported_type', 'txt'""",
+)
 def _(spark, sf):
-    """The same files under the usual limit and under one of a byte."""
+    """What becomes of the files of each type, under the usual limit and under one of a byte."""
     files = landing.list_files(spark, landing_kinds(spark, sf))
-    judged = landing.admission(files).unionByName(landing.admission(files, 1))
-    return judged.groupBy(F.coalesce("reason", F.lit("admitted")).alias("outcome")).agg(F.count(F.lit(1)).alias("files"))
+    limits = {"usual": landing.MAX_UPLOAD_BYTES, "a byte": 1}
+    judged = [landing.admission(files, most).withColumn("limit", F.lit(name)) for name, most in limits.items()]
+    return judged[0].unionByName(judged[1]).select("limit", F.coalesce("reason", F.lit("admitted")).alias("outcome"), "suffix").distinct()
 
 
 @query(
@@ -282,24 +305,59 @@ query("A22_preview", "SELECT 5 AS shown, 0 AS unknown")(_preview)
 query("G4_preview5", "SELECT 5 AS shown, 0 AS unknown")(_preview)
 
 
-@query("A23_list_staged", "SELECT 6 AS files, TRUE AS in_order, TRUE AS one_decimal")
+@query("A23_list_staged", "SELECT 0 AS unlisted, 0 AS wrong_sizes, TRUE AS in_order")
 def _(spark, sf):
-    staged = landing.list_staged(landing.list_files(spark, landing_kinds(spark, sf)))
-    names = F.collect_list("file_name")
-    tenths = F.col("size_kb") * 10
-    return staged.agg(
-        F.count(F.lit(1)).alias("files"), (names == F.array_sort(names)).alias("in_order"), F.bool_and(F.abs(tenths - F.round(tenths)) < 1e-6).alias("one_decimal")
+    """Every statement file with its size, against the sizes of the files as they are read."""
+    folder = landing_kinds(spark, sf)
+    staged = landing.list_staged(landing.list_files(spark, folder))
+    read = landing.fingerprints(spark.read.format("binaryFile").load(folder)).join(
+        spark.read.format("binaryFile").load(folder).select("path", F.octet_length("content").alias("n")), "path"
     )
+    met = read.select("file_name", "n").join(staged, "file_name", "left")
+    wrong = F.abs(F.col("size_kb") - F.col("n") / 1024) > 0.05 + 1e-9
+    names = staged.agg(F.collect_list("file_name").alias("names")).select((F.col("names") == F.array_sort("names")).alias("in_order"))
+    return met.agg(F.count_if(F.col("size_kb").isNull()).alias("unlisted"), F.count_if(wrong).alias("wrong_sizes")).crossJoin(names)
+
+
+class _Stopped(RuntimeError):
+    pass
+
+
+class _StopsBeforeManifest(Workspace):
+    """A run that ends when Bronze is written and the manifest is not."""
+
+    @property
+    def manifest(self):
+        table = super().manifest
+
+        def append(df, replace=False):
+            raise _Stopped
+
+        table.append = append
+        return table
 
 
 @query(
     "K1_ingest",
-    f"SELECT {', '.join(f'nullif({c}, {chr(39)*2}) AS {c}' for c in RAW_FIELDS)}, 'CSV' AS source_type FROM fx WHERE source_type = 'CSV'",
-    ["fx"],
+    f"SELECT {', '.join(f'nullif({c}, {chr(39)*2}) AS {c}' for c in RAW_FIELDS)}, 'CSV' AS source_type FROM fx WHERE source_type = 'CSV' UNION ALL SELECT "
+    + ", ".join(f"{_CELL.format(i=i + 1)}" for i in range(len(RAW_FIELDS)))
+    + f""", 'PDF' FROM cells WHERE cells IS NOT NULL
+        AND len(list_intersect(list_transform(cells, lambda c: lower(trim(coalesce(c, '')))), {_TOKENS})) < 3
+        AND len(list_filter(cells, lambda c: trim(coalesce(c, '')) <> '')) > 0""",
+    ["fx", "cells"],
 )
 def _(spark, sf):
-    workspace = Workspace(spark, scratch_folder(spark, "workspace"))
-    folder = landing_folder(spark, sf)
-    plan.ingest(workspace, folder)
-    plan.ingest(workspace, folder)  # nothing is new the second time
+    """CSV files and paged statements; the first run stops before the manifest, a second one follows, a third finds nothing."""
+    base, folder, cells = scratch_folder(spark, "workspace"), landing_folder(spark, sf), fx.table_rows(spark, sf)
+    name = F.col("source_file")
+    pages = cells.select(F.concat(F.lit("pages/"), name).alias("path"), name.alias("file_name"), F.lit("pdf").alias("suffix"), F.sha2(name, 256).alias("file_hash")).distinct()
+    files = landing.fingerprint_files(spark, folder).unionByName(pages)
+    try:
+        plan.ingest(_StopsBeforeManifest(spark, base), folder, cells, files=files)
+    except _Stopped:
+        pass
+    workspace = Workspace(spark, base)
+    plan.ingest(workspace, folder, cells, files=files)
+    if plan.ingest(workspace, folder, cells, files=files) is not None:
+        raise AssertionError("files were ingested twice")
     return workspace.bronze.read().select(*RAW_FIELDS, "source_type")

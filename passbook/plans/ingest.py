@@ -16,7 +16,7 @@ from passbook.sources import files as landing
 from passbook.sources.csv_files import scan_csv
 from passbook.sources.table_cells import normalize_table_rows
 
-# about this many new files are named to one scan; more are taken in several rounds
+# about this many new files are named to one scan and written as one part
 NAMED_FILES = 10_000
 
 
@@ -51,6 +51,30 @@ class IngestResult:
     files: int
 
 
+def planned_parts(workspace: Workspace, fresh: DataFrame, batch_id: str, folder: str) -> DataFrame:
+    """``fresh`` with the ``part`` of Bronze each file's rows go to.
+
+    A file's part is written down before the file is read, and stays its part until the manifest lists a
+    file of it. So a part that a stopped run left behind is written again as a whole, by whichever run
+    comes next and whatever files have arrived since. A part the manifest knows is never written again:
+    files of it that gave no rows get a new one.
+    """
+    plan, manifest = workspace.ingest_plan.read(), workspace.manifest.read()
+    closed = plan.join(manifest.select("file_hash"), "file_hash", "left_semi").select("part").distinct()
+    latest = plan.groupBy("file_hash").agg(F.max_by("part", "planned_at").alias("part"))
+    known = written(fresh.join(latest.join(closed, "part", "left_anti"), "file_hash", "left"), folder, "known")
+    new = known.filter("part is null").count()
+    if not new:
+        return known
+    # Equal files go to one part. Parts hold about NAMED_FILES files; their names are never used again.
+    turn = F.pmod(F.xxhash64("file_hash"), F.lit(-(-new // NAMED_FILES)))
+    name = F.concat_ws("_", F.lit(batch_id), F.lit(uuid.uuid4().hex[:8]), turn.cast("string"))
+    planned = written(known.withColumn("_new", F.col("part").isNull()).withColumn("part", F.coalesce("part", name)), folder, "planned")
+    entries = planned.filter("_new").select("file_hash", "part").distinct()
+    workspace.ingest_plan.append(entries.withColumn("planned_at", F.current_timestamp()).coalesce(1))
+    return planned.drop("_new")
+
+
 def ingest(
     workspace: Workspace,
     folder: str,
@@ -62,53 +86,69 @@ def ingest(
 
     ``table_rows`` holds the cells extracted from paged statements of the same folder, by
     ``source_file``. ``files`` gives the fingerprints of the files to look at instead of all of
-    ``folder``. A file that fails or has no rows is reported and tried again next time. A run that
-    is repeated with the same ``batch_id`` replaces what it wrote.
+    ``folder``. A file that fails or has no rows is reported and tried again next time.
+
+    Every file's rows are in Bronze exactly once, wherever a run stops and whatever batch id the next one
+    has: files are dealt into parts first (``planned_parts``), a part's rows replace what a stopped run
+    left of it, and one append to the manifest closes it. Runs of one workspace must not overlap. Rows of
+    a stopped run stay if all files of their part have gone from the folder since.
     """
     spark = workspace.spark
     batch_id = batch_id or new_batch_id()
-    if files is None:
-        files = landing.fingerprint_files(spark, folder)
-        large = landing.oversized_files(spark, folder)
-        workspace.rejected_files.append(large.withColumn("batch_id", F.lit(batch_id)))
     scratch = scratch_folder(spark, "ingest")
+    if files is None:
+        files, unreadable = landing.readable_fingerprints(spark, folder, scratch)
+        _report(workspace, unreadable, batch_id, f"{batch_id}_unread")
     fresh = written(landing.skip_ingested(files, workspace.manifest.read()), scratch, "fresh")
-    rounds = max(1, -(-fresh.count() // NAMED_FILES))
-    dealt = fresh.withColumn("_round", F.pmod(F.xxhash64("file_hash"), F.lit(rounds)))
-    new_files = 0
-    for turn in range(rounds):
-        part = dealt.filter(F.col("_round") == turn).drop("_round")
-        new_files += _ingest_files(workspace, part, table_rows, batch_id if rounds == 1 else f"{batch_id}_{turn}")
-    if not new_files:
+    planned = planned_parts(workspace, fresh, batch_id, scratch)
+    # one part per NAMED_FILES files
+    parts = sorted(r["part"] for r in planned.select("part").distinct().collect())
+    done = sum(_ingest_part(workspace, planned.filter(F.col("part") == part).drop("part"), table_rows, batch_id, part) for part in parts)
+    if not done:
         return None
-    rows = workspace.bronze.read().filter(F.col("batch_id").startswith(batch_id)).count()
-    return IngestResult(batch_id, rows, new_files)
+    rows = workspace.bronze.read(stored=True).filter(F.col("part").isin(parts)).count()
+    return IngestResult(batch_id, rows, done)
+
+
+def _report(workspace: Workspace, files: DataFrame, batch_id: str, part: str) -> None:
+    """``files``: path, reason. A part that is written again replaces its report."""
+    workspace.rejected_files.append(files.withColumns({"batch_id": F.lit(batch_id), "part": F.lit(part)}), replace=True)
 
 
-def _ingest_files(workspace: Workspace, fresh: DataFrame, table_rows: DataFrame | None, batch_id: str) -> int:
+def _ingest_part(workspace: Workspace, fresh: DataFrame, table_rows: DataFrame | None, batch_id: str, part: str) -> int:
     """The number of files that gave rows."""
     spark = workspace.spark
-    parts, contributed = [], []
-    paths = [landing.literal_path(r["path"]) for r in fresh.filter("suffix = 'csv'").select("path").collect()]
-    if paths:
-        scan = scan_csv(spark, paths)
-        parts.append(scan.rows.select(RAW_ROW.names[:-1]))
+    rows, contributed = [], []
+    paths = sorted(r["path"] for r in fresh.filter("suffix = 'csv'").select("path").collect())
+    scans, unreadable = landing.by_halves(paths, lambda some: scan_csv(spark, [landing.literal_path(p) for p in some]))
+    bad = [scan.rejected for scan in scans]
+    if unreadable:
+        bad.append(spark.createDataFrame([(path, f"unreadable:{why}") for path, why in unreadable], "path string, reason string"))
+    if bad:
+        _report(workspace, _union(bad), batch_id, part)
+    for scan in scans:
+        rows.append(scan.rows.select(RAW_ROW.names[:-1]))
         contributed.append(scan.accepted.select("path"))
-        workspace.rejected_files.append(scan.rejected.withColumn("batch_id", F.lit(batch_id)))
     if table_rows is not None:
         paged = fresh.filter("suffix = 'pdf'").select(F.col("file_name").alias("source_file"), "path")
         cells = normalize_table_rows(table_rows).join(paged.select("source_file"), "source_file", "left_semi")
-        parts.append(cells.select(RAW_ROW.names[:-1]))
+        rows.append(cells.select(RAW_ROW.names[:-1]))
         contributed.append(paged.join(cells.select("source_file"), "source_file", "left_semi").select("path"))
-    if not parts:
+    if not rows:
         return 0
-    raw = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    names = contributed[0] if len(contributed) == 1 else contributed[0].unionByName(contributed[1])
-    entries = fresh.join(names, "path", "left_semi").select(
+    entries = fresh.join(_union(contributed), "path", "left_semi").select(
         "file_hash", "file_name", F.lit(batch_id).alias("batch_id"), F.current_timestamp().alias("processed_at")
     )
-    new_files = entries.count()
-    if new_files:
-        workspace.bronze.append(bronze_rows(raw, batch_id), replace=True)
-        workspace.manifest.append(entries)
-    return new_files
+    entries = written(entries, scratch_folder(spark, "ingest"), "entries")
+    done = entries.count()
+    if done:
+        workspace.bronze.append(bronze_rows(_union(rows), batch_id).withColumn("part", F.lit(part)), replace=True)
+        workspace.manifest.append(entries.coalesce(1))
+    return done
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

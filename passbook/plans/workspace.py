@@ -15,7 +15,12 @@ class Workspace:
 
     @property
     def bronze(self):
-        return AppendTable(self.spark, f"{self.base}/bronze", schemas.BRONZE, ["batch_id"])
+        """Partitioned by the part of the ingest plan, so that a part can be written again."""
+        return AppendTable(self.spark, f"{self.base}/bronze", schemas.BRONZE, ["part"], schemas.PART)
+
+    @property
+    def ingest_plan(self):
+        return AppendTable(self.spark, f"{self.base}/ingest_plan", schemas.INGEST_PLAN)
 
     @property
     def manifest(self):
@@ -24,7 +29,7 @@ class Workspace:
     @property
     def rejected_files(self):
         schema = StructType([StructField(n, StringType()) for n in ("batch_id", "path", "reason")])
-        return AppendTable(self.spark, f"{self.base}/rejected_files", schema)
+        return AppendTable(self.spark, f"{self.base}/rejected_files", schema, ["part"], schemas.PART)
 
     @property
     def silver(self):

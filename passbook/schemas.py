@@ -88,6 +88,10 @@ MANIFEST = T.StructType(
     + [T.StructField("processed_at", T.TimestampType())]
 )
 
+#: Which partition of Bronze a file's rows go to, decided before they are read.
+INGEST_PLAN = T.StructType(_strings(["file_hash", "part"]) + [T.StructField("planned_at", T.TimestampType())])
+PART = T.StructType(_strings(["part"]))
+
 INDEX_METADATA = T.StructType(
     [
         T.StructField("txn_date", T.StringType()),

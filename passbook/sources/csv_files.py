@@ -129,7 +129,7 @@ def _plain_rows(lines, blocks, usable, width):
     return _finish(_with_cells(text, F.col("_line"), width, "_cells"), F.col("_cells"), F.col("_row"))
 
 
-def _quoted_rows(spark, usable, width):
+def _quoted_rows(spark, usable, width, folder):
     """Rows of files with line breaks inside quotes, plus the files whose rows are too wide.
 
     Only these files are read again, each by its name; there are at most as many as were scanned.
@@ -151,7 +151,7 @@ def _quoted_rows(spark, usable, width):
             .withColumn("_id", F.monotonically_increasing_id())
             .join(usable.filter(~F.col("plain") & (F.col("utf8") == utf8)), "path")
         )
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    rows = written(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), folder, "quoted-rows")
     wide = F.exists(
         F.slice("cells", F.col("header_fields") + 1, width + 1), lambda c: c.isNotNull()
     )
@@ -169,7 +169,8 @@ def scan_csv(spark: SparkSession, source) -> CsvScan:
     """``source``: a folder or a list of paths (plain names go through ``literal_path``).
 
     The numbered lines are stored once: profile and rows come from the same lines, however the
-    files are split later. Collected are one width, one count, and the names of the files with line
+    files are split later. No file is read after this function returns, so a file that cannot be read
+    fails here. Collected are one width, one count, and the names of the files with line
     breaks inside quotes.
     """
     folder = scratch_folder(spark, "csv")
@@ -194,7 +195,7 @@ def scan_csv(spark: SparkSession, source) -> CsvScan:
     accepted = usable.filter("plain").select("path", "rows")
     rejected = judged.filter(F.col("reason").isNotNull()).select("path", "reason")
     if quoted_files:
-        quoted, per_file = _quoted_rows(spark, usable, width)
+        quoted, per_file = _quoted_rows(spark, usable, width, folder)
         per_file = written(per_file, folder, "quoted")
         rows = rows.unionByName(quoted)
         why = F.when(F.col("_wide"), "row_wider_than_header").when(F.col("rows") <= 0, "no_rows")

@@ -5,10 +5,15 @@ through ``plain_path``.
 """
 
 import re
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passbook.scratch import written
+
 STATEMENT_SUFFIXES = ("pdf", "csv")
 MAX_UPLOAD_BYTES = 20 * 1024 * 1024
 #: Spark reads a file's bytes as one row, which holds less than 2 GB; uploads are far smaller.
@@ -65,15 +70,65 @@ def fingerprints(files: DataFrame) -> DataFrame:
     return statements.select("path", file_name(F.col("path")).alias("file_name"), "suffix", digest)
 
 
-def fingerprint_files(spark: SparkSession, folder: str) -> DataFrame:
-    """The fingerprints of every statement file of a folder, one rule for all sizes."""
-    return fingerprints(_binary(spark, folder).filter(F.col("length") <= MAX_FILE_BYTES))
+def fingerprint_files(spark: SparkSession, folder: str | list[str], **options) -> DataFrame:
+    """The fingerprints of every statement file of a folder (or of named files), one rule for all sizes."""
+    files = spark.read.format("binaryFile").options(**options).load(folder)
+    return fingerprints(files.filter(F.col("length") <= MAX_FILE_BYTES))
+
+
+#: What an error says when a file cannot be opened or read to its end.
+READ_FAILURES = ("FAILED_READ_FILE", "PATH_NOT_FOUND", "FileNotFoundException", "AccessControlException", "ChecksumException", "Permission denied")
+
 
+def read_failure(error: Exception) -> str | None:
+    """The first word of ``READ_FAILURES`` that an error or its causes name, None for other errors."""
+    text = str(error)
+    return next((word for word in READ_FAILURES if word in text), None)
 
-def oversized_files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, reason of the statement files that cannot be read as one row; they are reported, not ingested."""
-    files = _binary(spark, folder).filter(F.col("length") > MAX_FILE_BYTES)
-    return files.filter(suffix(F.col("path")).isin(*STATEMENT_SUFFIXES)).select("path", F.lit("too_large").alias("reason"))
+
+def by_halves(paths: list[str], attempt: Callable[[list[str]], object]) -> tuple[list, list[tuple[str, str]]]:
+    """What ``attempt`` returned for as many of ``paths`` as can be read, and (path, failure) of the rest.
+
+    A set that fails is tried in halves until the bad file is alone, so one bad file among n costs about
+    ``2 log2(n)`` attempts. Errors that are not about reading a file are raised at once.
+    """
+    if not paths:
+        return [], []
+    try:
+        return [attempt(paths)], []
+    except (PySparkException, Py4JJavaError) as error:
+        failure = read_failure(error)
+        if failure is None:
+            raise
+        if len(paths) == 1:
+            return [], [(paths[0], failure)]
+    half = len(paths) // 2
+    (first, bad), (second, also_bad) = by_halves(paths[:half], attempt), by_halves(paths[half:], attempt)
+    return first + second, bad + also_bad
+
+
+def readable_fingerprints(spark: SparkSession, folder: str, scratch: str) -> tuple[DataFrame, DataFrame]:
+    """The fingerprints of a folder, and (path, reason) of the statement files that have none.
+
+    A fingerprint exists only for bytes read to the end, so files that vanish or break off while they
+    are read are simply left over. What Spark never skips, such as a forbidden file, is found by halves.
+    """
+    listed = written(discover_files(spark, folder), scratch, "listed")
+    try:
+        skip = {"ignoreMissingFiles": True, "ignoreCorruptFiles": True}
+        prints = written(fingerprint_files(spark, folder, **skip), scratch, "prints")
+    except (PySparkException, Py4JJavaError) as error:
+        if read_failure(error) is None:
+            raise
+        paths = [r["path"] for r in listed.select("path").collect()]  # only after a failure
+        turns = iter(range(2 * len(paths)))
+        attempt = lambda some: written(fingerprint_files(spark, [literal_path(p) for p in some]), scratch, f"prints-{next(turns)}")
+        parts, _ = by_halves(paths, attempt)
+        prints = fingerprints(_binary(spark, folder).limit(0)) if not parts else parts[0]
+        for part in parts[1:]:
+            prints = prints.unionByName(part)
+    reason = F.when(F.col("bytes") > MAX_FILE_BYTES, "too_large").otherwise("unreadable")
+    return prints, listed.join(prints, "path", "left_anti").select("path", reason.alias("reason"))
 
 
 def skip_ingested(files: DataFrame, manifest: DataFrame) -> DataFrame:

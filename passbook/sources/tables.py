@@ -30,20 +30,23 @@ def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame | Non
 
 
 class AppendTable:
-    def __init__(self, spark: SparkSession, path: str, schema: StructType, partition_by=()):
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, partition_by=(), hidden: StructType | None = None):
+        """``hidden``: columns stored next to the contract and read only on request."""
         self.spark, self.path, self.schema = spark, path, schema
+        self.stored = StructType(schema.fields + (hidden.fields if hidden else []))
         self.partition_by = list(partition_by)
 
-    def read(self) -> DataFrame:
+    def read(self, stored: bool = False) -> DataFrame:
         """All rows, none when nothing was written yet."""
-        df = _read(self.spark, self.path, self.schema)
-        return self.spark.createDataFrame([], self.schema) if df is None else df.select(self.schema.names)
+        df = _read(self.spark, self.path, self.stored)
+        df = self.spark.createDataFrame([], self.stored) if df is None else df
+        return df.select(self.stored.names if stored else self.schema.names)
 
     def append(self, df: DataFrame, replace: bool = False) -> None:
         """``replace``: the partitions that ``df`` has rows of are replaced, so a repeated run adds nothing."""
-        writer = conform(df, self.schema).write.mode("append")
+        writer = conform(df, self.stored).write.mode("append")
         if replace and self.partition_by:
-            writer = conform(df, self.schema).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer = conform(df, self.stored).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(self.path)
 
 
