@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from passbook.llm.common import map_texts
+from passbook.llm.common import SMALL_SLICE, map_texts
 
 # Character classes. Those after WHITE depend on neighbouring characters: white space before text, a quote
 # that may begin a contraction of one or two letters, and the letters that may end one.
@@ -207,7 +207,7 @@ class PieceCache:
     bounded and frequent pieces stay.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[tuple[int, ...]]], limit: int = 600_000):
+    def __init__(self, encode: Callable[[list[str]], list[tuple[int, ...]]], limit: int = 300_000):
         self.encode, self.limit = encode, limit
         self._reset({}, np.empty(0, np.uint32), np.zeros(1, np.int64), np.empty(0, np.int64))
 
@@ -279,14 +279,9 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_LOADED: dict[str, ByteBPE] = {}
-
-
 def load(path: str) -> ByteBPE:
-    """One encoder per Python worker and file, so its cache lives across tasks."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBPE(path)
-    return _LOADED[path]
+    """An encoder for one task; workers that are used again keep nothing of it."""
+    return ByteBPE(path)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
@@ -304,7 +299,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
         return run
 
-    return map_texts(docs, make, "ids array<int>, decoded binary")
+    return map_texts(docs, make, "ids array<int>, decoded binary", SMALL_SLICE)
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -324,7 +319,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
 
         return run
 
-    return map_texts(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", SMALL_SLICE)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

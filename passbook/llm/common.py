@@ -5,6 +5,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,21 +39,42 @@ def text_slices(texts: list[str], limit: int = SLICE_CHARS) -> Iterator[tuple[in
         yield start, len(texts)
 
 
-def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list]], fields: str) -> DataFrame:
+#: Bytes of text taken out of an Arrow batch at once where a worker's memory counts.
+SMALL_SLICE = 500_000
+
+
+def byte_slices(texts: pa.Array, limit: int = SMALL_SLICE) -> Iterator[list[str]]:
+    """The texts of an Arrow column in runs of at most ``limit`` bytes together; a longer text stands alone."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start, before = 0, 0
+    while start < len(ends):
+        stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield texts.slice(start, stop - start).to_pylist()
+        start, before = stop, int(ends[stop - 1])
+
+
+def map_texts(docs: DataFrame, make: Callable[[], Callable[[list[str]], list]], fields: str, slice_bytes: int | None = None) -> DataFrame:
     """``doc_id`` and what ``make()(texts)`` returns for each text: one list per field of ``fields``.
 
-    ``make`` runs once per task. Every row is mapped by itself, so a lost task is simply repeated.
+    ``make`` runs once per task. Every row is mapped by itself, so a lost task is simply repeated. With
+    ``slice_bytes`` only so many bytes of a batch are Python strings at a time.
     """
     docs = whole_texts(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         score = make()
+        names = [x.split()[0] for x in fields.split(",")]
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in text_slices(texts):
-                columns = score(texts[a:b])
-                names = [x.split()[0] for x in fields.split(",")]
+            if slice_bytes is None:
+                texts = batch.column(1).to_pylist()
+                runs = (texts[a:b] for a, b in text_slices(texts))
+            else:
+                runs = byte_slices(batch.column(1), slice_bytes)
+            b = 0
+            for run in runs:
+                a, b = b, b + len(run)
+                columns = score(run)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), *(c if isinstance(c, pa.Array) else pa.array(c) for c in columns)],
                     ["doc_id", *names],

@@ -10,12 +10,15 @@ repeated scores; with labels of only one class, or none, every score is the shar
 (0.5 without labels).
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.llm.common import Adam, fold_of, labelled_sample, map_texts, sigmoid
+from passbook.llm.common import SMALL_SLICE, Adam, byte_slices, fold_of, labelled_sample, map_texts, sigmoid
 
 DIM, STRIDE, FILTERS = 8, 4, 24
 WIDTH = 2 * STRIDE
@@ -23,12 +26,38 @@ HALF_CHUNK = 32  # windows; a chunk is two halves, and chunks overlap by one hal
 PER_CLASS = 1500  # bound of the training sample, per class
 SEGMENT = 3000  # bytes of a training document used in one step, from anywhere in it
 STEPS, BATCH = 500, 32
+SLICE_BYTES = 250_000  # bytes that go through the filters at once; about 150 bytes of memory each
 THRESHOLD = 0.7
 
 
-def _pad(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _windows(text: bytes) -> int:
+    return max(1, -(-len(text) // STRIDE))
+
+
+def _pieces(texts: list[bytes], limit: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Runs of pieces of at most ``limit`` bytes together, and the number of windows of each piece.
+
+    A long text is cut between half-chunks; a piece ends with the stride that its last window reaches into.
+    """
+    most = max(1, limit // (HALF_CHUNK * STRIDE)) * HALF_CHUNK  # windows of a piece
+    run, windows, size = [], [], 0
+    for t in texts:
+        total = _windows(t)
+        for begin in range(0, total, most):
+            count = min(most, total - begin)
+            if run and size + count * STRIDE > limit:
+                yield run, np.array(windows)
+                run, windows, size = [], [], 0
+            run.append(t[begin * STRIDE : (begin + count + 1) * STRIDE])
+            windows.append(count)
+            size += count * STRIDE
+    if run:
+        yield run, np.array(windows)
+
+
+def _pad(texts: list[bytes], windows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, each padded to whole strides plus one; the number of windows of each."""
-    windows = np.array([max(1, -(-len(t) // STRIDE)) for t in texts])
+    windows = np.array([_windows(t) for t in texts]) if windows is None else windows
     data = b"".join(t + bytes((w + 1) * STRIDE - len(t)) for t, w in zip(texts, windows.tolist(), strict=True))
     return np.frombuffer(data, dtype=np.uint8), windows
 
@@ -66,11 +95,20 @@ class ByteCNN:
         within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         return first + within * HALF_CHUNK, count
 
-    def logits(self, texts: list[bytes]) -> np.ndarray:
-        codes, windows = _pad(texts)
-        _, _, y = self._answers(codes, windows)
-        starts, count = self._halves(windows)
-        half = np.maximum(np.maximum.reduceat(y, starts, axis=0), 0)
+    def _half_chunks(self, texts: list[bytes], limit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The largest answers of every half-chunk of all texts, and how many each text has.
+
+        The bytes go through the filters in runs of pieces, so memory does not depend on a text's length.
+        """
+        halves = []
+        for pieces, windows in _pieces(texts, limit):
+            _, _, y = self._answers(*_pad(pieces, windows))
+            starts, _ = self._halves(windows)
+            halves.append(np.maximum(np.maximum.reduceat(y, starts, axis=0), 0))
+        return np.concatenate(halves), np.array([-(-_windows(t) // HALF_CHUNK) for t in texts])
+
+    def logits(self, texts: list[bytes], limit: int = SLICE_BYTES) -> np.ndarray:
+        half, count = self._half_chunks(texts, limit)
         ends = np.cumsum(count)
         chunk = half.copy()
         chunk[:-1] = np.maximum(half[:-1], half[1:])
@@ -167,7 +205,7 @@ def score_documents(docs: DataFrame, model: ByteCNN) -> DataFrame:
     def make():
         return lambda texts: [model.scores([t.encode("utf-8", "replace") for t in texts]).astype(np.float64)]
 
-    return map_texts(docs, make, "score double")
+    return map_texts(docs, make, "score double", SMALL_SLICE)
 
 
 def keep_good(docs: DataFrame, model: ByteCNN, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,10 +213,8 @@ def keep_good(docs: DataFrame, model: ByteCNN, threshold: float = THRESHOLD) ->
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        from passbook.llm.common import text_slices
-
-        values = ["" if t is None else t for t in texts]
-        parts = [model.scores([t.encode("utf-8", "replace") for t in values[a:b]]) for a, b in text_slices(values)]
+        column = pa.array(texts.fillna(""), pa.string())
+        parts = [model.scores([t.encode("utf-8", "replace") for t in run]) for run in byte_slices(column)]
         return pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
     return docs.where(score("text") >= threshold)

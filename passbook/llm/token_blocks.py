@@ -16,8 +16,8 @@ Defined results: null text is empty text; every document ends with the end id, s
 id; repeated rows are repeated documents; null ids come first; an empty table makes an empty file.
 """
 
+import re
 import zlib
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passbook.llm.bpe import LETTER, NUMBER, OTHER, WHITE, Classes, PieceCache, split_texts
-from passbook.llm.common import map_texts
+from passbook.llm.common import SMALL_SLICE, map_texts
 from passbook.scratch import scratch_folder
 
 BLOCK = 128
@@ -149,33 +149,45 @@ def read_block(data: bytes, block: int) -> np.ndarray:
 
 # ---- encoding with the tokenizers library
 
+# The letters that byte-level vocabularies use for bytes. Printable ones stand for themselves, the others
+# are numbered from 256 on.
+_PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+# The split of the library's byte-level step, for texts of Latin-1 characters, with its classes written out.
+_LETTERS, _NUMBERS, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
+LATIN_PIECE = re.compile(
+    f"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^{_WHITE}{_LETTERS}{_NUMBERS}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+"
+)
+
+
+def is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class LibraryEncoder:
     """Whole texts through a byte-level BPE file of the tokenizers library, piece by piece with a cache.
 
-    The library splits a text into pieces and merges within a piece only. The split is made here by
-    ``split_texts``, with each character's class asked from the library's own splitter; every piece not
-    in the cache is encoded by the library. Texts that hold a special token's string, or a file that
-    doesn't work in this way, go to the library whole.
+    The library splits a text into pieces and merges within a piece only. The split is made here, by one
+    pattern for texts of Latin-1 characters and by ``split_texts`` for others, with each character's
+    class asked from the library's own splitter; every piece not in the cache is encoded by the library.
+    Texts that hold a special token's string, or a file that doesn't work in this way, go to the library
+    whole.
     """
 
     def __init__(self, path: str):
-        import json
-
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            made = json.load(f)
-        split = made.get("pre_tokenizer") or {}
+        split = self.library.pre_tokenizer
         self.by_piece = (
-            not made.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space")
-            and split.get("use_regex", True) and (made.get("model") or {}).get("type") == "BPE"
+            self.library.normalizer is None and isinstance(split, pre_tokenizers.ByteLevel) and not split.add_prefix_space
+            and split.use_regex and isinstance(self.library.model, models.BPE)
         )
-        vocabulary = self.library.get_vocab()
-        self.token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
-        for token, number in vocabulary.items():
-            self.token_bytes[number] = len(token)
-        self.special = [t["content"] for t in made.get("added_tokens") or ()]
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.classes = Classes(self._class_of)
         self.cache = PieceCache(self._encode)
 
@@ -187,28 +199,35 @@ class LibraryEncoder:
         return LETTER if alone(f"a{c}") else NUMBER if alone(f"1{c}") else OTHER if alone(f"!{c}") else WHITE
 
     def _encode(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        """Ids of each piece; all go to the library as one sequence that is already split."""
-        made = self.library.encode_batch_fast([pieces], is_pretokenized=True, add_special_tokens=False)[0]
-        # A token of a byte-level vocabulary has a letter for each byte, so bytes tell where a piece ends.
-        ids = made.ids
-        reached = np.cumsum(self.token_bytes[ids])
-        ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in pieces])
-        cuts = [0, *(np.searchsorted(reached, ends) + 1).tolist()]
-        return [tuple(ids[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+        """Ids of each piece, merged by the library's model, which knows bytes as letters."""
+        merge = self.library.model.tokenize
+        return [tuple([t.id for t in merge(p.encode("utf-8", "replace").decode("latin-1").translate(BYTE_LETTERS))]) for p in pieces]
+
+    def _split(self, texts: list[str]) -> list[list[str]]:
+        out = [LATIN_PIECE.findall(t) if is_latin(t) else None for t in texts]
+        others = [i for i, pieces in enumerate(out) if pieces is None]
+        for i, pieces in zip(others, split_texts([texts[i] for i in others], self.classes) if others else (), strict=True):
+            out[i] = pieces
+        return out
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of all texts in one array, and where each text's ids end."""
         whole = [not self.by_piece or any(s in t for s in self.special) for t in texts]
-        split = split_texts(["" if w else t for t, w in zip(texts, whole, strict=True)], self.classes)
-        ids, ends = self.cache.flat(split)
-        out = np.split(ids, ends[:-1]) if len(ends) else []
-        for i in np.flatnonzero(whole).tolist():
-            out[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
-        return out
+        ids, ends = self.cache.flat(self._split(["" if w else t for t, w in zip(texts, whole, strict=True)]))
+        if any(whole):
+            rows = np.split(ids, ends[:-1])
+            for i in np.flatnonzero(whole).tolist():
+                rows[i] = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, dtype=np.uint32)
+            ids, ends = np.concatenate(rows), np.cumsum([len(r) for r in rows])
+        return ids, ends
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        ids, ends = self.encode_flat(texts)
+        return np.split(ids, ends[:-1]) if len(ends) else []
 
 
-@cache
 def load(path: str) -> LibraryEncoder:
-    """One encoder per Python worker and file."""
+    """An encoder for one task; workers that are used again keep nothing of it."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -242,16 +261,17 @@ def write_ids(docs: DataFrame, path: str, folder: str, end_id: int = END_ID, sha
         encoder = load(path)
 
         def run(texts):
-            rows = encoder.encode(texts)
-            return [
-                pa.array([len(r) + 1 for r in rows], pa.int64()),
-                pa.array([np.append(r, np.uint32(end_id)).astype("<u2" if not len(r) or max(int(r.max()), end_id) < 1 << 16 else "<u4").tobytes() for r in rows], pa.binary()),
-                pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
-            ]
+            ids, ends = encoder.encode_flat(texts)
+            ids = np.insert(ids, ends, np.uint32(end_id))
+            ids = ids.astype("<u2" if ids.max(initial=0) < 1 << 16 else "<u4")
+            lengths = np.diff(ends, prepend=0) + 1
+            bounds = np.concatenate([[0], np.cumsum(lengths)]) * ids.itemsize
+            data = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds.astype("<i8").tobytes()), pa.py_buffer(ids.tobytes())])
+            return [pa.array(lengths, pa.int64()), data.cast(pa.binary()), pa.array([zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())]
 
         return run
 
-    encoded = map_texts(docs, make, "n bigint, ids binary, tie bigint")
+    encoded = map_texts(docs, make, "n bigint, ids binary, tie bigint", SMALL_SLICE)
     shard = F.lit(0)
     if bounds:
         kind = docs.schema["doc_id"].dataType
