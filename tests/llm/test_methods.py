@@ -85,6 +85,49 @@ def test_library_pieces_equal_whole_texts(texts):
     assert [x.tolist() for x in encoder.encode(more)] == want
 
 
+def test_latin_pieces_equal_the_scan():
+    rng, classes = random.Random(8), token_blocks.load(public_tokenizers.path("byte_bpe_50k.json")).classes
+    letters = "".join(map(chr, range(256))) + "  'stmdrevelaB12\n\t\r"
+    for _ in range(5000):
+        text = "".join(rng.choices(letters, k=rng.randint(0, 30)))
+        assert token_blocks.LATIN_PIECE.findall(text) == bpe.split_texts([text], classes)[0]
+    assert token_blocks.is_latin("é\xff") and not token_blocks.is_latin("ā")
+
+
+# ---- quality
+
+def _plain_logit(model, text):
+    """The network in plain loops: bytes, filters, half-chunks, chunks, one unit."""
+    p, stride = model.p, quality.STRIDE
+    windows = max(1, -(-len(text) // stride))
+    data = text + bytes((windows + 1) * stride - len(text))
+    block = lambda i: np.concatenate([p["bytes"][b] for b in data[i * stride : (i + 1) * stride]]).astype(np.float64)
+    answers = [block(i) @ p["first"] + block(i + 1) @ p["second"] + p["shift"] for i in range(windows)]
+    size = quality.HALF_CHUNK
+    halves = [np.maximum(np.max(answers[i : i + size], axis=0), 0) for i in range(0, windows, size)]
+    chunks = [np.maximum(a, b) for a, b in zip(halves, [*halves[1:], halves[-1]], strict=True)]
+    return np.mean(chunks, axis=0) @ p["mean"] + np.max(chunks, axis=0) @ p["max"] + p["bias"][0]
+
+
+@pytest.mark.parametrize("limit", [1, 300, 250_000])
+def test_the_network_equals_plain_loops_whatever_the_slices(limit):
+    model, rng = quality.ByteCNN(seed=3), np.random.default_rng(2)
+    texts = [b"", b"x", b"plain text", "汉字 mixed é".encode(), *(rng.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (127, 128, 129, 511, 4000))]
+    got = model.logits(texts, limit)
+    assert np.allclose(got, [_plain_logit(model, t) for t in texts], atol=1e-4)
+
+
+def test_memory_of_the_network_does_not_follow_the_text():
+    import tracemalloc
+
+    model = quality.ByteCNN(seed=3)
+    tracemalloc.start()
+    model.scores([b"some words of prose " * 200_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6  # 4 MB of text at 150 bytes a character would be 600 MB
+
+
 # ---- SimHash
 
 def test_fingerprint_definition():
