@@ -122,22 +122,25 @@ def apply_changes(previous: DataFrame, changes: DataFrame, load=None) -> DataFra
     Kept rows are what the changed ids leave over; few changes are broadcast by the planner and
     the vectors stay where they are.
     """
-    kept = previous.join(changes.select("id"), "id", "left_anti")
     fresh = embed(
         changes.filter("action = 'embed'").select("id", "document", "document_hash", "metadata"),
         "document",
         load,
     )
-    return kept.unionByName(fresh)
+    return upsert(previous, fresh, changes)
 
 
 def stale_ids(previous: DataFrame, documents: DataFrame) -> DataFrame:
     return previous.select("id").join(documents.select("id"), "id", "left_anti")
 
 
-def upsert(previous: DataFrame, rows: DataFrame) -> DataFrame:
-    """Replace rows with the same id, keep the others, add the new ones."""
-    return previous.join(rows.select("id"), "id", "left_anti").unionByName(rows)
+def upsert(previous: DataFrame, rows: DataFrame, changed: DataFrame | None = None) -> DataFrame:
+    """Replace rows with the same id, keep the others, add the new ones.
+
+    ``changed`` names the ids that change where ``rows`` are dear to compute or some ids just go.
+    """
+    ids = (rows if changed is None else changed).select("id")
+    return previous.join(ids, "id", "left_anti").unionByName(rows)
 
 
 def index_size(index: DataFrame) -> DataFrame:

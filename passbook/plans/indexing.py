@@ -18,19 +18,22 @@ def build_index(gold: DataFrame, load=None) -> DataFrame:
 
 
 def sync_index(workspace: Workspace, load=None) -> dict:
-    """Publish the index of the current Gold; only new or changed documents are embedded, and an
-    index that is up to date is left alone."""
+    """Publish the index of the current Gold; only new or changed documents are embedded, only the
+    buckets that hold a change are written, and an index that is up to date is left alone."""
     if not workspace.gold.exists():
         raise TableMissing(f"{workspace.gold.path}: build gold first")
-    spark = workspace.spark
+    spark, index = workspace.spark, workspace.index
     require_names(workspace.gold.stored_columns(), GOLD_NEEDED)
     gold = require_rows(workspace.gold.read(), "gold")
-    known = workspace.index.exists()
-    previous = workspace.index.read() if known else spark.createDataFrame([], INDEX)
+    known = index.exists()
+    previous = index.read() if known else spark.createDataFrame([], INDEX)
     figures, documents = Observation(), ix.index_documents(gold)
     compared = ix.compare_index(previous, documents).observe(figures, *ix.sync_figures())
     changes = written(compared.filter("action <> 'keep'"), scratch_folder(spark, "index"), "changes")
     counts = figures.get
-    if counts["re_embedded"] or counts["removed_stale"] or not known:
-        workspace.index.publish(ix.apply_changes(previous, ix.with_documents(changes, documents), load))
+    if not known or index.outgrown(counts["upserted"]):
+        index.publish(ix.apply_changes(previous, ix.with_documents(changes, documents), load))
+    elif counts["re_embedded"] or counts["removed_stale"]:
+        touched = index.touched(changes)
+        index.replace(ix.apply_changes(index.read(touched), ix.with_documents(changes, documents), load), touched)
     return counts

@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
 from passbook import schemas
-from passbook.sources.tables import AppendTable, VersionedTable
+from passbook.sources.tables import AppendTable, KeyedTable, VersionedTable
 
 @dataclass
 class Workspace:
@@ -54,4 +54,9 @@ class Workspace:
 
     @property
     def index(self):
-        return VersionedTable(self.spark, f"{self.base}/index", schemas.INDEX)
+        return KeyedTable(self.spark, f"{self.base}/index", schemas.INDEX)
+
+    @property
+    def answers(self):
+        """What models answered, by request; read before a model is asked."""
+        return AppendTable(self.spark, f"{self.base}/answers", schemas.ANSWERS)

@@ -92,6 +92,14 @@ MANIFEST = T.StructType(
 INGEST_PLAN = T.StructType(_strings(["file_hash", "part"]) + [T.StructField("planned_at", T.TimestampType())])
 PART = T.StructType(_strings(["part"]))
 
+#: One row per attempt: the request (hash of text and instructions), what came back or why nothing did.
+ANSWERS = T.StructType(
+    _strings(["request", "run"])
+    + [T.StructField("attempt", T.IntegerType())]
+    + _strings(["raw", "error"])
+    + [T.StructField("final", T.BooleanType()), T.StructField("asked_at", T.TimestampType())]
+)
+
 INDEX_METADATA = T.StructType(
     [
         T.StructField("txn_date", T.StringType()),

@@ -98,3 +98,77 @@ class VersionedTable:
         version = self.write(df, allow_empty)
         self.show(version)
         return version
+
+
+class KeyedTable:
+    """Rows by key, dealt into buckets; a change writes only the buckets it touches.
+
+    Every write has a folder of its own, and one append of pointer rows shows all its buckets together, so
+    readers see whole states and a failed write leaves the old one. The number of buckets follows the rows
+    when the table is written as a whole, up to ``MOST_BUCKETS``; that is also what a reader collects.
+    """
+
+    ROWS_PER_BUCKET, MOST_BUCKETS = 10_000, 4_096
+    _POINTER = StructType().add("bucket", "integer").add("buckets", "integer").add("version", "string").add("published_at", "long")
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str = "id"):
+        self.spark, self.path, self.schema, self.key = spark, path, schema, key
+
+    def latest(self) -> dict[int, str | None]:
+        """The version of every bucket; None for one without rows. Empty when nothing was published."""
+        pointers = _read(self.spark, f"{self.path}/versions", self._POINTER)
+        if pointers is None:
+            return {}
+        last = F.max_by(F.struct("version", "buckets", "published_at"), "published_at").alias("last")
+        rows = pointers.groupBy("bucket").agg(last).collect()
+        newest = max(rows, key=lambda r: r.last.published_at)
+        return {r.bucket: r.last.version for r in rows if r.last.buckets == newest.last.buckets}
+
+    def exists(self) -> bool:
+        return bool(self.latest())
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """All rows, or those of some buckets."""
+        state = self.latest()
+        if not state:
+            raise TableMissing(self.path)
+        wanted = state if buckets is None else {b: state[b] for b in buckets}
+        paths = [f"{self.path}/data/{version}/bucket={b}" for b, version in wanted.items() if version]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths)
+
+    def bucket(self, buckets: int):
+        return F.pmod(F.xxhash64(self.key), F.lit(buckets)).cast("int")
+
+    def touched(self, changes: DataFrame) -> list[int]:
+        """The buckets that the keys of ``changes`` belong to."""
+        return sorted(r[0] for r in changes.select(self.bucket(len(self.latest()))).distinct().collect())
+
+    def outgrown(self, rows: int) -> bool:
+        """Whether the buckets hold so many rows that the table should be written as a whole again."""
+        buckets = len(self.latest())
+        return buckets < self.MOST_BUCKETS and rows > 4 * buckets * self.ROWS_PER_BUCKET
+
+    def publish(self, df: DataFrame, allow_empty: bool = False) -> None:
+        """Replace all rows."""
+        rows = df.select(self.key).count()
+        if not rows and not allow_empty:
+            raise EmptyTable(self.path)
+        buckets = min(self.MOST_BUCKETS, max(1, -(-rows // self.ROWS_PER_BUCKET)))
+        self._write(df, buckets, list(range(buckets)))
+
+    def replace(self, df: DataFrame, buckets: list[int]) -> None:
+        """Replace the rows of some buckets by ``df``, whose keys belong to them."""
+        self._write(df, len(self.latest()), buckets)
+
+    def _write(self, df: DataFrame, count: int, buckets: list[int]) -> None:
+        version = uuid.uuid4().hex
+        target = f"{self.path}/data/{version}"
+        placed = conform(df, self.schema).withColumn("bucket", self.bucket(count))
+        placed.repartition("bucket").write.partitionBy("bucket").mode("errorifexists").parquet(target)
+        stored = self.spark.read.schema(StructType().add("bucket", "integer")).parquet(target)
+        filled = {r[0] for r in stored.distinct().collect()}
+        now = time.time_ns()
+        rows = [(b, count, version if b in filled else None, now) for b in buckets]
+        self.spark.createDataFrame(rows, self._POINTER).coalesce(1).write.mode("append").parquet(f"{self.path}/versions")

@@ -279,6 +279,53 @@ def test_sync_twice_embeds_nothing_the_second_time(spark, filled):
     assert index.filter("document LIKE '%source: PDF%' AND document NOT LIKE '%category: Other%'").isEmpty()
 
 
+def test_a_change_writes_only_its_bucket(spark, filled, monkeypatch):
+    from passbook.sources.tables import KeyedTable
+
+    refine(filled)
+    build_gold(filled)
+    monkeypatch.setattr(KeyedTable, "ROWS_PER_BUCKET", filled.gold.read().count() // 12)
+    sync_index(filled)
+    before, rows = filled.index.latest(), {r["id"]: r for r in filled.index.read().collect()}
+    assert len(before) == 13
+    changed = sorted(rows)[7]
+    gold = filled.gold.read(stored=True)
+    filled.gold.publish(gold.withColumn("category", F.when(F.col("txn_key_hash") == changed, "Travel").otherwise(F.col("category"))))
+    assert sync_index(filled)["re_embedded"] == 1
+    after = filled.index.latest()
+    moved = [b for b in after if after[b] != before[b]]
+    assert len(moved) == 1 and changed in {r["id"] for r in filled.index.read(moved).collect()}
+    again = {r["id"]: r for r in filled.index.read().collect()}
+    assert set(again) == set(rows) and "Travel" in again[changed]["document"]
+    assert all(again[i] == rows[i] for i in rows if i != changed)
+    # a bucket that loses its last rows has none; a table that outgrew its buckets gets more
+    kept = filled.index.touched(filled.index.read().filter(F.col("id") == changed))
+    gold = filled.gold.read(stored=True)
+    filled.gold.publish(gold.join(filled.index.read(kept).select(F.col("id").alias("txn_key_hash")), "txn_key_hash", "left_anti"))
+    sync_index(filled)
+    assert filled.index.latest()[kept[0]] is None and filled.index.read(kept).isEmpty()
+    assert filled.index.read().count() == filled.gold.read().count()
+    monkeypatch.setattr(KeyedTable, "ROWS_PER_BUCKET", 2)
+    filled.gold.publish(gold)
+    sync_index(filled)
+    assert len(filled.index.latest()) > 13 and {r["id"] for r in filled.index.read().collect()} == set(rows)
+
+
+def test_a_failed_write_leaves_the_index_as_it_was(spark, filled):
+    refine(filled)
+    build_gold(filled)
+    sync_index(filled)
+    rows = filled.index.read().count()
+    filled.gold.publish(filled.gold.read(stored=True).withColumn("category", F.lit("Other")))
+
+    def broken():
+        raise OSError("no model")
+
+    with pytest.raises(Exception, match="no model"):
+        sync_index(filled, broken)
+    assert filled.index.read().count() == rows and filled.index.read().filter("document LIKE '%category: Other%'").count() < rows
+
+
 def test_index_failure_leaves_gold(spark, filled):
     def broken():
         raise OSError("no model")
