@@ -6,16 +6,20 @@ with the text; ``load`` runs once per task. It raises
 """
 
 import time
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from passbook.operators.batching import request_payloads
 from passbook.operators.responses import first_valid_attempt, validate_responses, with_fallback
-from passbook.schemas import CATEGORY_OPTIONS
+from passbook.schemas import ANSWERS, CATEGORY_OPTIONS
+from passbook.scratch import scratch_folder, written
+from passbook.sources.tables import AppendTable
 
 
 class Transient(Exception):
@@ -52,31 +56,80 @@ CATEGORIZE_SYSTEM = (
 # Fixed value: what is shown when a call fails.
 FAILED_ANSWER = "Sorry, I couldn't generate an answer right now ({}). Please try again."
 
-_RESPONSE = "batch_id string, raw string, error string, final boolean"
+# Fixed value: answers that one write stores; a lost driver repeats at most so many calls.
+CALLS_PER_SAVE = 1_000
 
 
-def call_batches(payloads: DataFrame, load: Callable, attempt: int, tasks: int | None = None) -> DataFrame:
-    """One call per batch: batch_id, attempt, raw, error, final.
+def request_key(text: Column, system: Column) -> Column:
+    """Names a request: equal text under equal instructions is asked once."""
+    return F.sha2(F.concat_ws("\0", system, text), 256)
 
-    ``tasks`` caps how many calls run at the same time.
+
+def call_requests(requests: DataFrame, load: Callable, attempt: int, run: str, tasks: int | None = None, forgiving: bool = False) -> DataFrame:
+    """One call per row of ``requests`` (request, payload, system), as rows of the answer table.
+
+    ``tasks`` caps how many calls run at the same time. ``forgiving``: an unknown error is an answer that
+    failed for good, but for a ``RuntimeError`` (a client that is not configured), which stops the job.
     """
 
     def ask(pages):
         call = load()
         for page in pages:
             out = []
-            for batch_id, payload in zip(page["batch_id"], page["payload"]):
+            for request, payload, system in zip(page["request"], page["payload"], page["system"]):
                 try:
-                    out.append((batch_id, call(payload, CATEGORIZE_SYSTEM), None, False))
+                    out.append((request, run, attempt, call(payload, system), None, False))
                 except Transient as error:
-                    out.append((batch_id, None, str(error), False))
+                    out.append((request, run, attempt, None, str(error), False))
                 except Refused as error:
-                    out.append((batch_id, None, str(error), True))
-            yield pd.DataFrame(out, columns=["batch_id", "raw", "error", "final"])
-
-    source = payloads.select("batch_id", "payload")
+                    out.append((request, run, attempt, None, str(error), True))
+                except Exception as error:
+                    if not forgiving or isinstance(error, RuntimeError):
+                        raise
+                    out.append((request, run, attempt, None, str(error), True))
+            yield pd.DataFrame(out, columns=names)
+
+    names = ANSWERS.names[:-1]
+    source = requests.select("request", "payload", "system")
     source = source.repartition(tasks) if tasks else source
-    return source.mapInPandas(ask, _RESPONSE).withColumn("attempt", F.lit(attempt))
+    return source.mapInPandas(ask, StructType(ANSWERS.fields[:-1])).withColumn("asked_at", F.current_timestamp())
+
+
+def ask_rounds(
+    requests: DataFrame,
+    store: AppendTable,
+    load: Callable,
+    accepted: Callable[[DataFrame], DataFrame],
+    policy: RetryPolicy,
+    tasks: int | None,
+    pause: Callable[[float], None],
+    forgiving: bool = False,
+) -> DataFrame:
+    """What ``store`` holds for ``requests`` once each has an accepted answer or was asked ``policy.attempts`` times.
+
+    ``accepted`` takes answers with text and returns the ``request`` of those that will do. The store is
+    read before anything is asked and written after every ``CALLS_PER_SAVE`` calls, so answers outlive a
+    lost driver, and what comes back reads stored rows only.
+    """
+    spark, run = requests.sparkSession, uuid.uuid4().hex
+    folder = scratch_folder(spark, "requests")
+    requests = written(requests.select("request", "payload", "system").dropDuplicates(["request"]), folder, "all")
+    known = lambda: store.read().join(requests.select("request"), "request", "left_semi")
+    for attempt in range(1, policy.attempts + 1):
+        answers = known()
+        refused = answers.filter(F.col("final") & (F.col("run") == run)).select("request")
+        done = accepted(answers.filter(F.col("raw").isNotNull())).select("request").unionByName(refused)
+        pending = written(requests.join(done, "request", "left_anti"), folder, f"pending-{attempt}")
+        count = pending.count()
+        if not count:
+            break
+        if attempt > 1:
+            pause(policy.wait(attempt - 1))
+        saves = -(-count // CALLS_PER_SAVE)
+        turn = F.pmod(F.xxhash64("request"), F.lit(saves))
+        for i in range(saves):
+            store.append(call_requests(pending.filter(turn == i), load, attempt, run, tasks, forgiving))
+    return known()
 
 
 def categorize_with_model(
@@ -86,33 +139,30 @@ def categorize_with_model(
     policy: RetryPolicy = CATEGORIZE_RETRIES,
     tasks: int | None = None,
     pause: Callable[[float], None] = time.sleep,
+    store: AppendTable | None = None,
 ) -> DataFrame:
     """txn_key_hash, category, origin for every batched row.
 
-    Each round asks the batches without a valid answer and writes what came back to ``folder``
-    before it is looked at, so a lost executor never repeats a finished call. At most
-    ``policy.attempts`` rounds run, whatever the number of batches.
+    Each round asks the batches without a valid answer; at most ``policy.attempts`` rounds run, whatever
+    the number of batches. Answers are kept in ``store`` (a table in ``folder`` without one): a batch that
+    was answered before is not asked again, whichever run asked.
     """
     spark = batched.sparkSession
-    batched.write.parquet(f"{folder}/batched")
-    batched = spark.read.parquet(f"{folder}/batched")
-    request_payloads(batched).write.parquet(f"{folder}/payloads")
-    payloads = spark.read.parquet(f"{folder}/payloads")
+    store = store or AppendTable(spark, f"{folder}/responses", ANSWERS)
+    batched = written(batched, folder, "batched")
+    system = F.lit(CATEGORIZE_SYSTEM)
+    payloads = written(request_payloads(batched).withColumn("request", request_key(F.col("payload"), system)), folder, "payloads")
 
-    pending, validated = payloads, None
-    for attempt in range(1, policy.attempts + 1):
-        if attempt > 1:
-            pause(policy.wait(attempt - 1))
-        call_batches(pending, load, attempt, tasks).write.mode("append").parquet(f"{folder}/responses")
-        responses = spark.read.parquet(f"{folder}/responses")
-        validated = validate_responses(payloads, responses)
-        settled = (
-            validated.filter("ok").select("batch_id").unionByName(responses.filter("final").select("batch_id"))
-        )
-        pending = payloads.join(settled, "batch_id", "left_anti")
-        if pending.isEmpty():
-            break
-    return with_fallback(batched, first_valid_attempt(validated))
+    def judged(answers: DataFrame) -> DataFrame:
+        turn = F.row_number().over(Window.partitionBy("batch_id").orderBy("asked_at", "run", "attempt"))
+        responses = answers.join(payloads.select("request", "batch_id"), "request").select("batch_id", turn.alias("attempt"), "raw")
+        return validate_responses(payloads, responses)
+
+    def accepted(answers: DataFrame) -> DataFrame:
+        return payloads.join(judged(answers).filter("ok"), "batch_id", "left_semi").select("request")
+
+    answers = ask_rounds(payloads.withColumn("system", system), store, load, accepted, policy, tasks, pause)
+    return with_fallback(batched, first_valid_attempt(judged(answers.filter(F.col("raw").isNotNull()))))
 
 
 def echo_client():
@@ -131,35 +181,25 @@ def answer_prompts(
     policy: RetryPolicy = ANSWER_RETRIES,
     tasks: int | None = None,
     pause: Callable[[float], None] = time.sleep,
+    store: AppendTable | None = None,
 ) -> DataFrame:
     """query_id, answer. A failed call becomes a sentence in its row; a RuntimeError (a client
-    that is not configured) stops the job."""
-
-    def one(call, prompt, system):
-        for attempt in range(1, policy.attempts + 1):
-            try:
-                return call(prompt, system)
-            except RuntimeError:
-                raise
-            except Transient as error:
-                failure = error
-                if attempt < policy.attempts:
-                    pause(policy.wait(attempt))
-            except Exception as error:  # one question must not stop the others
-                failure = error
-                break
-        return FAILED_ANSWER.format(failure)
+    that is not configured) stops the job.
 
-    def ask(pages):
-        call = load()
-        for page in pages:
-            answers = [
-                message if message is not None else one(call, prompt, system)
-                for message, prompt, system in zip(page["message"], page["prompt"], page["system"])
-            ]
-            yield pd.DataFrame({"query_id": page["query_id"], "answer": answers})
-
-    kind = prompts.schema["query_id"].dataType.simpleString()
-    source = prompts.select("query_id", "prompt", "system", "message")
-    source = source.repartition(tasks) if tasks else source
-    return source.mapInPandas(ask, f"query_id {kind}, answer string")
+    The model is asked here, once for each distinct prompt that ``store`` (a run-time table without one)
+    has no answer to; actions on the result read stored rows.
+    """
+    spark = prompts.sparkSession
+    folder = scratch_folder(spark, "answers")
+    store = store or AppendTable(spark, f"{folder}/store", ANSWERS)
+    asked = prompts.select("query_id", "prompt", "system", "message").withColumn("request", request_key(F.col("prompt"), F.col("system")))
+    asked = written(asked, folder, "asked")
+    requests = asked.filter(F.col("message").isNull()).withColumnRenamed("prompt", "payload")
+    answers = ask_rounds(requests, store, load, lambda some: some, policy, tasks, pause, forgiving=True)
+    first = F.min(F.when(F.col("raw").isNotNull(), F.struct("asked_at", "run", "raw")))
+    last = F.max(F.when(F.col("raw").isNull(), F.struct("asked_at", "attempt", "error")))
+    per_request = answers.groupBy("request").agg(first.alias("_first"), last.alias("_last"))
+    before, after = FAILED_ANSWER.split("{}")
+    failure = F.concat(F.lit(before), F.coalesce("_last.error", F.lit("")), F.lit(after))
+    answer = F.coalesce("message", "_first.raw", failure)
+    return asked.join(per_request, "request", "left").select("query_id", answer.alias("answer"))

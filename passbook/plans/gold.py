@@ -55,7 +55,7 @@ def categorized_gold(silver: DataFrame, manual: DataFrame, cache: DataFrame) ->
     return apply_rules(resolve(combined_rows(silver, manual), cache)).select(GOLD.names)
 
 
-def apply_model(resolved: DataFrame, load: Callable, folder: str, policy, tasks) -> DataFrame:
+def apply_model(resolved: DataFrame, load: Callable, folder: str, policy, tasks, store=None) -> DataFrame:
     """Fill what is open from a model; only those rows are batched and sent."""
     spark = resolved.sparkSession
     resolved.write.parquet(f"{folder}/resolved")
@@ -65,7 +65,7 @@ def apply_model(resolved: DataFrame, load: Callable, folder: str, policy, tasks)
     if not n:
         return resolved
     batched = assign_batches(unknown.select("txn_key_hash", "description", "amount"), shard_digits(n))
-    answers = categorize_with_model(batched, load, f"{folder}/model", policy, tasks)
+    answers = categorize_with_model(batched, load, f"{folder}/model", policy, tasks, store=store)
     answered = answers.select(
         "txn_key_hash", F.col("category").alias("_answer"), F.col("origin").alias("_origin")
     )
@@ -96,7 +96,7 @@ def build_gold(
     if load is None:
         done = apply_rules(resolved)
     else:
-        done = apply_model(resolved, load, scratch_folder(workspace.spark, "gold"), policy, tasks)
+        done = apply_model(resolved, load, scratch_folder(workspace.spark, "gold"), policy, tasks, workspace.answers)
     placed = done.repartitionByRange("txn_date", "txn_key_hash").sortWithinPartitions("txn_date")
     version = workspace.gold.write(placed)
     workspace.gold.show(version)

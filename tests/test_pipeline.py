@@ -15,10 +15,10 @@ from passbook.plans.gold import build_gold, categorized_gold
 from passbook.plans.indexing import sync_index
 from passbook.plans.refine import AllRowsInvalid, refine, silver_rows
 from passbook.plans.workspace import Workspace
-from passbook.schemas import CATEGORY_OPTIONS, EmptyTable, MissingColumns, require_columns
+from passbook.schemas import ANSWERS, CATEGORY_OPTIONS, EmptyTable, MissingColumns, require_columns
 from passbook.scratch import scratch_folder
 from passbook.sources.manual_store import append_manual, read_manual_json
-from passbook.sources.tables import TableMissing
+from passbook.sources.tables import AppendTable, TableMissing, VersionedTable
 from tests.conftest import SF
 
 
@@ -462,7 +462,7 @@ def test_a_response_is_one_object(spark, raw):
     assert got[1] == "invalid_json" and got[2] != "invalid_json"
 
 
-def test_models_get_their_instructions(spark):
+def test_models_get_their_instructions(spark, tmp_path):
     def repeats():
         return lambda prompt, system: system
 
@@ -470,9 +470,10 @@ def test_models_get_their_instructions(spark):
         spark.createDataFrame([("q", "where?")], "query_id string, question string"), spark.createDataFrame([("q", "- x")], "query_id string, context string")
     )
     assert enrichment.answer_prompts(prompts, repeats).first()["answer"] == context.SYSTEM_TEXT
-    payloads = spark.createDataFrame([("b", "[]")], "batch_id string, payload string")
-    told = enrichment.call_batches(payloads, repeats, 1).first()["raw"]
-    assert all(c in told for c in CATEGORY_OPTIONS)
+    store = AppendTable(spark, str(tmp_path / "answers"), ANSWERS)
+    batched = batching.assign_batches(spark.createDataFrame([("a", "UBER", -1.0)], "txn_key_hash string, description string, amount double"), 1)
+    enrichment.categorize_with_model(batched, repeats, str(tmp_path / "run"), enrichment.RetryPolicy(attempts=1), store=store)
+    assert all(c in store.read().first()["raw"] for c in CATEGORY_OPTIONS)
 
 
 def test_sums_keep_their_digits(spark):
@@ -494,3 +495,94 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
     cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(NoSharedFolder):
         scratch_folder(cluster, "x")
+
+
+def answering_client(folder, failing=()):
+    """Counts its calls in files, one per prompt; ``failing`` errors come first for every prompt."""
+
+    def load():
+        import hashlib
+        import os
+
+        def call(prompt, system):
+            path = os.path.join(folder, hashlib.md5(prompt.encode()).hexdigest())
+            seen = os.path.getsize(path) if os.path.exists(path) else 0
+            with open(path, "a") as f:
+                f.write(".")
+            if seen < len(failing):
+                raise failing[seen]
+            return prompt.upper()
+
+        return call
+
+    return load
+
+
+def prompt_rows(spark, texts):
+    rows = [(f"q{i}", t, "be brief", None if t else "no question") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "query_id string, prompt string, system string, message string")
+
+
+def calls_in(folder):
+    return sorted(p.stat().st_size for p in folder.iterdir())
+
+
+def test_a_question_is_asked_once_whatever_is_done_with_the_answers(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    load, store = answering_client(str(tmp_path / "calls")), AppendTable(spark, str(tmp_path / "answers"), ANSWERS)
+    prompts = prompt_rows(spark, ["where?", "when?", None, "where?"])
+    answers = enrichment.answer_prompts(prompts, load, store=store)
+    want = {"q0": "WHERE?", "q1": "WHEN?", "q2": "no question", "q3": "WHERE?"}
+    assert {r["query_id"]: r["answer"] for r in answers.collect()} == want
+    answers.write.parquet(str(tmp_path / "out"))
+    assert calls_in(tmp_path / "calls") == [1, 1]
+    again = enrichment.answer_prompts(prompt_rows(spark, ["when?", "why?"]), load, store=store)
+    assert sorted(r["answer"] for r in again.collect()) == ["WHEN?", "WHY?"] and calls_in(tmp_path / "calls") == [1, 1, 1]
+    without = enrichment.answer_prompts(prompts, load)
+    assert without.count() == without.filter("answer is not null").count() == 4 and calls_in(tmp_path / "calls") == [1, 2, 2]
+
+
+def test_attempts_of_answers_are_rows(spark, tmp_path):
+    (tmp_path / "calls").mkdir()
+    store, waits = AppendTable(spark, str(tmp_path / "answers"), ANSWERS), []
+    busy = enrichment.Transient("busy")
+    load = answering_client(str(tmp_path / "calls"), [busy, busy])
+    told = enrichment.answer_prompts(prompt_rows(spark, ["a"]), load, store=store, pause=waits.append)
+    assert told.first()["answer"] == "A" and waits == [2.0, 4.0]
+    assert sorted((r["attempt"], r["raw"], r["error"]) for r in store.read().collect()) == [(1, None, "busy"), (2, None, "busy"), (3, "A", None)]
+    lost = enrichment.answer_prompts(prompt_rows(spark, ["b"]), answering_client(str(tmp_path / "calls"), [ValueError("odd")] * 9), store=store)
+    assert lost.first()["answer"] == enrichment.FAILED_ANSWER.format("odd") and calls_in(tmp_path / "calls") == [1, 3]
+
+
+def test_answers_outlive_a_lost_driver(spark, tmp_path, monkeypatch):
+    (tmp_path / "calls").mkdir()
+    monkeypatch.setattr(enrichment, "CALLS_PER_SAVE", 3)
+    load, store = answering_client(str(tmp_path / "calls")), AppendTable(spark, str(tmp_path / "answers"), ANSWERS)
+    prompts, append = prompt_rows(spark, [f"p{i}" for i in range(12)]), AppendTable.append
+
+    def stops(self, df, replace=False):
+        append(self, df, replace)
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(AppendTable, "append", stops)
+        with pytest.raises(KeyboardInterrupt):
+            enrichment.answer_prompts(prompts, load, store=store)
+    assert 0 < store.read().count() < 12
+    assert enrichment.answer_prompts(prompts, load, store=store).filter("answer is not null").count() == 12
+    assert calls_in(tmp_path / "calls") == [1] * 12
+
+
+def test_a_stopped_gold_run_asks_only_what_is_open(spark, filled, tmp_path, monkeypatch):
+    refine(filled)
+    (tmp_path / "calls").mkdir()
+    load = counting_client(str(tmp_path / "calls"))
+    with monkeypatch.context() as patch:
+        patch.setattr(VersionedTable, "show", lambda self, version: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            build_gold(filled, load)
+    asked = calls_in(tmp_path / "calls")
+    assert asked and set(asked) == {1} and not filled.gold.exists()
+    build_gold(filled, load)
+    assert calls_in(tmp_path / "calls") == asked
+    assert filled.gold.read(stored=True).filter("category_origin = 'model'").count() > 0
