@@ -2,8 +2,8 @@
 
 Files are profiled line by line (splittable, pre-aggregated), giving per file its header, whether
 its bytes are UTF-8, and whether every line stands alone. Files without line breaks inside quotes
-are then parsed line by line, so one file may be read by many tasks; the rest are parsed by the
-multi-line reader, one task per file. A row's index in its file is its offset in its split plus
+are then parsed line by line. In the others a prefix scan of quote states tells where records begin,
+so they are read by many tasks as well. A row's index in its file is its offset in its split plus
 the rows of the earlier splits, which takes one small row per split instead of a sort.
 """
 
@@ -20,7 +20,7 @@ from passbook.sources.headers import column_positions, missing_required
 CSV_GLOB = "*.[cC][sS][vV]"
 CSV_OPTIONS = {"quote": '"', "escape": '"'}
 # complete quoted fields; what is left over tells whether a line stands alone
-_QUOTED_FIELD = r'(^|,)"(?:[^"]|"")*+"(?=,|\z)'
+_QUOTED_FIELD = r'(^|,)"[^"]*+(?:""[^"]*+)*+"(?=,|\z)'
 LATIN1 = "ISO-8859-1"
 
 
@@ -129,40 +129,94 @@ def _plain_rows(lines, blocks, usable, width):
     return _finish(_with_cells(text, F.col("_line"), width, "_cells"), F.col("_cells"), F.col("_row"))
 
 
+# a quoted field with all that follows it up to the next comma, the start of one, and the end of one
+_CLOSED_FIELD = r'(^|,)"[^"]*+(?:""[^"]*+)*+"[^,]*'
+_OPEN_FIELD = r'(?:^|,)"'
+_CLOSING = r'\A[^"]*+(?:""[^"]*+)*+"'
+
+
+def _line_ends_inside(line: Column) -> tuple[Column, Column]:
+    """Whether a line ends inside a quoted field, if it begins outside of one and if it begins inside.
+
+    A quote opens a field only at the field's start; a single one closes it, whatever follows.
+    """
+    opened = lambda text: F.regexp_replace(text, _CLOSED_FIELD, "$1").rlike(_OPEN_FIELD)
+    closing = F.regexp_extract(line, _CLOSING, 0)
+    rest = F.regexp_replace(F.substring(line, F.length(closing) + 1, F.length(line)), r"\A[^,]*", "")
+    return opened(line), (closing == "") | opened(rest)
+
+
+def _quote_states(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``lines`` with ``begins`` and ``ends`` (1 inside a quoted field), and the splits with their end state.
+
+    A line is a function from the state before it to the state after it: a constant, the identity, or a
+    swap. Such functions compose, so a running state needs no pass over the file by one task: the last
+    constant and the swaps since then tell it within a split, and one row per split carries it on.
+    """
+    outside, inside = _line_ends_inside(F.col("_line"))
+    steps = lines.withColumns({"_out": outside.cast("int"), "_in": inside.cast("int")})
+    swap = F.when((F.col("_out") == 1) & (F.col("_in") == 0), 1).otherwise(0)
+    here = Window.partitionBy("path", "block").orderBy("_id")
+    steps = steps.withColumn("_swaps", F.sum(swap).over(here))
+    anchor = F.when(F.col("_out") == F.col("_in"), F.pmod(F.col("_out") - F.col("_swaps"), F.lit(2)))
+    steps = steps.withColumn("_anchor", F.last(anchor, ignorenulls=True).over(here))
+
+    splits = steps.groupBy("path", "block").agg(F.max_by(F.struct("_swaps", "_anchor"), "_id").alias("_end")).select("path", "block", "_end.*")
+    earlier = Window.partitionBy("path").orderBy("block")
+    splits = splits.withColumn("_all", F.sum("_swaps").over(earlier))
+    far = F.when(F.col("_anchor").isNotNull(), F.pmod(F.col("_anchor") + F.col("_swaps") - F.col("_all"), F.lit(2)))
+    splits = splits.withColumn("state", F.pmod(F.coalesce(F.last(far, ignorenulls=True).over(earlier), F.lit(0)) + F.col("_all"), F.lit(2)))
+    splits = splits.withColumn("_before", F.lag("state", 1, 0).over(earlier)).select("path", "block", "state", "_before")
+    after = F.pmod(F.coalesce("_anchor", "_before") + F.col("_swaps"), F.lit(2))
+    known = steps.join(splits.drop("state"), ["path", "block"]).withColumn("ends", after)
+    known = known.withColumn("begins", F.coalesce(F.lag("ends").over(here), "_before"))
+    return known.drop("_out", "_in", "_swaps", "_anchor", "_before"), splits.drop("_before")
+
+
+def _quoted_records(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, record, text) of the records of files with line breaks inside quotes, record 0 being the
+    header, and per split its state at the end. Only lines of broken records are shuffled."""
+    known, splits = _quote_states(lines)
+    first = (F.col("begins") == 0) & (F.trim(F.rtrim("_line", F.lit("\r"))) != "")
+    known = known.filter((F.col("begins") == 1) | first).withColumn("_first", (F.col("begins") == 0).cast("int"))
+    counts = known.groupBy("path", "block").agg(F.sum("_first").alias("n"))
+    earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_earlier"))
+    here = Window.partitionBy("path", "block").orderBy("_id")
+    numbered = known.withColumn("_running", F.sum("_first").over(here)).join(counts, ["path", "block"])
+    numbered = numbered.withColumn("record", F.col("_earlier") + F.col("_running") - 1)
+    whole = (F.col("begins") == 0) & (F.col("ends") == 0)
+    alone = numbered.filter(whole).select("path", "record", F.col("_line").alias("text"))
+    pieces = F.array_sort(F.collect_list(F.struct("_id", "_line")))
+    broken = numbered.filter(~whole).groupBy("path", "record").agg(F.array_join(pieces["_line"], "\n").alias("text"))
+    records = alone.unionByName(broken)
+    return records.withColumn("text", F.regexp_replace("text", r"\r\z", "")), splits
+
+
 def _quoted_rows(spark, usable, width, folder):
-    """Rows of files with line breaks inside quotes, plus the files whose rows are too wide.
+    """Rows of files with line breaks inside quotes, plus (path, rows, _reason) of these files.
 
-    Only these files are read again, each by its name; there are at most as many as were scanned.
+    Only these files are read again, each by its name; there are at most as many as were scanned. They
+    are split like all others.
     """
+    known = usable.filter(~F.col("plain"))
+    source = [literal_path(r["path"]) for r in known.select("path").collect()]
+    scan = spark.read.option("pathGlobFilter", CSV_GLOB).option("lineSep", "\n").text(source)
+    lines = scan.select("value", plain_path(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    lines = written(lines.withColumn("_id", F.monotonically_increasing_id()), folder, "quoted-lines")
+    text = lines.join(known.select("path", "utf8"), "path").withColumn("_line", _decoded(F.col("value"), F.col("utf8"))).drop("value", "utf8")
+    records, splits = _quoted_records(text)
     schema = ", ".join(f"c{i} string" for i in range(width + 1))
-    parts = []
-    for utf8 in (True, False):
-        named = usable.filter(~F.col("plain") & (F.col("utf8") == utf8)).select("path").collect()
-        source = [literal_path(r["path"]) for r in named]
-        if not source:
-            continue
-        reader = spark.read.schema(schema).option("pathGlobFilter", CSV_GLOB).option("multiLine", True)
-        scan = reader.csv(source, encoding="UTF-8" if utf8 else LATIN1, **CSV_OPTIONS)
-        parts.append(
-            scan.select(
-                F.array(*[f"c{i}" for i in range(width + 1)]).alias("cells"),
-                plain_path(F.col("_metadata.file_path")).alias("path"),
-            )
-            .withColumn("_id", F.monotonically_increasing_id())
-            .join(usable.filter(~F.col("plain") & (F.col("utf8") == utf8)), "path")
-        )
-    rows = written(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), folder, "quoted-rows")
-    wide = F.exists(
-        F.slice("cells", F.col("header_fields") + 1, width + 1), lambda c: c.isNotNull()
-    )
-    per_file = rows.groupBy("path").agg(
-        F.min("_id").alias("_first"),
-        F.bool_or(wide).alias("_wide"),
-        (F.count(F.lit(1)) - 1).alias("rows"),
-    )
-    good = rows.drop("rows").join(per_file.filter(~F.col("_wide") & (F.col("rows") > 0)), "path")
-    numbered = good.withColumn("_row", F.col("_id") - F.col("_first") - 1).filter("_row >= 0")
-    return _finish(numbered, F.col("cells"), F.col("_row")), per_file
+    parsed = records.withColumn("_fields", F.from_csv("text", schema, CSV_OPTIONS))
+    cells = F.array(*[F.col(f"_fields.c{i}") for i in range(width + 1)])
+    rows = written(parsed.select("path", "record", cells.alias("cells")).join(known.drop("rows"), "path"), folder, "quoted-rows")
+    wide = F.exists(F.slice("cells", F.col("header_fields") + 1, width + 1), lambda c: c.isNotNull())
+    per_file = rows.groupBy("path").agg(F.bool_or(wide).alias("_wide"), (F.count(F.lit(1)) - 1).alias("rows"))
+    per_file = per_file.join(splits.groupBy("path").agg(F.max_by("state", "block").alias("_open")), "path")
+    reason = F.when(F.col("_open") == 1, "unclosed_quote").when(F.col("_wide"), "row_wider_than_header").when(F.col("rows") <= 0, "no_rows")
+    per_file = per_file.select("path", "rows", reason.alias("_reason"))
+    good = rows.filter("record > 0").join(per_file.filter(F.col("_reason").isNull()).select("path"), "path")
+    return _finish(good, F.col("cells"), F.col("record") - 1), per_file
 
 
 def scan_csv(spark: SparkSession, source) -> CsvScan:
@@ -198,8 +252,7 @@ def scan_csv(spark: SparkSession, source) -> CsvScan:
         quoted, per_file = _quoted_rows(spark, usable, width, folder)
         per_file = written(per_file, folder, "quoted")
         rows = rows.unionByName(quoted)
-        why = F.when(F.col("_wide"), "row_wider_than_header").when(F.col("rows") <= 0, "no_rows")
-        per_file = per_file.withColumn("reason", why)
+        per_file = per_file.withColumnRenamed("_reason", "reason")
         accepted = accepted.unionByName(
             per_file.filter(F.col("reason").isNull()).select("path", "rows")
         )

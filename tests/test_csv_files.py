@@ -206,3 +206,55 @@ def test_a_repeated_batch_replaces_its_rows(spark, folder, tmp_path_factory):
     shutil.move(f"{ws.base}/manifest", str(tmp_path_factory.mktemp("old") / "manifest"))  # as if stopped before the manifest
     assert entries is not None and ingest(ws, str(folder), batch_id="b", files=prints).rows == first.rows
     assert ws.bronze.read().count() == first.rows
+
+
+def _quoted_file(rng, rows, end):
+    """Rows with commas, doubled quotes, blank lines and line breaks inside quotes, and stray quotes."""
+    def field():
+        kind = rng.random()
+        if kind < 0.4:
+            return rng.choice(["plain", "5 inch", 'a 5" pipe', "x y", "é"])
+        inner = "".join(rng.choice(["a", " ", ",", '""', "\n", "\n\n", "b"]) for _ in range(rng.randint(1, 12)))
+        return f'"{inner}"'
+
+    lines = ["Date,Description,Debit,Credit,Balance"]
+    for i in range(rows):
+        lines.append(f"01-02-2026,{field()},{i},,{field()}")
+        if rng.random() < 0.1:
+            lines.append(rng.choice(["", "  "]))
+    return end.join(lines) + rng.choice(["", end])
+
+
+@pytest.mark.parametrize("size", ["1k", "5k", "128m"])
+def test_quoted_files_are_split_and_read_as_by_a_plain_reader(spark, tmp_path, size):
+    import csv
+    import io
+    import random
+
+    rng, want = random.Random(9), {}
+    for name, rows, end in (("a.csv", 400, "\n"), ("b.csv", 200, "\r\n"), ("c.csv", 1, "\n")):
+        text = _quoted_file(rng, rows, end) if rows > 1 else HEADER + '01-02-2026,"one\ntwo",1,,"x"\n'
+        (tmp_path / name).write_bytes(text.encode())
+        read = [r for r in csv.reader(io.StringIO(text, newline="")) if any(c.strip() for c in r)]
+        want[name] = [(r[1] or None, r[2], str(i)) for i, r in enumerate(read[1:])]
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+        scan = scan_csv(spark, str(tmp_path))
+        found = scan.rows.select("source_file", "description_raw", "debit_raw", "source_row_index").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert scan.rejected.isEmpty()
+    for name, rows in want.items():
+        assert sorted(((r[1], r[2], r[3]) for r in found if r[0] == name), key=lambda r: int(r[2])) == rows
+
+
+def test_a_quote_that_is_never_closed_rejects_its_file(spark, tmp_path):
+    (tmp_path / "open.csv").write_text(HEADER + '01-02-2026,"never closed,1,,\n' + "01-02-2026,x,1,,\n" * 50)
+    (tmp_path / "good.csv").write_text(HEADER + '01-02-2026,"two\nlines",1,,\n')
+    long = "x, " * 100_000
+    (tmp_path / "long.csv").write_text(HEADER + f'01-02-2026,"{long}\n{long}",1,,\n')
+    scan = scan_csv(spark, str(tmp_path))
+    assert [(r["path"].rsplit("/", 1)[1], r["reason"]) for r in scan.rejected.collect()] == [("open.csv", "unclosed_quote")]
+    assert {r["description_raw"] for r in scan.rows.collect()} == {"two\nlines", f"{long}\n{long}"}
