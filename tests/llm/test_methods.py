@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import tiktoken
@@ -352,6 +353,49 @@ def test_tagger_learns_other_spellings():
     assert len(found) >= 0.9 * len(wanted) and sum(map(len, base)) < 0.6 * len(wanted)
 
 
+@pytest.fixture(scope="module")
+def trained():
+    """A tagger that knows every other text of the corpus, and windows without triggers of the others."""
+    texts = [t for t in pq.read_table(f"{SF}/documents.parquet", columns=["text"]).column(0).to_pylist() if t]
+    known, held = ([w for t in texts[side::2] for w in pii.training_windows(t)] for side in (0, 1))
+    plain = lambda windows: [t for t, _ in windows if not pii.TRIGGER.search(t)]
+    return pii.Tagger().fit([*known, *pii.made_windows(plain(known))]), plain(held), texts[1::2]
+
+
+def test_tagger_finds_made_spans_in_texts_it_never_saw(trained):
+    tagger, contexts, texts = trained
+    held = [w for w in pii.made_windows(contexts, 2500, seed=99) if not w[1] or (w[1][0][1] > 0 and w[1][0][2] < pii.WINDOW - 2)]
+    base, full = pii.all_spans(tagger, [t for t, _ in held])
+    asked = [(spans[0], own, found) for (_, spans), own, found in zip(held, base, full, strict=True) if spans and spans[0] not in own]
+    for kind in pii.KINDS:
+        hits = [span in found for span, _, found in asked if span[0] == kind]
+        assert len(hits) > 200 and sum(hits) >= 0.9 * len(hits), (kind, sum(hits), len(hits))
+    others = [(own, found) for (_, spans), own, found in zip(held, base, full, strict=True) if not spans]
+    assert sum(len(found) - len(own) for own, found in others) <= 0.02 * len(others)
+    base, full = pii.all_spans(tagger, texts)
+    assert sum(map(len, full)) - sum(map(len, base)) <= 0.02 * len(texts)
+
+
+def test_spans_cross_windows_and_begin_far_before_their_mark(trained):
+    tagger = trained[0]
+    long_name = "anna." * 12 + "smith"
+    for lead in range(0, 100, 7):
+        text = "word " * lead + f"write to {long_name} [at] mail [dot] example [dot] org today"
+        at = text.index("anna")
+        found = pii.all_spans(tagger, [text])[1][0]
+        assert found == [("email", at, text.index(" today"))], (lead, found)
+
+
+def test_windows_cover_runs_of_any_length():
+    for text in ("7" * 5000, "x1-" * 3000, "@" * 2000, "a" * 400 + "@" + "b" * 400 + ".org", "z " * 300 + "12" + " z" * 300):
+        starts = pii.window_starts(text)
+        assert starts == sorted(set(starts)) and len(starts) <= len(text) // pii.STRIDE + 3
+        covered = np.zeros(len(text) + pii.WINDOW * 2, bool)
+        for a in starts:
+            covered[a : a + pii.WINDOW] = True
+        assert all(covered[m.start()] for m in pii.TRIGGER.finditer(text))
+
+
 def test_overlapping_spans_are_reconciled():
     spans = [("card", 0, 10, 0.9), ("phone", 8, 30, 0.8), ("ip", 30, 35, 0.5), ("card", 0, 10, 0.7)]
     assert [s[:3] for s in pii.best_set(spans)] == [("phone", 8, 30), ("ip", 30, 35)]
