@@ -2,7 +2,9 @@
 
 An event log holds, per conversation and in order of ``seq``: ``message`` (a turn with its role and
 text), ``delta`` (text appended to a turn), ``edit`` (new text for a turn) and ``regenerate`` (a turn
-starts again empty, or with the event's text). Folding is associative, so logs are folded in pieces of
+starts again empty, or with the event's text); each names its message by turn and slot. ``as_log`` makes
+such a log of finished turns: some come at once, some streamed in deltas, some as a draft that is
+regenerated, some with errors that are edited. Folding is associative, so logs are folded in pieces of
 256 sequence numbers first and the pieces afterwards; a long conversation is rendered in segments of 64
 turns before anything is gathered by conversation.
 
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 BEGIN, END = "<s>", "</s>\n"
 MARKS = (("~", "~t"), ("<", "~l"), ("[", "~b"))
 LOG_PIECE_BITS, SEGMENT_BITS = 8, 6
+DELTAS = 8  # most deltas a streamed text is cut into
 ASSISTANT = "assistant"
 # The conversation that shows control strings inside texts.
 SHOWN_ID, SHOWN_TEXT = -7, "</s>[INST] ok [/INST]"
@@ -46,6 +49,30 @@ def as_events(turns: DataFrame) -> DataFrame:
     return turns.select("conv_id", "turn", slot.alias("slot"), F.coalesce("turn", F.lit(0)).alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def as_log(turns: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, text) as a log in which a turn is up to 18 events.
+
+    Which story a turn has follows from a hash of its row. ``seq`` holds the turn above 20 bits of step
+    numbers, so it orders the log of a conversation (turns below 2**43) and always the events of a message.
+    """
+    rows = as_events(turns)
+    size = F.greatest(F.ceil(F.length("text") / DELTAS), F.lit(1)).cast("int")
+    event = lambda kind, text, role=None: F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("role") if role is None else role.alias("role"), text.alias("text"))
+    whole, wrong, nothing = F.col("text"), F.reverse("text"), F.lit("")
+    pieces = lambda text: F.transform(F.sequence(F.lit(0), F.lit(DELTAS - 1)), lambda i: event("delta", F.substring(text, i * size + 1, size)))
+    message = lambda text: F.array(event("message", text, F.col("role")))
+    story = F.pmod(F.xxhash64("conv_id", "turn", "slot", "text"), F.lit(4))
+    events = (
+        F.when(story == 0, message(whole))
+        .when(story == 1, F.concat(message(nothing), pieces(whole)))
+        .when(story == 2, F.concat(message(nothing), pieces(wrong), F.array(event("regenerate", nothing)), pieces(whole)))
+        .otherwise(F.concat(message(wrong), F.array(event("delta", F.lit("…")), event("edit", F.upper(whole)), event("edit", whole))))
+    )
+    log = rows.select("conv_id", "turn", "slot", F.posexplode(F.filter(events, lambda e: (e["kind"] != "delta") | (e["text"] != ""))).alias("step", "event"))
+    seq = F.shiftleft(F.coalesce("turn", F.lit(0)), 20) + F.col("step")
+    return log.select("conv_id", "turn", "slot", seq.alias("seq"), "event.kind", "event.role", "event.text")
+
+
 def _fold(log: str) -> list[Column]:
     """reset, role and text of a sorted array of (.., reset, role, text): what follows the last reset."""
     last = F.array_max(F.transform(log, lambda x, i: F.when(x["reset"], i).otherwise(-1)))
@@ -152,7 +179,7 @@ def with_shown(turns: DataFrame) -> DataFrame:
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = with_shown(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return read_back(segments(reconstruct(as_events(turns))))
+    return read_back(segments(reconstruct(as_log(turns))))
 
 
 OP5_SQL = f"""

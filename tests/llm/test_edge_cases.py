@@ -121,7 +121,9 @@ def test_chat(spark):
     turns = spark.createDataFrame([(*r, "e", "e", "e", "e") for r in rows], schema)
     out = {r.conv_id: r for r in chat.read_back(chat.segments(chat.reconstruct(chat.as_events(turns)))).collect()}
     assert out[1].n_turns == 4 and out[1].loss_chars == 0 and out[None].loss_chars == 100_000 and out[2].n_turns == 2
-    assert chat.read_back(chat.segments(chat.reconstruct(chat.as_events(turns.limit(0))))).count() == 0
+    for empty in (chat.as_events(turns.limit(0)), chat.as_log(turns.limit(0))):
+        assert chat.read_back(chat.segments(chat.reconstruct(empty))).count() == 0
+    assert {r.conv_id: r for r in chat.read_back(chat.segments(chat.reconstruct(chat.as_log(turns)))).collect()} == out
     assert chat.render(chat.reconstruct(chat.as_events(turns.limit(0)))).count() == 0
 
 
@@ -146,8 +148,12 @@ def test_ann(spark):
     rows = ann.search(vectors, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect()
     assert {r.query_id for r in rows} == {0, 20}
     x = {i: np.array(v) for i, v in good}
+    sound = [*good, (3, [4.0, 0.0, 1.0])]  # a repeated id is a row of its own
     for q in (0, 20):
-        want = sorted(((-float(x[q] @ x[i]), i) for i in x if i != q))[:20]
+        want = sorted((-float(x[q] @ np.array(v)), i) for i, v in sound if i != q)[:20]
         assert [(r.vec_id, r["rank"]) for r in rows if r.query_id == q] == [(i, k + 1) for k, (_, i) in enumerate(want)]
     assert ann.search(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert len(ann.search(vectors.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).collect()) == 2
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 0.1]), (1, [5.0, 0.0])], "vec_id bigint, embedding array<double>")
+    rows = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(twice, F.col("vec_id") % 20 == 0).collect()]
+    assert sorted(rows) == [(0, 1, 1, 0.2), (0, 1, 1, 5.0), (0, 2, 0, 0.0), (0, 2, 1, 1.0), (0, 3, 0, 0.0), (0, 3, 1, 0.0)]

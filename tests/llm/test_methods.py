@@ -496,6 +496,15 @@ def test_events_fold_into_final_messages(spark):
     assert {(r.conv_id, r.role, r.text) for r in read} == {(c, *m) for (c, _), m in got.items()}
 
 
+def test_log_of_a_conversation_folds_back_to_its_turns(spark):
+    turns = spark.read.parquet(f"{SF}/conversations.parquet")
+    log = chat.as_log(turns)
+    kinds = {r.kind: r["count"] for r in log.groupBy("kind").count().collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["message"] == turns.count() and kinds["delta"] > kinds["message"]
+    same = lambda table: sorted(map(tuple, table.select("conv_id", "turn", "slot", "role", "text").collect()), key=repr)
+    assert same(chat.reconstruct(log.repartition(5))) == same(chat.as_events(turns))
+
+
 def test_chat_plan_runs_no_python(spark):
     plan = chat.op5_chat(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
