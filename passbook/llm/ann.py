@@ -7,11 +7,13 @@ goes to its several most probable parts and is compared there with every vector,
 How many parts a query visits is chosen on held-out sample vectors so that the recall asked for is met.
 
 Parts are cut into blocks of bounded size, and so are the queries of a part; a task compares one block of
-vectors with one of queries, so a part that holds most rows is many tasks.
+vectors with one of queries, so a part that holds most rows is many tasks, and a vector is copied only as
+often as the queries routed to its own part fill blocks.
 
 Defined results: vectors that are null, all zero, of another length than most, or that hold null or
-non-finite components take no part, nor do rows without an id; rows that repeat an id count once (the
-least vector); equal scores go by the smaller id; an empty table gives no rows.
+non-finite components take no part, nor do rows without an id; rows that repeat an id
+are rows of their own, as candidates and, with ranks of their own, as queries; equal scores go by the
+smaller id; an empty table gives no rows.
 """
 
 import numpy as np
@@ -31,11 +33,10 @@ BLOCK_VECTORS, BLOCK_QUERIES = 4096, 1024
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding) of the vectors that take part, one row per id."""
+    """(vec_id, embedding) of the vectors that take part."""
     e = F.col("embedding")
     sound = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0)
-    rows = vectors.select("vec_id", e.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & sound)
-    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    return vectors.select("vec_id", e.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & e.isNotNull() & sound)
 
 
 def _matrix(column) -> np.ndarray:
@@ -165,26 +166,26 @@ def learn(x: np.ndarray, recall: float = RECALL) -> Router:
     return router
 
 
-def top_of(query_ids, queries, ids, vectors, k: int):
-    """Per query its k nearest of a block, by (score, smaller id), its own row left out."""
+def top_of(query_rows, queries, rows, ids, vectors, k: int):
+    """Places of the queries, ids and scores: per query its k nearest of a block, by (score, smaller id), its own row left out."""
     out_q, out_v, out_s = [], [], []
-    order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
+    order = np.lexsort((rows, ids))
+    rows, ids, vectors = rows[order], ids[order], np.ascontiguousarray(vectors[order])
     for a in range(0, len(queries), 256):
         scores = queries[a : a + 256] @ vectors.T
         for i, row in enumerate(scores):
-            own = query_ids[a + i]
-            row[ids == own] = -np.inf
+            own = query_rows[a + i]
+            row[rows == own] = -np.inf
             if len(row) > k:
                 # Sums in another order may differ in the last bits: all near the k-th are scored again.
                 least = np.partition(row, len(row) - k)[len(row) - k]
                 near = np.flatnonzero(row >= least - 1e-9 * max(1.0, abs(least)))
             else:
                 near = np.arange(len(row))
-            near = near[ids[near] != own]
+            near = near[rows[near] != own]
             exact = (vectors[near] * queries[a + i]).sum(1)
             pick = np.lexsort((ids[near], -exact))[:k]
-            out_q.append(np.full(len(pick), own))
+            out_q.append(np.full(len(pick), a + i))
             out_v.append(ids[near[pick]])
             out_s.append(exact[pick])
     join = lambda x, kind: np.concatenate(x) if x else np.empty(0, kind)
@@ -198,51 +199,65 @@ def search(vectors: DataFrame, is_query, k: int = 20, recall: float = RECALL) ->
     """
     spark = vectors.sparkSession
     folder = scratch_folder(spark, "ann")
-    rows = written(usable(vectors), folder, "usable")
+    # Stored, the row numbers stay what they are.
+    rows = written(usable(vectors).withColumn("row", F.monotonically_increasing_id()), folder, "usable")
     sizes = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     none = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     if sizes is None:
         return none
     rows = rows.where(F.size("embedding") == sizes["dim"])
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow()
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id", "embedding").limit(SAMPLE).select("embedding").toArrow()
     router = learn(_matrix(sample.column("embedding")), recall)
 
+    fields = "vec_id bigint, embedding array<double>, row bigint, part int"
+    names = ["vec_id", "embedding", "row", "part"]
+
     def place(batches):
         for batch in batches:
             if len(batch):
                 part = router.part_of(_matrix(batch.column("embedding"))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], ["vec_id", "embedding", "part"])
-
-    indexed = written(rows.mapInArrow(place, "vec_id bigint, embedding array<double>, part int"), folder, "indexed")
-    counts = indexed.groupBy("part").agg(F.count("*").alias("n"), F.sum(is_query.cast("int")).alias("q")).collect()  # a row per part
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], names)
 
     def route(batches):
         for batch in batches:
             if len(batch):
                 parts = router.route(_matrix(batch.column("embedding")))
                 at = np.repeat(np.arange(len(batch)), parts.shape[1])
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(parts.ravel().astype(np.int32))], ["vec_id", "embedding", "part"])
-
-    asked = indexed.where(is_query).select("vec_id", "embedding").mapInArrow(route, "vec_id bigint, embedding array<double>, part int")
-    blocks = {c["part"]: max(1, -(-c["n"] // BLOCK_VECTORS)) for c in counts}
-    queries = sum(c["q"] or 0 for c in counts)
-    query_blocks = max(1, -(-queries // BLOCK_QUERIES))
-    many = F.element_at(F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair]), F.col("part"))
-    share = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), n).cast("int")
-    count = F.lit(query_blocks)
-    tiles = indexed.withColumn("block", share(many, 1)).withColumn("tile", F.explode(F.sequence(F.lit(0), count - 1)))
-    asked = asked.where(many.isNotNull()).withColumn("tile", share(count, 2)).withColumn("block", F.explode(F.sequence(F.lit(0), many - 1)))
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at)) for c in batch.columns), pa.array(parts.ravel().astype(np.int32))], names)
+
+    indexed = written(rows.mapInArrow(place, fields), folder, "indexed")
+    asked = written(indexed.where(is_query).drop("part").mapInArrow(route, fields), folder, "asked")
+    sizes = lambda table: {r["part"]: r["count"] for r in table.groupBy("part").count().collect()}
+    held, wanted = sizes(indexed), sizes(asked)  # a number per part
+    met = sorted(held.keys() & wanted.keys())
+    if not met:
+        return none
+
+    def blocks(counts, size):
+        pairs = [F.lit(x) for part in met for x in (part, -(-counts[part] // size))]
+        return F.element_at(F.create_map(*pairs), F.col("part"))
+
+    share = lambda n, salt: F.pmod(F.xxhash64("row", F.lit(salt)), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    of_part = F.col("part").isin(met)
+    many, tiled = blocks(held, BLOCK_VECTORS), blocks(wanted, BLOCK_QUERIES)
+    tiles = indexed.where(of_part).withColumn("block", share(many, 1)).withColumn("tile", every(tiled))
+    asked = asked.where(of_part).withColumn("tile", share(tiled, 2)).withColumn("block", every(many))
     keys = ["part", "block", "tile"]
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
-        q, v, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        at, v, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        column = lambda t, name: t.column(name).to_numpy()
         if len(left) and len(right):
-            ids = lambda t: t.column("vec_id").to_numpy()
-            q, v, s = top_of(ids(left), _matrix(left.column("embedding")), ids(right), _matrix(right.column("embedding")), k)
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
-
-    found = asked.groupBy(*keys).cogroup(tiles.groupBy(*keys)).applyInArrow(compare, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            sides = column(left, "row"), _matrix(left.column("embedding")), column(right, "row"), column(right, "vec_id"), _matrix(right.column("embedding"))
+            at, v, s = top_of(*sides, k)
+        return pa.table({
+            "query_row": pa.array(column(left, "row")[at] if len(at) else at, pa.int64()), "query_id": pa.array(column(left, "vec_id")[at] if len(at) else at, pa.int64()),
+            "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64()),
+        })
+
+    found = asked.groupBy(*keys).cogroup(tiles.groupBy(*keys)).applyInArrow(compare, "query_row bigint, query_id bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

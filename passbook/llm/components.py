@@ -39,5 +39,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
             break
         digest = state
         now = written(_stars(_stars(now, large=True), large=False), folder, f"round-{turn}")
+    else:
+        raise RuntimeError("components did not settle in 100 rounds")
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("label"))
     return ends.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("label"))).distinct()
