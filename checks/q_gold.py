@@ -187,6 +187,27 @@ def _(spark, sf):
     return fx.gold_plan(spark, sf).withColumn("txn_date", day())
 
 
+@query(
+    "K3_incremental_gold",
+    f"""SELECT txn_key_hash, {DAY} AS txn_date, description, amount, source_type, source_file,
+          coalesce(chosen, {RULE}) AS category FROM combined""",
+    ["combined"],
+)
+def _(spark, sf):
+    """Gold of the CSV statements and the entries without a category, then the rest arrives and it is built again."""
+    from passbook.plans.gold import build_gold
+
+    workspace = Workspace(spark, scratch_folder(spark, "workspace"))
+    silver, manual = fx.silver(spark, sf), fx.manual(spark, sf)
+    workspace.silver.publish(silver.filter("source_type = 'CSV'"))
+    workspace.manual.append(manual.filter("category = 'Uncategorized'"))
+    build_gold(workspace)
+    workspace.silver.publish(silver)
+    workspace.manual.append(manual.filter("category <> 'Uncategorized'"))
+    build_gold(workspace)
+    return workspace.gold.read().withColumn("txn_date", day())
+
+
 _SELECTION = {"start": "1996-01-01", "end": "2024-01-15", "categories": ("Shopping", "Rent", "Income"), "source": "All"}
 _RANGE_SQL = "txn_date BETWEEN DATE '1996-01-01' AND DATE '2024-01-15'"
 

@@ -14,6 +14,7 @@ from passbook.functions.text import (
     grouped_money,
     iso_day,
     month_bucket,
+    month_number,
     plain_money,
     render_document,
     strip_whitespace,
@@ -32,6 +33,7 @@ __all__ = [
     "l2_normalize",
     "manual_key",
     "month_bucket",
+    "month_number",
     "parse_amount",
     "parse_date",
     "plain_money",

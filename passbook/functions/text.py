@@ -39,6 +39,11 @@ def month_bucket(day: Column) -> Column:
     return F.substring(iso_day(day), 1, 7)
 
 
+def month_number(day: Column) -> Column:
+    """Months since year 0; -1 without a date."""
+    return F.coalesce(F.year(day) * 12 + F.month(day) - 1, F.lit(-1))
+
+
 def render_document(
     txn_date: Column, amount: Column, description: Column, category: Column, source_type: Column
 ) -> Column:

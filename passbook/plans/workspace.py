@@ -3,10 +3,12 @@
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from passbook import schemas
-from passbook.sources.tables import AppendTable, KeyedTable, VersionedTable
+from passbook.functions import month_number
+from passbook.sources.tables import AppendTable, KeyedTable, SlicedTable, VersionedTable
 
 @dataclass
 class Workspace:
@@ -49,8 +51,17 @@ class Workspace:
 
     @property
     def gold(self):
+        """In slices of a month, so that a change writes the months it touches."""
         hidden = StructType([StructField("category_origin", StringType())])
-        return VersionedTable(self.spark, f"{self.base}/gold", schemas.GOLD, hidden)
+        return SlicedTable(
+            self.spark, f"{self.base}/gold", schemas.GOLD, hidden,
+            slice_of=month_number(F.col("txn_date")), order=["txn_date", "txn_key_hash"],
+            figures={
+                "rows": F.count(F.lit(1)),
+                "new": F.count_if(~F.col("category_origin").isin("cache", "override")),
+                "unset": F.count_if(F.col("category") == schemas.UNSET_CATEGORY),
+            },
+        )
 
     @property
     def index(self):

@@ -9,9 +9,9 @@ import time
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, MapType, StringType, StructField, StructType
 
 from passbook.schemas import EmptyTable, conform
 
@@ -100,6 +100,88 @@ class VersionedTable:
         return version
 
 
+class SlicedTable(VersionedTable):
+    """A versioned table whose rows lie in slices (say, months); a change writes only the slices it touches.
+
+    A version is a list of slices, each in the folder of the write that made it. ``slice_of`` gives a row's
+    slice, a whole number; a slice that holds most rows is cut by ``order`` into as many files as the shuffle
+    has parts. The driver sees the list: one row per slice. A slice's ``mark`` says what it was made from.
+    """
+
+    _SLICE = (
+        StructType().add("slice", "integer").add("folder", "string").add("mark", "string")
+        .add("figures", MapType(StringType(), LongType()))
+    )
+    _NOTE = StructType().add("note", "string")
+
+    def __init__(self, spark, path, schema, hidden=None, *, slice_of: Column, order, figures: dict[str, Column]):
+        super().__init__(spark, path, schema, hidden)
+        self.slice_of, self.order, self.figures = slice_of, list(order), figures
+
+    def slices(self, version: str | None = None) -> dict[int, Row] | None:
+        """The slices of a version, the latest by default; None for a version without a list (or no version)."""
+        version = version or self.latest()
+        rows = _read(self.spark, f"{self.path}/slices/{version}", self._SLICE) if version else None
+        return None if rows is None else {r.slice: r for r in rows.collect()}
+
+    def _folders(self, version: str, slices) -> list[str]:
+        state = self.slices(version)
+        if state is None:
+            return [f"{self.path}/data/{version}"]
+        return [f"{self.path}/data/{r.folder}/slice={s}" for s, r in state.items() if slices is None or s in slices]
+
+    def read(self, stored: bool = False, slices=None, version: str | None = None) -> DataFrame:
+        """All rows, or those of some slices; ``version`` may be one that is not shown yet."""
+        version = version or self.latest()
+        if version is None:
+            raise TableMissing(self.path)
+        folders = self._folders(version, slices)
+        if not folders:
+            df = self.spark.createDataFrame([], self.stored)
+        else:
+            df = self.spark.read.schema(self.stored).parquet(*folders)
+        return df if stored else df.select(self.schema.names)
+
+    def stored_columns(self) -> list[str]:
+        version = self.latest()
+        if version is None:
+            raise TableMissing(self.path)
+        folders = self._folders(version, None)
+        return self.spark.read.parquet(*folders).columns if folders else self.stored.names
+
+    def write(self, df: DataFrame, allow_empty: bool = False, replaced=None, marks: dict[int, str] | None = None) -> str:
+        """Write a version without showing it: ``df`` in place of the slices ``replaced`` (all by default)."""
+        version, marks = uuid.uuid4().hex, marks or {}
+        target = f"{self.path}/data/{version}"
+        placed = conform(df, self.stored).withColumn("slice", self.slice_of)
+        placed = placed.repartitionByRange("slice", *self.order).sortWithinPartitions("slice", *self.order)
+        placed.write.partitionBy("slice").mode("errorifexists").parquet(target)
+        made = self.spark.read.schema(StructType([*self.stored.fields, StructField("slice", IntegerType())])).parquet(target)
+        counted = [column.cast("bigint").alias(name) for name, column in self.figures.items()]
+        rows = [
+            (r["slice"], version, marks.get(r["slice"]), {name: r[name] for name in self.figures})
+            for r in made.groupBy("slice").agg(*counted).collect()
+        ]
+        if replaced is not None:
+            strays = {r[0] for r in rows} - set(replaced)
+            if strays:
+                raise ValueError(f"rows of slices that are not replaced: {sorted(strays)}")
+            rows += [tuple(r) for s, r in (self.slices() or {}).items() if s not in replaced]
+        if not rows and not allow_empty:
+            raise EmptyTable(self.path)
+        self.spark.createDataFrame(rows, self._SLICE).coalesce(1).write.parquet(f"{self.path}/slices/{version}")
+        return version
+
+    def note(self, version: str, text: str) -> None:
+        """Keep a word about a version; a stopped write leaves none."""
+        self.spark.createDataFrame([(text,)], self._NOTE).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/notes/{version}")
+
+    def noted(self, version: str) -> str | None:
+        row = _read(self.spark, f"{self.path}/notes/{version}", self._NOTE)
+        row = None if row is None else row.first()
+        return row[0] if row else None
+
+
 class KeyedTable:
     """Rows by key, dealt into buckets; a change writes only the buckets it touches.
 
