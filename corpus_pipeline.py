@@ -17,7 +17,7 @@ def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies (five words, similarity of 0.8 or more)."""
+    """One document, that of the least id, of each group of near copies (fingerprints of op7, and five words, similarity of 0.8 or more)."""
     return simhash.drop_near_copies(docs)
 
 

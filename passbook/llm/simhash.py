@@ -5,8 +5,9 @@ that differ in at most two bits: split into four blocks, such a pair agrees in t
 equal fingerprints are merged first and the rest are joined on the six pairs of blocks and verified.
 Groups are the connected components.
 
-``drop_near_copies`` groups documents whose sets of five-word shingles have a similarity (Jaccard) of 0.8
-or more: bands of least hashes (MinHash) name the candidates, whose whole sets are then compared exactly.
+``drop_near_copies`` groups by the same links, and adds documents whose sets of five-word shingles have a
+similarity (Jaccard) of 0.8 or more, most of which differ in more than two bits: bands of least hashes (MinHash)
+name the candidates, whose whole sets are then compared exactly.
 
 Defined results: null text is empty text; texts without words have the fingerprint zero and are linked
 like any other; rows that share an id are one document; a null id takes part in no group (its
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from passbook.llm.common import map_texts
+from passbook.llm.common import SMALL_SLICE, map_texts
 from passbook.llm.components import components
 from passbook.scratch import scratch_folder, written
 
@@ -157,17 +158,27 @@ def wide_keys(shingles: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def block_keys(fp: int) -> np.ndarray:
+    """A number for each pair of blocks of a fingerprint; two within two bits agree in one of them at least."""
+    blocks = [fp >> (48 - BLOCK_BITS * i) & ((1 << BLOCK_BITS) - 1) for i in range(4)]
+    pairs = np.array([(t + 1) << 32 | blocks[a] << BLOCK_BITS | blocks[b] for t, (a, b) in enumerate(TABLES)], dtype=np.uint64)
+    return (pairs * _MIX).view(np.int64)
+
+
 def wide_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp: the sorted hashes of the set of shingles, as bytes."""
-    return map_texts(docs, lambda: lambda texts: [pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], "fp binary")
+    return map_texts(docs, lambda: lambda texts: [pa.array([shingle_set(t).tobytes() for t in texts], pa.binary())], "fp binary", SMALL_SLICE)
 
 
 def _marks(sets: list[np.ndarray]) -> list:
     return [pa.array([len(x) for x in sets], pa.int64()), pa.array([wide_keys(x) for x in sets], pa.list_(pa.int64()))]
 
 
-def spanning_edges(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Edges between near sets, one of ``left`` and one of ``right``, that connect what such pairs connect."""
+def spanning_edges(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, prints: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges between near sets, one of ``left`` and one of ``right``, that connect what such pairs connect.
+
+    With ``prints`` fingerprints of at most two differing bits are near as well.
+    """
     sizes = np.array([len(x) for x in sets], dtype=np.int64)
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -193,6 +204,8 @@ def spanning_edges(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray)
             mark[own[i]] = False
             common = common[cuts[1:]] - common[cuts[:-1]]
             near = common * (OF + SHARED) >= SHARED * (sizes[i] + sizes[alive])
+            if prints is not None:
+                near |= np.bitwise_count(prints[i] ^ prints[alive]) <= 2
             sides = (left[i] & right[alive]) | (right[i] & left[alive])
             found = alive[near & sides & open_]
             seen[found] = True
@@ -214,8 +227,9 @@ def wide_candidates(nodes: DataFrame, folder: str, tile: int = WIDE_TILE) -> Dat
     return written(entries.join(full.select("key", blocks.alias("blocks")), "key").select("id", "size", "key", "blocks"), folder, "met")
 
 
-def verified_links(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) that connect all near members of the buckets ``met``, by the whole ``sets`` (id, fp).
+def verified_links(met: DataFrame, sets: DataFrame, prints: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) that connect all near members of the buckets ``met``, by the whole ``sets`` (id, fp) and, if
+    given, by their fingerprints ``prints`` (id, fingerprint).
 
     The members meet in groups of bounded size: there all pairs of a bucket are compared exactly, and only
     edges of a spanning forest are returned. A bucket of any size is covered; nothing is left out.
@@ -229,20 +243,23 @@ def verified_links(met: DataFrame, sets: DataFrame) -> DataFrame:
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("key"), F.lit(bins))).alias("bin"),
         F.when(F.col("blocks") > 1, F.col("key")).alias("large"),
         F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-    ).join(sets.select("id", "fp"), "id")
+    ).join(sets.select("id", "fp") if prints is None else sets.select("id", "fp").join(prints, "id"), "id")
+
+    prints_less = prints is None
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         keys = table.column("key").to_numpy()
         order = np.argsort(keys, kind="stable")
         cuts = np.flatnonzero(np.diff(keys[order])) + 1
-        block, prints = table.column("block").to_numpy(), table.column("fp").to_pylist()
+        block, whole = table.column("block").to_numpy(), table.column("fp").to_pylist()
+        bits = None if prints_less else table.column("fingerprint").to_numpy().view(np.uint64)
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
         a, b = [], []
         for rows in np.split(order, cuts):
             if len(rows) > 1:
-                part = [np.frombuffer(prints[i], dtype=np.uint64) for i in rows]
-                for i, j in spanning_edges(part, block[rows] == lo, block[rows] == hi):
+                part = [np.frombuffer(whole[i], dtype=np.uint64) for i in rows]
+                for i, j in spanning_edges(part, block[rows] == lo, block[rows] == hi, None if bits is None else bits[rows]):
                     a.append(rows[i])
                     b.append(rows[j])
         ids = table.column("id")
@@ -266,35 +283,41 @@ def wide_links(nodes: DataFrame, folder: str, tile: int = WIDE_TILE) -> DataFram
 
 
 def wide_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, a digest of the set of shingles, its size and its keys."""
+    """doc_id, the fingerprint, a digest of the set of five-word shingles, its size and its keys."""
 
     def make():
         def marks(texts):
             sets = [shingle_set(t) for t in texts]
-            return [pa.array([xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets], pa.binary()), *_marks(sets)]
+            digests = pa.array([xxhash.xxh3_128_digest(x.tobytes(), SEED) for x in sets], pa.binary())
+            prints = [fingerprint(t) for t in texts]
+            size, keys = _marks(sets)
+            keys = pa.array([np.concatenate([k, block_keys(f)]) for k, f in zip(keys.to_pylist(), prints, strict=True)], pa.list_(pa.int64()))
+            return [pa.array(prints, pa.int64()), digests, size, keys]
 
         return marks
 
-    return map_texts(docs, make, "digest binary, size bigint, keys array<bigint>")
+    return map_texts(docs, make, "fingerprint bigint, digest binary, size bigint, keys array<bigint>", SMALL_SLICE)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, component_id) of every row with an id: the least id of its group.
 
-    Equal sets are merged first. Only documents with a candidate are read again for their whole sets.
+    Documents are linked if their fingerprints differ in at most two bits, or if their sets of shingles are
+    similar. Candidates share a pair of blocks of the fingerprint or a band of least hashes; texts equal in set
+    and fingerprint are merged first. Only documents with a candidate are read again for their whole sets.
     """
     folder = scratch_folder(docs.sparkSession, "near-copies")
     prints = written(wide_marks(docs.where("doc_id is not null")), folder, "prints")
-    nodes = prints.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = prints.groupBy("digest", "fingerprint").agg(F.min("doc_id").alias("id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
     nodes = written(nodes, folder, "nodes")
     met = wide_candidates(nodes, folder)
     ids = written(met.select(F.col("id").alias("doc_id")).distinct(), folder, "ids")
     again = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
     # Dealt by id, as the join that follows needs it, so that the sets are shuffled once.
     sets = wide_fingerprints(again).select(F.col("doc_id").alias("id"), "fp").repartition("id").distinct()
-    labels = components(verified_links(met, sets))
-    known = nodes.join(labels, nodes["id"] == labels["node"], "left").select("digest", F.coalesce("label", "id").alias("component_id"))
-    return prints.join(known, "digest").select("doc_id", "component_id")
+    labels = components(verified_links(met, sets, nodes.select("id", "fingerprint")))
+    known = nodes.join(labels, nodes["id"] == labels["node"], "left").select("digest", "fingerprint", F.coalesce("label", "id").alias("component_id"))
+    return prints.join(known, ["digest", "fingerprint"]).select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:

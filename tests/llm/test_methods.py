@@ -213,6 +213,17 @@ def test_near_copies_at_the_threshold(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == want
 
 
+def test_near_copies_by_fingerprints(spark):
+    """Texts of one repeated passage and other ends: fingerprints agree, the sets of shingles hardly."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choices("abcdefghij", k=9))
+    passage = [word() for _ in range(7)] * 100
+    texts = [" ".join(passage + [word() for _ in range(30)]) for _ in range(3)] + [" ".join(word() for _ in range(700))]
+    assert len({simhash.fingerprint(t) for t in texts}) == 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
 def test_share_of_pairs_with_a_common_key():
     rng = np.random.default_rng(4)
     for shared, own in ((8, 1), (80, 10)):
