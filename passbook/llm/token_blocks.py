@@ -153,6 +153,9 @@ def read_block(data: bytes, block: int) -> np.ndarray:
 # are numbered from 256 on.
 _PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+# the letter of each byte; 255, which no UTF-8 holds, parts pieces by a character that is no letter
+_PARTING, _PARTED = b"\xff", "\n"
+_LETTER_OF = np.array([BYTE_LETTERS.get(b, b) for b in range(255)] + [ord(_PARTED)], dtype="<u2")
 # The split of the library's byte-level step, for texts of Latin-1 characters, with its classes written out.
 _LETTERS, _NUMBERS, _WHITE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\\t-\\r \x85\xa0"
 LATIN_PIECE = re.compile(
@@ -160,6 +163,14 @@ LATIN_PIECE = re.compile(
 )
 
 
+def in_letters(pieces: list[str]) -> list[str]:
+    """The bytes of each piece as the letters that byte-level vocabularies use; all pieces in one look-up."""
+    if not pieces:
+        return []
+    data = np.frombuffer(_PARTING.join([p.encode("utf-8", "replace") for p in pieces]), np.uint8)
+    return _LETTER_OF[data].tobytes().decode("utf-16-le").split(_PARTED)
+
+
 def is_latin(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -201,7 +212,7 @@ class LibraryEncoder:
     def _encode(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """Ids of each piece, merged by the library's model, which knows bytes as letters."""
         merge = self.library.model.tokenize
-        return [tuple([t.id for t in merge(p.encode("utf-8", "replace").decode("latin-1").translate(BYTE_LETTERS))]) for p in pieces]
+        return [tuple([t.id for t in merge(p)]) for p in in_letters(pieces)]
 
     def _split(self, texts: list[str]) -> list[list[str]]:
         out = [LATIN_PIECE.findall(t) if is_latin(t) else None for t in texts]

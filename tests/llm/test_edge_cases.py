@@ -157,3 +157,13 @@ def test_ann(spark):
     twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [1.0, 0.1]), (1, [5.0, 0.0])], "vec_id bigint, embedding array<double>")
     rows = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(twice, F.col("vec_id") % 20 == 0).collect()]
     assert sorted(rows) == [(0, 1, 1, 0.2), (0, 1, 1, 5.0), (0, 2, 0, 0.0), (0, 2, 1, 1.0), (0, 3, 0, 0.0), (0, 3, 1, 0.0)]
+
+
+def test_letters_of_bytes():
+    """Every piece becomes the letters of its own bytes, whatever stands beside it."""
+    from passbook.llm import token_blocks as tb
+
+    pieces = ["", " a", "\n", "\x00\xff", "naïve", "€ 5", "\ud800", "\x7f\x85\xa0\xad", "", " \n\t", "".join(map(chr, range(300)))]
+    one = lambda p: p.encode("utf-8", "replace").decode("latin-1").translate(tb.BYTE_LETTERS)
+    assert tb.in_letters(pieces) == [one(p) for p in pieces]
+    assert tb.in_letters([]) == [] and tb.in_letters([""]) == [""]
