@@ -162,3 +162,23 @@ def test_halves_isolate_every_bad_file_and_nothing_else():
 
     with pytest.raises(PySparkException):
         landing.by_halves(["a", "b"], broken)
+
+
+def test_cells_are_read_once_however_many_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(plan, "NAMED_FILES", 1)
+    monkeypatch.setattr(plan, "FILES_PER_PART", 2)
+    folder, calls, normalize = tmp_path / "in", [], plan.normalize_table_rows
+    monkeypatch.setattr(plan, "normalize_table_rows", lambda rows: calls.append(1) or normalize(rows))
+    folder.mkdir()
+    put(folder, "a.csv", 2)
+    for i in range(6):
+        (folder / f"p{i}.pdf").write_bytes(b"paged %d" % i)
+    cells = spark.createDataFrame(
+        [(f"p{i}.pdf", 1, 0, r, ["01-02-2026", f"cell {r}", "1", None, "2"]) for i in range(5) for r in range(3)] + [("away.pdf", 1, 0, 0, ["01-02-2026", "x", "1", None, "2"])], CELLS
+    )
+    ws = Workspace(spark, str(tmp_path / "ws"))
+    result = ingest(ws, str(folder), cells)
+    assert (result.rows, result.files, len(calls)) == (17, 6, 1)
+    assert ws.bronze.read(stored=True).select("part").distinct().count() > 1
+    found = Counter((r.source_file, r.source_row_index) for r in ws.bronze.read().filter("source_type = 'PDF'").collect())
+    assert found == Counter((f"p{i}.pdf", str(r)) for i in range(5) for r in range(3))
