@@ -1,6 +1,6 @@
 """Column functions: every one is a composition of built-in expressions."""
 
-from passbook.functions.keys import document_hash, manual_key, row_hash, txn_key_hash
+from passbook.functions.keys import document_hash, manual_key, packed, row_hash, txn_key_hash, unpacked
 from passbook.functions.parsing import (
     DATE_FORMATS,
     parse_amount,
@@ -34,6 +34,7 @@ __all__ = [
     "manual_key",
     "month_bucket",
     "month_number",
+    "packed",
     "parse_amount",
     "parse_date",
     "plain_money",
@@ -43,4 +44,5 @@ __all__ = [
     "signed_amount",
     "strip_whitespace",
     "txn_key_hash",
+    "unpacked",
 ]
