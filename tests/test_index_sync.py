@@ -67,6 +67,7 @@ def test_rows_are_dealt_once_and_embedded_where_they_arrive(spark, tmp_path, pla
         exchanges = [line for line in plan.splitlines() if re.search(r"\bExchange\b", line)]
         assert len(exchanges) == 1, plan
         assert plan.index("ArrowEvalPython") < plan.index("Exchange")
+    assert "Window" not in plans[0] and "Window" in plans[1]
 
 
 def test_only_new_texts_reach_the_model(spark, tmp_path, monkeypatch):
