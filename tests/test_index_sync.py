@@ -104,7 +104,7 @@ def test_an_undated_row_is_a_row_of_the_index(spark, tmp_path):
 
 def test_packed_keys_come_back(spark):
     digest = "0123456789abcdef" * 4
-    keys = [digest, digest.upper(), digest + "\n", digest[:63], "", "x" * 32, "\0" * 33 + "x" * 32, "é-old", digest + "-old", None]
+    keys = [digest, digest.upper(), digest + "\n", digest[:63], "g" * 64, "é" * 64, "", "x" * 32, "\0" * 33 + "x" * 32, "é-old", digest + "-old", None]
     rows = spark.createDataFrame([(k,) for k in keys], "k string").withColumn("p", fn.packed(F.col("k"))).cache()
     assert [r[0] for r in rows.select(fn.unpacked(F.col("p"))).collect()] == keys
     assert len(rows.first()["p"]) == 32 and rows.select("p").distinct().count() == len(keys)
